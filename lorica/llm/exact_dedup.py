@@ -18,7 +18,7 @@ from .store import keep, texts
 
 #: Mean number of digests in a shard; each shard is built in one task.
 SHARD_DIGESTS = 20_000
-BUCKET_DIGESTS = 4
+BUCKET_DIGESTS = 2.5
 
 _P1, _P2, _P3, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -49,21 +49,21 @@ def perfect_hash(h: np.ndarray, bucket: np.ndarray, buckets: int) -> tuple[np.nd
     sizes = np.bincount(bucket, minlength=buckets)
     starts = np.cumsum(sizes) - sizes
     seeds, slots, used = np.zeros(buckets, np.int32), np.zeros(m, np.int64), np.zeros(m, bool)
-    by_size = np.argsort(-sizes, kind="stable")
-    for b in by_size[: int((sizes > 1).sum())]:
-        keys = order[starts[b] : starts[b] + sizes[b]]
-        seed = 0
-        while True:
+    for size in range(int(sizes.max(initial=0)), 1, -1):  # large buckets first; all of a size try a seed together
+        left, seed = np.flatnonzero(sizes == size), 0
+        while len(left):
             seed += 1
-            s = (_with_seed(h[keys], seed).astype(np.int64) % m).astype(np.int64)
-            if not used[s].any() and len(np.unique(s)) == len(s):
-                break
-        used[s] = True
-        seeds[b], slots[keys] = seed, s
-    single = by_size[(sizes[by_size] == 1)]
+            keys = order[starts[left][:, None] + np.arange(size)]
+            s = (_with_seed(h[keys], seed).view(np.int64) % m).astype(np.int64)
+            first = np.zeros(s.size, bool)
+            first[np.unique(s, return_index=True)[1]] = True
+            ok = first.reshape(s.shape).all(1) & ~used[s].any(1)
+            used[s[ok]] = True
+            seeds[left[ok]], slots[keys[ok]] = seed, s[ok]
+            left = left[~ok]
+    single = np.flatnonzero(sizes == 1)
     free = np.flatnonzero(~used)
-    keys = order[starts[single]]
-    slots[keys], seeds[single] = free, -free - 1
+    slots[order[starts[single]]], seeds[single] = free, -free - 1
     return seeds, slots
 
 
@@ -79,7 +79,7 @@ class HistoryIndex:
     def __init__(self, history: DataFrame):
         """history: (digest, winner, n), one row per digest."""
         shards = max(1, -(-history.count() // SHARD_DIGESTS))
-        buckets = SHARD_DIGESTS // BUCKET_DIGESTS
+        buckets = int(SHARD_DIGESTS / BUCKET_DIGESTS)
         self.shards, self.buckets = shards, buckets
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -26,4 +26,16 @@ select doc_id, min(doc_id) over (partition by n) as keep_id, count(*) over (part
 from t
 """
 
-ORACLE: dict[str, str] = {"op5_decontamination": _OP5, "op7_exact_dedup": _OP7}
+_OP3 = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[p : p + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as r from documents union select reach.a, links.b from reach join links on links.a = reach.r)
+select documents.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from documents left join n using (doc_id)
+join (select a, min(r) as component_id from reach group by a) m on m.a = documents.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op3_ngram_join": _OP3, "op5_decontamination": _OP5, "op7_exact_dedup": _OP7}

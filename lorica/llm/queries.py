@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, tokens
-from .store import table
+from . import decontaminate, exact_dedup, ngram_join, packing, pii, secrets, tokens, toxicity
+from .store import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,6 +19,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: For the query alone; a deployment has its own secret.
+PII_KEY = "lorica-example-key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -29,16 +41,29 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    n = {f"n_{k}": F.size(k).cast("long") for k in ("assign", "access", "hex")}
+    every = secrets.joined(F.concat("base", "added"))
+    return found.select("doc_id", *(c.alias(k) for k, c in n.items()), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), every.alias("spans"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=(5, 0))
+    return toxicity.score(docs, model).select("doc_id", fold("doc_id", 5, (0,)).alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_token_counts, op5_decontamination, op7_exact_dedup, op10_packing)
+    for f in (op1_pii, op3_ngram_join, op4_token_counts, op5_decontamination, op6_secrets, op7_exact_dedup, op9_toxicity, op10_packing)
 }
