@@ -7,6 +7,7 @@ valid in its format, different values get different pseudonyms, and equal values
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,22 +20,29 @@ ROUNDS = 8
 #: Dates from this day on, FIRST_DAY + 270*271 days in all (to 2100), are read as dates.
 FIRST_DAY, DAYS = "1900-01-01", (270, 271)
 
-_NOT_IN = r"(?<![A-Za-z0-9_.%+-])"
 _END = r"(?![A-Za-z0-9_-])"
+_END_DOT = r"(?![A-Za-z0-9_-]|\.[0-9])"
 #: Shapes, in order of precedence at one place. Fixed formats.
 SHAPES = {
-    "email": _NOT_IN + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{13,32}(?![A-Za-z0-9])",
-    "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
-    "iso_date": r"(?<![A-Za-z0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}" + _END,
-    "dot_date": r"(?<![A-Za-z0-9.-])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![A-Za-z0-9_-]|\.[0-9])",
-    "slash_date": r"(?<![A-Za-z0-9./-])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![A-Za-z0-9_/-])",
-    "ssn": r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
-    "phone": r"(?<![A-Za-z0-9.+-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END,
-    "card": r"(?<![A-Za-z0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_]|-[0-9])",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"[A-Z]{2}[0-9]{13,32}(?![A-Za-z0-9])",
+    "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}" + _END_DOT,
+    "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _END,
+    "dot_date": r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}" + _END_DOT,
+    "slash_date": r"[0-9]{2}/[0-9]{2}/[0-9]{4}(?![A-Za-z0-9_/-])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
+    "phone": r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END,
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_]|-[0-9])",
 }
 KINDS = [*SHAPES]
-ANY = "|".join(SHAPES.values())
+#: A value starts where a word does, and the word has a digit, @ or parenthesis after its letters and marks.
+START = r"(?<![A-Za-z0-9_.%/+-])(?=[A-Za-z._%+-]*+[0-9@(])"
+ANY = START + "(?:" + "|".join(SHAPES.values()) + ")"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def digits_of(value: Column) -> Column:
@@ -68,16 +76,14 @@ def _digits(d: Column, key: str, kind: str, back: bool) -> Column:
     h = (n / 2).cast("int")
     ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
     s = feistel(F.substring(d, F.lit(1), h).cast("long"), F.substring(d, h + 1, n - h).cast("long"), ten(h), ten(n - h), key, kind, back)
-    return F.concat(padded(s["l"], h), padded(s["r"], n - h))
+    return let(s, lambda x: F.concat(padded(x["l"], h), padded(x["r"], n - h)))
 
 
 def luhn_digit(payload: Column) -> Column:
-    """The check digit that makes the payload and itself valid."""
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.char_length(payload)),
-        F.lit(0),
-        lambda acc, i: acc + (lambda d: F.when((F.char_length(payload) - i) % 2 == 0, d * 2 - F.when(d > 4, F.lit(9)).otherwise(F.lit(0))).otherwise(d))(F.substring(payload, i, F.lit(1)).cast("int")),
-    )
+    """The check digit that makes the payload and itself valid. payload: a cheap expression (see let)."""
+    digit = lambda i: F.substring(payload, i, F.lit(1)).cast("int")
+    doubled = lambda d: d * 2 - F.when(d > 4, F.lit(9)).otherwise(F.lit(0))
+    total = F.aggregate(F.sequence(F.lit(1), F.char_length(payload)), F.lit(0), lambda acc, i: acc + F.when((F.char_length(payload) - i) % 2 == 0, doubled(digit(i))).otherwise(digit(i)))
     return ((10 - total % 10) % 10).cast("string")
 
 
@@ -91,58 +97,78 @@ def _iban_check(country: Column, bban: Column) -> Column:
 
 
 def _laid(value: Column, digits: Column) -> Column:
-    """The digits in the places of the value's digits, all other characters kept."""
-    at = F.aggregate(
-        F.split(value, "(?!^)"),
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("k")),
-        lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substring(digits, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k"))),
-    )
-    return at["out"]
+    """The digits in the places of the value's digits, all other characters kept. digits: a cheap expression."""
+
+    def step(s: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return F.struct(F.concat(s["out"], F.when(digit, F.substring(digits, s["k"], F.lit(1))).otherwise(c)).alias("out"), F.when(digit, s["k"] + 1).otherwise(s["k"]).alias("k"))
+
+    return F.aggregate(F.split(value, "(?!^)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step)["out"]
 
 
 def _date(value: Column, form: str, key: str, back: bool) -> Column:
     a, b = DAYS
-    day = F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    s = feistel((day / b).cast("int"), day % b, F.lit(a), F.lit(b), key, "date", back)
-    return F.when((day >= 0) & (day < a * b), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * b + s["r"]).cast("int")), form))
+    read = F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
+
+    def change(day: Column) -> Column:
+        s = feistel((day / b).cast("int"), day % b, F.lit(a), F.lit(b), key, "date", back)
+        new = let(s, lambda x: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (x["l"] * b + x["r"]).cast("int")), form))
+        return F.when((day >= 0) & (day < a * b), new)
+
+    return let(read, change)
+
+
+def _card(d: Column, value: Column, key: str, back: bool) -> Column:
+    n = F.char_length(d)
+    payload = F.substring(d, F.lit(1), n - 1)
+    new = let(_digits(payload, key, "card", back), lambda x: let(F.concat(x, luhn_digit(x)), lambda y: _laid(value, y)))
+    return F.when(F.substring(d, n, F.lit(1)) == luhn_digit(payload), new)
+
+
+def _phone(d: Column, value: Column, key: str, back: bool) -> Column:
+    ten = F.right(d, F.lit(10))
+    area, office, line = (F.substring(ten, i, n).cast("long") for i, n in ((1, 3), (4, 3), (7, 4)))
+    s = feistel(area - 200, (office - 200) * 10000 + line, F.lit(800), F.lit(8_000_000), key, "phone", back)
+    one = F.when(F.char_length(d) == 11, F.lit("1")).otherwise(F.lit(""))
+    number = lambda x: F.concat(one, (x["l"] + 200).cast("string"), ((x["r"] / 10000).cast("long") + 200).cast("string"), padded(x["r"] % 10000, 4))
+    return F.when((area >= 200) & (office >= 200), let(let(s, number), lambda y: _laid(value, y)))
+
+
+def _ssn(d: Column, key: str, back: bool) -> Column:
+    area, group, serial = (F.substring(d, i, n).cast("long") for i, n in ((1, 3), (4, 2), (6, 4)))
+    index = area - 1 - F.when(area > 666, F.lit(1)).otherwise(F.lit(0))
+    s = feistel(index, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn", back)
+    new_area = lambda x: x["l"] + 1 + F.when(x["l"] >= 665, F.lit(1)).otherwise(F.lit(0))
+    new = let(s, lambda x: F.concat_ws("-", padded(new_area(x), 3), padded((x["r"] / 9999).cast("long") + 1, 2), padded(x["r"] % 9999 + 1, 4)))
+    return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), new)
+
+
+def _ip(value: Column, key: str, back: bool) -> Column:
+    def change(q: Column) -> Column:
+        octet = [q[i].cast("long") for i in range(4)]
+        s = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], F.lit(65536), F.lit(65536), key, "ip", back)
+        new = let(s, lambda x: F.concat_ws(".", *((y / 256 if hi else y % 256).cast("long").cast("string") for y in (x["l"], x["r"]) for hi in (1, 0))))
+        return F.when(reduce(lambda x, y: x & y, (o < 256 for o in octet)), new)
+
+    return let(F.split(value, r"\."), change)
+
+
+def _iban(value: Column, key: str, back: bool) -> Column:
+    country, bban = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.char_length(value) - 4)
+    new = let(_digits(bban, key, "iban", back), lambda x: F.concat(country, _iban_check(country, x), x))
+    return F.when(F.substring(value, 3, 2) == _iban_check(country, bban), new)
 
 
 def pseudonym(value: Column, kind: str, key: str, back: bool = False) -> Column:
     """The value's pseudonym, null if the value is not a valid one of its kind. back: the value of a pseudonym
-    (all kinds but email)."""
-    d = digits_of(value)
-    part = lambda at, n: F.substring(d, at, n).cast("long")
+    (all kinds but email, which is hashed)."""
     if kind == "email":
         name = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lower(value)), 256), 1, 16)
         return F.concat(F.lit("p"), name, F.lit("@example.invalid"))
-    if kind == "card":
-        n = F.char_length(d)
-        new = _digits(F.substring(d, F.lit(1), n - 1), key, kind, back)
-        valid = F.substring(d, n, F.lit(1)) == luhn_digit(F.substring(d, F.lit(1), n - 1))
-        return F.when(valid, _laid(value, F.concat(new, luhn_digit(new))))
-    if kind == "phone":
-        ten = F.right(d, F.lit(10))
-        area, office, line = (F.substring(ten, i, n).cast("long") for i, n in ((1, 3), (4, 3), (7, 4)))
-        s = feistel(area - 200, (office - 200) * 10000 + line, F.lit(800), F.lit(8_000_000), key, kind, back)
-        new = F.concat((s["l"] + 200).cast("string"), ((s["r"] / 10000).cast("long") + 200).cast("string"), padded(s["r"] % 10000, 4))
-        return F.when((area >= 200) & (office >= 200), _laid(value, F.concat(F.when(F.char_length(d) == 11, F.lit("1")).otherwise(F.lit("")), new)))
-    if kind == "ssn":
-        area, group, serial = part(1, 3), part(4, 2), part(6, 4)
-        index = area - 1 - F.when(area > 666, F.lit(1)).otherwise(F.lit(0))
-        s = feistel(index, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, kind, back)
-        new_area = s["l"] + 1 + F.when(s["l"] >= 665, F.lit(1)).otherwise(F.lit(0))
-        new = F.concat(padded(new_area, 3), F.lit("-"), padded((s["r"] / 9999).cast("long") + 1, 2), F.lit("-"), padded(s["r"] % 9999 + 1, 4))
-        return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), new)
-    if kind == "ip":
-        q = F.split(value, r"\.")
-        octet = [q[i].cast("long") for i in range(4)]
-        s = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], F.lit(65536), F.lit(65536), key, kind, back)
-        new = F.concat_ws(".", *((x / 256 if hi else x % 256).cast("long").cast("string") for x in (s["l"], s["r"]) for hi in (1, 0)))
-        return F.when(reduce(lambda x, y: x & y, (o < 256 for o in octet)), new)
-    if kind == "iban":
-        country, bban = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.char_length(value) - 4)
-        new = _digits(bban, key, kind, back)
-        return F.when(F.substring(value, 3, 2) == _iban_check(country, bban), F.concat(country, _iban_check(country, new), new))
+    if kind in ("card", "phone", "ssn"):
+        return let(digits_of(value), lambda d: _card(d, value, key, back) if kind == "card" else _phone(d, value, key, back) if kind == "phone" else _ssn(d, key, back))
+    if kind in ("ip", "iban"):
+        return _ip(value, key, back) if kind == "ip" else _iban(value, key, back)
     return _date(value, {"iso_date": "yyyy-MM-dd", "dot_date": "dd.MM.yyyy", "slash_date": "dd/MM/yyyy"}[kind], key, back)
 
 
@@ -153,16 +179,20 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     count as empty. Where shapes overlap, the leftmost counts, and at one place the first listed.
     key: a secret; whoever has it can turn pseudonyms back (except of e-mail addresses, which are hashed).
     """
-    kind = lambda m: reduce(lambda rest, k: F.when(m.rlike(f"^(?:{SHAPES[k]})$"), F.lit(k)).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
-    none = F.array().cast("array<struct<gap:string,found:string,kind:string>>")
-    cut = F.transform(alternate(F.col("text"), ANY), lambda x: F.struct(x["gap"].alias("gap"), x["found"].alias("found"), kind(x["found"]).alias("kind")))
+    named = lambda m: reduce(lambda rest, k: F.when(m.rlike(f"^(?:{SHAPES[k]})$"), F.lit(k)).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
+    kind_of = "struct<gap:string,found:string,kind:string,new:string>"
 
     def change(x: Column) -> Column:
-        new = reduce(lambda rest, k: F.when(x["kind"] == k, pseudonym(x["found"], k, key)).otherwise(rest), KINDS, F.lit(None).cast("string"))
-        return F.struct(x["gap"].alias("gap"), x["found"].alias("found"), F.when(new.isNotNull(), x["kind"]).alias("kind"), new.alias("new"))
+        def with_kind(k: Column) -> Column:
+            new = reduce(lambda rest, name: F.when(k == name, pseudonym(x["found"], name, key)).otherwise(rest), KINDS, F.lit(None).cast("string"))
+            return let(new, lambda y: F.struct(x["gap"].alias("gap"), x["found"].alias("found"), F.when(y.isNotNull(), k).alias("kind"), y.alias("new")))
+
+        plain = F.struct(x["gap"].alias("gap"), x["found"].alias("found"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("new"))
+        return F.when(x["found"].isNull(), plain).otherwise(let(named(x["found"]), with_kind)).cast(kind_of)
 
-    out = texts(docs).select("doc_id", "text", F.when(F.col("text").rlike(ANY), cut).otherwise(none).alias("cut"))
-    out = out.withColumn("parts", F.transform("cut", change))
+    whole = F.array(F.struct(F.col("text").alias("gap"), F.lit(None).cast("string").alias("found"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("new")).cast(kind_of))
+    out = texts(docs).select("doc_id", F.when(F.col("text").rlike(ANY), F.transform(alternate(F.col("text"), ANY), change)).otherwise(whole).alias("parts"))
     text = F.array_join(F.transform("parts", lambda x: F.concat(x["gap"], F.coalesce(x["new"], x["found"], F.lit("")))), "")
-    counts = {f"n_{k}": F.size(F.filter("parts", lambda x, k=k: F.coalesce(x["kind"] == k, F.lit(False)))).cast("long") for k in KINDS}
-    return out.select("doc_id", F.when(F.size("cut") == 0, F.col("text")).otherwise(text).alias("text"), *(c.alias(n) for n, c in counts.items()), F.size(F.filter("parts", lambda x: x["kind"].isNotNull())).cast("long").alias("n_values"))
+    counted = lambda k: F.size(F.filter("parts", lambda x: F.coalesce(x["kind"] == k, F.lit(False)))).cast("long")
+    counts = [counted(k).alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", text.alias("text"), *counts, F.size(F.filter("parts", lambda x: x["kind"].isNotNull())).cast("long").alias("n_values"))

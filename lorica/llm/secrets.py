@@ -71,12 +71,15 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: list[tuple[str, str, fl
         "access": _listed("access", 1, F.filter(spans(text, ACCESS), lambda s: F.char_length(s["found"]) >= 20)),
         "hex": _listed("hex", 2, F.filter(spans(text, "[0-9a-f]{24,}"), lambda s: s["end"] - s["start"] >= 24)),
     })
-    added = []
-    for rank, (kind, alphabet, bits) in enumerate(classes or CLASSES, 3):
-        candidates = F.filter(spans(text, _class_pattern(alphabet)), lambda s: ~s["found"].rlike(allow)) if allow else spans(text, _class_pattern(alphabet))
-        rated = F.transform(candidates, lambda s, a=alphabet, b=bits: F.struct(s["start"].alias("at"), dense(s["found"], a, b, window).alias("d")))
+
+    def dense_spans(kind: str, rank: int, alphabet: str, bits: float) -> Column:
+        found = spans(text, _class_pattern(alphabet))
+        candidates = F.filter(found, lambda s: ~s["found"].rlike(allow)) if allow else found
+        rated = F.transform(candidates, lambda s: F.struct(s["start"].alias("at"), dense(s["found"], alphabet, bits, window).alias("d")))
         hot = F.filter(rated, lambda s: s["d"]["lo"].isNotNull())
-        added.append(_listed(kind, rank, F.transform(hot, lambda s: F.struct((s["at"] + s["d"]["lo"]).alias("start"), (s["at"] + s["d"]["hi"]).alias("end")))))
+        return _listed(kind, rank, F.transform(hot, lambda s: F.struct((s["at"] + s["d"]["lo"]).alias("start"), (s["at"] + s["d"]["hi"]).alias("end"))))
+
+    added = [dense_spans(kind, rank, alphabet, bits) for rank, (kind, alphabet, bits) in enumerate(classes or CLASSES, 3)]
     base = F.concat("assign", "access", "hex")
     return out.withColumn("base", F.array_sort(base)).withColumn(
         "added", F.filter(F.concat(*added), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
