@@ -5,21 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorica.llm import decontaminate, exact_dedup, packing
+from lorica.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
 from lorica.llm.queries import tokenizer_path
 from lorica.llm.store import keep, table
 
+#: Ids that are broadcast at most to drop their rows (16 bytes each); beyond, Spark deals both sides by doc_id.
+BROADCAST_IDS = 4_000_000
+
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids; a null doc_id stays."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    ids = keep(ids.select("doc_id").distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the model, learned from the labelled documents outside the held-out fold, calls toxic go."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return without(docs, toxicity.score(docs, model).where("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (white space aside) the smallest doc_id stays."""
     return without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by similar sets of 5 words the smallest doc_id stays."""
+    return without(docs, ngram_join.ngram_join(docs).where("doc_id <> component_id"))
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold ten consecutive words of a benchmark item go."""
     return without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
@@ -28,7 +47,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("packing", pack),
 ]
