@@ -26,6 +26,17 @@ select doc_id, min(doc_id) over (partition by n) as keep_id, count(*) over (part
 from t
 """
 
+_OP2 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, p, array_to_string(w[p : p + 49], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as p from d where len(w) >= 50)),
+f as (select k, min(doc_id) as m from g group by k),
+gone as (select distinct doc_id, q from (select doc_id, unnest(range(p, p + 50)) as q from g join f using (k) where m < doc_id)),
+words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as q from d where len(w) > 0),
+kept as (select doc_id, string_agg(x, ' ' order by q) as s, count(*) as n from words anti join gone using (doc_id, q) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) as bigint) - coalesce(n, 0) as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
 _OP3 = rf"""
 with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
 s as (select distinct doc_id, array_to_string(w[p : p + 4], ' ') as g
@@ -38,4 +49,4 @@ select documents.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from doc
 join (select a, min(r) as component_id from reach group by a) m on m.a = documents.doc_id
 """
 
-ORACLE: dict[str, str] = {"op3_ngram_join": _OP3, "op5_decontamination": _OP5, "op7_exact_dedup": _OP7}
+ORACLE: dict[str, str] = {"op2_substring_dedup": _OP2, "op3_ngram_join": _OP3, "op5_decontamination": _OP5, "op7_exact_dedup": _OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, packing, pii, secrets, tokens, toxicity
+from . import decontaminate, exact_dedup, ngram_join, packing, pii, secrets, substring_dedup, tokens, toxicity
 from .store import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -65,5 +70,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op3_ngram_join, op4_token_counts, op5_decontamination, op6_secrets, op7_exact_dedup, op9_toxicity, op10_packing)
+    for f in (op1_pii, op2_substring_dedup, op3_ngram_join, op4_token_counts, op5_decontamination, op6_secrets, op7_exact_dedup, op9_toxicity, op10_packing)
 }
