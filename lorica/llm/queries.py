@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, packing, pii, secrets, substring_dedup, tokens, toxicity
-from .store import fold, table
+from . import decontaminate, exact_dedup, maxent_lm, ngram_join, packing, pii, secrets, substring_dedup, tokens, toxicity
+from .store import fold, table, texts
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -58,6 +58,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5, (1,))
+    model, counts = maxent_lm.train_model(texts(docs).where(~held_out))
+    found = maxent_lm.score(docs, model, counts)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=(5, 0))
@@ -70,5 +78,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_substring_dedup, op3_ngram_join, op4_token_counts, op5_decontamination, op6_secrets, op7_exact_dedup, op9_toxicity, op10_packing)
+    for f in (op1_pii, op2_substring_dedup, op3_ngram_join, op4_token_counts, op5_decontamination, op6_secrets, op7_exact_dedup, op8_maxent_lm, op9_toxicity, op10_packing)
 }
