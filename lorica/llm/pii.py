@@ -88,7 +88,7 @@ def luhn_digit(payload: Column) -> Column:
 
 
 def _mod97(number: Column) -> Column:
-    return F.aggregate(F.split(number, "(?!^)"), F.lit(0), lambda acc, c: (acc * 10 + c.cast("int")) % 97)
+    return F.aggregate(F.split(number, ""), F.lit(0), lambda acc, c: (acc * 10 + c.cast("int")) % 97)
 
 
 def _iban_check(country: Column, bban: Column) -> Column:
@@ -103,7 +103,7 @@ def _laid(value: Column, digits: Column) -> Column:
         digit = c.rlike("[0-9]")
         return F.struct(F.concat(s["out"], F.when(digit, F.substring(digits, s["k"], F.lit(1))).otherwise(c)).alias("out"), F.when(digit, s["k"] + 1).otherwise(s["k"]).alias("k"))
 
-    return F.aggregate(F.split(value, "(?!^)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step)["out"]
+    return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step)["out"]
 
 
 def _date(value: Column, form: str, key: str, back: bool) -> Column:
