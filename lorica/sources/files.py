@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a configuration file that the driver reads at most.
+SMALL = 1 << 20
+
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(id, title, draft, body) of the .md files below a folder. A file without head or title is an error."""
@@ -53,9 +57,21 @@ def settings(lines: DataFrame) -> DataFrame:
     return row.select(name.alias("name"), value.alias("value"), "ord").groupBy("name").agg(F.max_by("value", "ord").alias("value"))
 
 
+def small_text(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of one small configuration file. Spark's readers pass over names that begin with _ or a dot; such a file
+    is read by the driver, up to SMALL bytes; a larger one is an error."""
+    if not path.rsplit("/", 1)[-1].startswith(("_", ".")):
+        return spark.read.text(path, wholetext=True)
+    store, at = pafs.FileSystem.from_uri(path)
+    if store.get_file_info(at).size > SMALL:
+        raise ValueError(f"{path} is larger than {SMALL} bytes")
+    with store.open_input_stream(at) as f:
+        return spark.createDataFrame([(f.read().decode(),)], "value string")
+
+
 def rules(spark: SparkSession, path: str) -> DataFrame:
     """(ord, from, to, status) of redirect lines; a missing status is 302."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
+    lines = small_text(spark, path).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
     f = F.split(F.trim("line"), r"\s+")
     return lines.where("trim(line) <> '' and not startswith(trim(line), '#')").select("ord", f[0].alias("from"), f[1].alias("to"), F.coalesce(F.try_element_at(f, F.lit(3)).cast("int"), F.lit(302)).alias("status"))
 
