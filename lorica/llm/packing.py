@@ -49,6 +49,7 @@ def cut(docs: DataFrame, path: str, size: int = LENGTH, end_id: int = END_ID) ->
                     rows.append((doc, at, len(x), zlib.crc32(x.tobytes()), len(own), part, int(seen[len(x)])))
                     seen[len(x)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+        known.forget()
 
     return keep(texts(docs).mapInArrow(pieces_of, ", ".join(f"{n} long" for n in names)))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from .store import texts
 from .words import LOWER, NON_SPACE, Words, pieces, span_hashes
 
-#: Distinct pre-tokens that a Python worker remembers; beyond, it starts afresh.
-REMEMBERED = 1 << 20
+#: Distinct pre-tokens that a task remembers, and those that its Python worker keeps beyond that number and after the
+#: task: the ones met first, among them the frequent ones.
+REMEMBERED, KEPT = 1 << 19, 1 << 17
 
 
 def load(path: str):
@@ -111,6 +113,9 @@ class Pieces:
             out[i] = np.array(e.ids, np.uint32)
         return out
 
+    def forget(self) -> None:
+        self.seen = dict(islice(self.seen.items(), KEPT))
+
     def of(self, units: Units) -> tuple[np.ndarray, list]:
         """(for each unit the index of its pre-token, what each distinct pre-token has)."""
         uniq, at, inverse = np.unique(units.hash, return_index=True, return_inverse=True)
@@ -119,7 +124,7 @@ class Pieces:
         new = [i for i, x in enumerate(got) if x is None]
         if new:
             if len(self.seen) > REMEMBERED:
-                self.seen.clear()
+                self.forget()
             for i, x in zip(new, self._encoded([units.text(at[i]) for i in new]), strict=True):
                 self.seen[keys[i]] = got[i] = x.tobytes() if self.ids else len(x)
         return inverse, got
@@ -142,6 +147,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             pair, freq = np.unique(w.docs() * max(len(n), 1) + token, return_counts=True)  # per-document frequencies
             sums = np.bincount(pair // max(len(n), 1), n[pair % max(len(n), 1)] * freq, minlength=b.num_rows) if len(n) else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.n_bytes), pa.array(w.n_words, pa.int64()), pa.array(sums.astype(np.int64))], schema=schema)
+        known.forget()
 
     counted = texts(docs).mapInArrow(count, "doc_id long, n_bytes long, n_words long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

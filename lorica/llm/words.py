@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,8 +124,18 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers outlive their tasks, and what one stage has used must not
+    stay beside the next one's. Only glibc has malloc_trim."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text, one document at least."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -135,6 +146,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
