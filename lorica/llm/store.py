@@ -30,8 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to Python. Spark's own bound is of 10,000 rows, tens of MB of text, which a task
+#: holds in the JVM and in Python at the same time.
+BATCH_BYTES = 4 << 20
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns of any name cannot clash; null texts become empty."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
