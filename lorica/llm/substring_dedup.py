@@ -4,7 +4,8 @@ A passage is a window of WINDOW consecutive words. Any text can be the reference
 whole; it is dealt to shards such that equal windows always meet: the shard of a window is the smallest hash among its
 runs of GRAM words (its minimizer). Neighbouring windows of one minimizer travel as one context of at most
 WINDOW + SPREAD - 1 words. Shards of one document are dropped at once. Contexts of equal content are one row, of which
-only the earliest document goes on. In each shard that still has different contexts, these pass in order of doc_id:
+only the earliest document goes on; what is found in it holds at every place where that document has the content. In
+each shard that still has different contexts, these pass in order of doc_id:
 each is streamed through the suffix automaton of the earlier ones for its matching statistics, marks the maximal
 matches of WINDOW words or more, and then extends the automaton. Shards with more contexts than CONTEXTS (thousands of
 near copies) are not gathered: their windows are grouped by hash instead, which finds the same windows.
@@ -172,16 +173,16 @@ def _cut(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 
 def _streamed(cut: DataFrame, window: int) -> DataFrame:
-    """(doc_id, lo, hi): spans of words that an earlier document of the shard has."""
+    """(doc_id, at, lo, hi): spans of words of the context at ``at`` that an earlier document of the shard has."""
 
-    def shard_spans(rows: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int]]:
+    def shard_spans(rows: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int, int]]:
         out, machine, held, last = [], SuffixAutomaton(), [], None
         for doc, at, words in sorted(rows, key=lambda r: r[:2]):
             if doc != last:  # contexts of one document do not count as earlier for each other
                 for x in held:
                     machine.add(x)
                 held, last = [], doc
-            out += [(doc, at + a, at + b) for a, b in machine.matches(words, window)]
+            out += [(doc, at, at + a, at + b) for a, b in machine.matches(words, window)]
             held.append(words)
         return out
 
@@ -190,7 +191,7 @@ def _streamed(cut: DataFrame, window: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             found = shard_spans(rows)
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], ["doc_id", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "at", "lo", "hi"])
 
         for b in batches:
             for shard, doc, at, words in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -202,12 +203,12 @@ def _streamed(cut: DataFrame, window: int) -> DataFrame:
         if len(rows) > 1:
             yield flush()
 
-    return cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, lo int, hi int")
+    return cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, at int, lo int, hi int")
 
 
 def _grouped(cut: DataFrame, window: int) -> DataFrame:
     """The same spans for shards of many contexts: windows as rows, grouped by hash."""
-    names = ["h", "doc_id", "lo"]
+    names = ["h", "doc_id", "at", "lo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,11 +220,11 @@ def _grouped(cut: DataFrame, window: int) -> DataFrame:
             ends = np.cumsum(n)
             inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
             row = np.repeat(np.arange(b.num_rows), n)
-            yield pa.RecordBatch.from_arrays([pa.array(all_[inner + offs[:-1][row]].view(np.int64)), b.column(1).take(pa.array(row)), pa.array((b.column(2).to_numpy()[row] + inner).astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(all_[inner + offs[:-1][row]].view(np.int64)), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array((b.column(2).to_numpy()[row] + inner).astype(np.int32))], names)
 
-    rows = keep(cut.mapInArrow(run, "h long, doc_id long, lo int"))
+    rows = keep(cut.mapInArrow(run, "h long, doc_id long, at int, lo int"))
     first = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    return rows.join(first, "h").where("first < doc_id").select("doc_id", "lo", (F.col("lo") + window).alias("hi"))
+    return rows.join(first, "h").where("first < doc_id").select("doc_id", "at", "lo", (F.col("lo") + window).alias("hi"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -235,12 +236,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     content = keep(content)
     whole = met.join(content, ["shard", "run"]).where("first < doc_id").select("doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n") + window - 1).alias("hi"))
     many = content.groupBy("shard").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    left = met.join(content.join(many, "shard"), ["shard", "run"]).where("first = doc_id").select("shard", "doc_id", "at", "n", "contexts", "run")
-    left = keep(left.dropDuplicates(["shard", "run", "doc_id"]).drop("run"))
+    left = met.join(content.join(many, "shard"), ["shard", "run"]).where("first = doc_id")
+    left = keep(left.groupBy("shard", "run", "doc_id").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("contexts").alias("contexts"), F.count("*").alias("places")))
     few, more = left.where(F.col("contexts") <= CONTEXTS), left.where(F.col("contexts") > CONTEXTS)
-    spans = whole.union(_streamed(_cut(docs, few, window), window))
+    found = _streamed(_cut(docs, few, window), window)
     if not more.isEmpty():
-        spans = spans.union(_grouped(_cut(docs, more, window), window))
+        found = found.union(_grouped(_cut(docs, more, window), window))
+    found = keep(found)
+    again = met.join(left.where("places > 1").select("shard", "run", "doc_id", F.col("at").alias("one")), ["shard", "run", "doc_id"]).where("at <> one").select("doc_id", F.col("one").alias("at"), (F.col("at") - F.col("one")).alias("off"))
+    moved = found.join(again, ["doc_id", "at"]).select("doc_id", (F.col("lo") + F.col("off")).alias("lo"), (F.col("hi") + F.col("off")).alias("hi"))
+    spans = whole.union(found.select("doc_id", "lo", "hi")).union(moved)
     return spans
 
 

@@ -1,0 +1,21 @@
+"""Cases of the corpus operators that an earlier version left out."""
+
+import pytest
+
+from lorica.llm import substring_dedup
+
+from .conftest import frame
+from .test_corpus_operators import brute_substring
+
+
+@pytest.mark.parametrize("contexts", [256, 1])
+def test_substring_dedup_of_repeated_contexts(spark, monkeypatch, contexts):
+    """A document is the first to hold a context, holds it several times, and parts of it are an earlier document's."""
+    monkeypatch.setattr(substring_dedup, "CONTEXTS", contexts)
+    passage = " ".join(f"p{i}" for i in range(60))
+    around = " ".join(f"a{i}" for i in range(40)) + " " + passage + " " + " ".join(f"z{i}" for i in range(40))
+    rows = [(1, "la " * 60), (2, "la " * 200), (3, "start " + passage + " end"), (4, " ".join([around] * 3)), (5, " ".join([around] * 2))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    expected = brute_substring(rows)
+    assert expected[2][1] == 200 and expected[4][1] == 180
+    assert got == expected
