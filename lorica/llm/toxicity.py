@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import fold, keep, texts
-from .words import ALNUM, NON_SPACE, U64, Words, join_hash, pieces, span_hashes
+from .words import ALNUM, NON_SPACE, U64, Words, join_hash, lists, pieces, span_hashes
 
 #: Letters that a sign may stand for. Fixed values.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "+": "t", "|": "il", "!": "i"}
@@ -30,8 +30,10 @@ OTHER, EDGE, SYMBOLS = 26, 27, 28
 PREFIXES = (4, 5, 6)
 #: Rows of labels that are broadcast at most (about 20 bytes each).
 BROADCAST_LABELS = 2_000_000
-#: Features of the model, at most: those that say most. A feature counts from MIN_DOCS toxic documents on.
-MAX_FEATURES, MIN_DOCS, MIN_ODDS = 50_000, 3, 2.0
+#: A feature counts from MIN_DOCS toxic documents on.
+MIN_DOCS, MIN_ODDS = 3, 2.0
+#: Features that are broadcast at most (16 bytes each): those that say most. The others are joined.
+BROADCAST_FEATURES = 500_000
 
 _CODE = np.full(256, EDGE, np.int64)
 _CODE[128:] = OTHER
@@ -186,13 +188,15 @@ def features(array: pa.Array, model: np.ndarray, memo: dict[bytes, str], wanted:
 
 @dataclass
 class Model:
-    """Character costs, the features (sorted hashes) and their weights, and the slope and bias of the score."""
+    """Character costs, the features (sorted hashes) and their weights, and the slope and bias of the score.
+    rest: the features (h, w) beyond those that are broadcast, if there are any."""
 
     characters: np.ndarray
     hashes: np.ndarray
     weights: np.ndarray
     slope: float = 1.0
     bias: float = 0.0
+    rest: DataFrame | None = None
 
     def evidence(self, array: pa.Array, memo: dict[bytes, str]) -> np.ndarray:
         d, h = features(array, self.characters, memo, self.hashes)
@@ -227,11 +231,17 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
     toxic, clean = n["t"], n["n"] - n["t"]
     odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(clean + 1.0))
     weighed = rows.mapInArrow(count, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= MIN_DOCS).withColumn("w", odds).where(F.col("w") >= MIN_ODDS)
-    top = weighed.orderBy((F.col("t") * F.col("w")).desc(), "h").limit(MAX_FEATURES).select("h", "w").toArrow()
+    weighed, rest = keep(weighed), None
+    first = weighed.select("h", "w")
+    if weighed.count() > BROADCAST_FEATURES:
+        first = keep(weighed.orderBy((F.col("t") * F.col("w")).desc(), "h").limit(BROADCAST_FEATURES).select("h", "w"))
+        rest = keep(weighed.select("h", "w").join(first, "h", "left_anti"))
+    top = first.toArrow()
     h = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     model = Model(characters, h[order], top["w"].to_numpy()[order])
     known = docs.sparkSession.sparkContext.broadcast(model)
+    model = replace(model, rest=rest)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, str] = {}
@@ -239,11 +249,33 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
             x = known.value.evidence(b.column(1), memo)
             yield pa.RecordBatch.from_arrays([pa.array(np.round(x * 4).astype(np.int32)), pa.array(b.column(2).to_numpy().astype(np.int32))], ["x", "toxic"])
 
-    seen = rows.mapInArrow(rate, "x int, toxic int").groupBy("x", "toxic").count().toArrow()
+    rated = rows.mapInArrow(rate, "x int, toxic int") if rest is None else _joined(rows, model, "toxic").select(F.rint(F.col("x") * 4).cast("int").alias("x"), "toxic")
+    seen = rated.groupBy("x", "toxic").count().toArrow()
     model.slope, model.bias = logistic(seen["x"].to_numpy() / 4, seen["toxic"].to_numpy(), seen["count"].to_numpy())
     return model
 
 
+def _joined(rows: DataFrame, model: Model, *others: str) -> DataFrame:
+    """doc_id, the other columns (int) and x, the evidence, for a model with features that are not broadcast."""
+    sent = rows.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    names = ["row", "doc_id", *others, "x", "h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, memo = sent.value, {}
+        for b in pieces(batches):
+            d, h = features(b.column(2), m.characters, memo)
+            at = np.minimum(np.searchsorted(m.hashes, h), max(len(m.hashes) - 1, 0))
+            hit = m.hashes[at] == h if len(m.hashes) else np.zeros(len(h), bool)
+            x = np.bincount(d[hit], m.weights[at[hit]], minlength=b.num_rows)
+            more = lists(h[~hit].view(np.int64), np.bincount(d[~hit], minlength=b.num_rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(b.column(i) for i in range(3, b.num_columns)), pa.array(x.astype(float)), more], names)
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *(F.col(c).cast("int").alias(c) for c in others))
+    found = keep(numbered.mapInArrow(run, ", ".join(["row long, doc_id long", *(f"{c} int" for c in others), "x double, h array<long>"])))
+    more = found.select("row", F.explode("h").alias("h")).join(model.rest, "h").groupBy("row").agg(F.sum("w").alias("more"))
+    return found.join(more, "row", "left").select("doc_id", *others, F.least(F.col("x") + F.coalesce("more", F.lit(0.0)), F.lit(40.0)).alias("x"))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Slope and bias of a logistic curve through counted points, slightly drawn to (1, -1)."""
     w, prior, pull = np.array([1.0, -1.0]), np.array([1.0, -1.0]), np.array([1e-2, 1e-2])
@@ -261,6 +293,9 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, score (0 to 1), predicted (1 from 0.5 on). Null and empty texts get the score of
     no evidence; rows that repeat a doc_id are scored one by one."""
+    if model.rest is not None:
+        x = F.lit(model.slope) * F.col("x") + F.lit(model.bias)
+        return _joined(texts(docs), model).select("doc_id", (1 / (1 + F.exp(-x))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lorica.llm import substring_dedup
+from lorica.llm import substring_dedup, toxicity
 from lorica.operators import audit
 
 from .conftest import frame
@@ -33,3 +33,16 @@ def test_leaks_of_whole_items_anywhere(spark, monkeypatch):
         monkeypatch.setattr(audit, "LEAK_KEYS", keys)
         assert {tuple(r) for r in audit.leaks(frame(spark, rows), needles).collect()} == expected
     assert audit.leaks(frame(spark, rows), needles.limit(0)).count() == 0
+
+
+def test_toxicity_keeps_every_feature(spark, monkeypatch):
+    """Each toxic document has one word of its own group as its only evidence."""
+    bad = ["idiot", "moron", "loser", "wretch", "scoundrel"]
+    rows = [(k, f"the river runs by {k}", 0) for k in range(100)] + [(k, f"the {bad[k % 5]} runs by {k}", 1) for k in range(100, 160)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(300, "the wretch"), (300, "the wretch"), (301, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    score = lambda: sorted((r["doc_id"], round(r["score"], 9), r["predicted"]) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
+    whole = score()
+    monkeypatch.setattr(toxicity, "BROADCAST_FEATURES", 1)
+    assert score() == whole
+    assert all(p == (100 <= i <= 300) for i, _, p in whole)
