@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import spans
+from .spans import SPAN, alternate, spans
 from .store import texts
 
 #: Patterns of the base kinds, in the order in which kinds are listed.
@@ -19,10 +19,12 @@ WINDOW = 20
 CLASSES = [
     ("entropy_hex", "0123456789abcdef", 3.0),
     ("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.6),
+    ("entropy_hex_upper", "0123456789ABCDEF", 3.0),
+    ("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", 3.6),
     ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.9),
 ]
-#: Candidates that hold one of these are no secrets: placeholders, runs of the alphabet, UUIDs, example keys.
-ALLOWED = [r"(?i)example|placeholder|changeme|redacted|dummy", r"(?i)0123456789|abcdefghij|(.)\1{5}", r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"]
+#: Windows that overlap one of these are no secrets: placeholders, runs of the alphabet, UUIDs, example keys.
+ALLOWED = [r"(?i)example|placeholder|changeme|redacted|dummy", r"(?i)0123456789|abcdefghij|(.)\1{5,}", r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"]
 
 
 def _class_pattern(alphabet: str) -> str:
@@ -55,13 +57,24 @@ def dense(candidate: Column, alphabet: str, bits: float, window: int = WINDOW) -
     return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), zero, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
 
 
+def _between(s: Column, allow: str, window: int) -> Column:
+    """The pieces of a found span between matches of the allow-list, where a window has room."""
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.char_length(x["gap"])
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), x["gap"].alias("found"))
+        return F.struct((end + F.coalesce(F.char_length(x["found"]), F.lit(0))).alias("at"), F.when(F.char_length(x["gap"]) >= window, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(alternate(s["found"], allow), F.struct(s["start"].alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+
+
 def _listed(kind: str, rank: int, found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
 def scan(docs: DataFrame, window: int = WINDOW, classes: list[tuple[str, str, float]] | None = None, allowed: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id and the arrays assign, access, hex (base) and added (entropy), each of structs
-    start, rank, end, kind. Added spans lie in no base span of the same document and hold nothing of the allow-list.
+    start, rank, end, kind. Added spans lie in no base span of the same document and overlap nothing of the allow-list.
     Null and empty texts have no spans; positions are code points."""
     allow = "|".join(f"(?:{a})" for a in (ALLOWED if allowed is None else allowed))
     out = texts(docs)
@@ -74,7 +87,7 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: list[tuple[str, str, fl
 
     def dense_spans(kind: str, rank: int, alphabet: str, bits: float) -> Column:
         found = spans(text, _class_pattern(alphabet))
-        candidates = F.filter(found, lambda s: ~s["found"].rlike(allow)) if allow else found
+        candidates = F.flatten(F.transform(found, lambda s: F.when(s["found"].rlike(allow), _between(s, allow, window)).otherwise(F.array(s)))) if allow else found
         rated = F.transform(candidates, lambda s: F.struct(s["start"].alias("at"), dense(s["found"], alphabet, bits, window).alias("d")))
         hot = F.filter(rated, lambda s: s["d"]["lo"].isNotNull())
         return _listed(kind, rank, F.transform(hot, lambda s: F.struct((s["at"] + s["d"]["lo"]).alias("start"), (s["at"] + s["d"]["hi"]).alias("end"))))
