@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
+from ahocorasick import Automaton
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..llm.store import keep
-from ..llm.words import NON_SPACE, U64, Words, pieces, runs
 
 
 def found_all(html: Column, pattern: str, group: int = 1) -> Column:
@@ -74,65 +72,45 @@ def missing_controls(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(F.array_except(named, ids)).alias("missing"))
 
 
-#: Keys of needles that are broadcast in one pass (8 bytes each).
-LEAK_KEYS = 1_000_000
+#: Bytes of needles that are broadcast in one pass; further needles take further passes.
+LEAK_BYTES = 16 << 20
+#: Characters of a needle that the automaton knows; what follows is compared at the place found.
+LEAK_KEY = 64
 
 
-def _leak_keys(array: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each run of ``length`` bytes in the texts of an Arrow array."""
-    w = Words(array, NON_SPACE)
-    h = runs(w.data.astype(U64), length)
-    row = np.repeat(np.arange(len(array)), np.diff(w.offsets))[: len(h)]
-    inside = np.arange(len(h)) + length <= w.offsets[1:][row]
-    return row[inside], h[inside]
-
-
-def leaks(documents: DataFrame, needles: DataFrame, length: int = 40) -> DataFrame:
-    """(doc_id, item_id): documents that hold the whole text of an item, anywhere. Empty items are in no document.
-
-    An item's key is the hash of its first ``length`` bytes, or of all if it has fewer. Documents with such a run of
-    bytes at any offset meet the items of that key, and the pair counts if the document contains the item.
-    """
-    names = ["item_id", "needle", "size", "k"]
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, needle in enumerate(b.column(1).to_pylist()):
-                size = min(len(needle.encode()), length)
-                k = _leak_keys(pa.array([needle]), size)[1][:1]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([size], pa.int32()), pa.array(k.view(np.int64))], names)
-
-    item = needles.schema["item_id"].dataType.simpleString()
-    n = keep(needles.where("text <> ''").select("item_id", F.col("text").alias("needle")).mapInArrow(keyed, f"item_id {item}, needle string, size int, k long"))
-    keys = keep(n.select("size", "k").distinct())
+def leaks(documents: DataFrame, needles: DataFrame) -> DataFrame:
+    """(doc_id, item_id): documents that hold the whole text of an item, anywhere. Empty and null items are in no
+    document. Every text passes once through an automaton of the beginnings of the items; a place where an item begins
+    is compared with all of it."""
+    doc, item = (t.schema[c].dataType.simpleString() for t, c in ((documents, "doc_id"), (needles, "item_id")))
+    n = needles.where("text <> ''").select("item_id", F.col("text").alias("needle")).distinct()
     texts = documents.where("text is not null").select("doc_id", "text")
-    doc = texts.schema["doc_id"].dataType.simpleString()
+    blocks = max(1, -(-(n.agg(F.sum(F.octet_length("needle")).alias("b")).first()["b"] or 0) // LEAK_BYTES))
 
-    def candidates(sent: Broadcast) -> DataFrame:
+    def found(sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches):
-                rows, found = [], []
-                for size, wanted in sent.value.items():
-                    row, h = _leak_keys(b.column(1), size)
-                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    pair = np.unique(np.stack([row[hit].astype(U64), h[hit]]), axis=1)
-                    rows.append(pair[0].astype(np.int64))
-                    found.append(pair[1])
-                at, h = np.concatenate(rows), np.concatenate(found)
-                for i, k in zip(at, h, strict=True):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([k]).view(pa.int64())], ["doc_id", "text", "k"])
-
-        return texts.mapInArrow(run, f"doc_id {doc}, text string, k long")
-
-    blocks, parts = -(-keys.count() // LEAK_KEYS), []
-    for block in range(blocks):
-        part = keys.where(F.pmod("k", F.lit(blocks)) == block).toArrow()
-        size, k = part["size"].to_numpy(), part["k"].to_numpy().view(U64)
-        if len(k):
-            parts.append(candidates(documents.sparkSession.sparkContext.broadcast({int(x): np.sort(k[size == x]) for x in np.unique(size)})))
-    if not parts:
-        return documents.select("doc_id").crossJoin(n.select("item_id")).limit(0)
-    return union(*parts).join(n, "k").where(F.contains("text", F.col("needle"))).select("doc_id", "item_id").distinct()
+            wanted = sent.value.column("needle").to_pylist()
+            keys: dict[str, list[int]] = {}
+            for i, x in enumerate(wanted):
+                keys.setdefault(x[:LEAK_KEY], []).append(i)
+            machine = Automaton()
+            for k, rows in keys.items():
+                machine.add_word(k, (len(k), rows))
+            machine.make_automaton()
+            for b in batches:
+                pairs = set()
+                for d, t in enumerate(b.column(1).to_pylist()):
+                    for end, (size, rows) in machine.iter(t):
+                        pairs.update((d, i) for i in rows if (d, i) not in pairs and t.startswith(wanted[i], end + 1 - size))
+                at = [pa.array([p[k] for p in sorted(pairs)], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at[0]), sent.value.column("item_id").combine_chunks().take(at[1])], ["doc_id", "item_id"])
+
+        return texts.mapInArrow(run, f"doc_id {doc}, item_id {item}")
+
+    parts = [n.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == k).toArrow() for k in range(blocks)]
+    send = documents.sparkSession.sparkContext.broadcast
+    got = [found(send(p)) for p in parts if p.num_rows]
+    return union(*got).distinct() if got else documents.select("doc_id").join(n.select("item_id"), F.lit(False))
 
 
 def schema_failures(posts: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ ORACLE: dict[str, str] = {
     + " from r where score between 1 and 5 group by candidate",
     "lab_completion": "with r as (select count(*) filter (where cast(l_quantity as int) % 6 between 1 and 5) as d, count(*) as n from lineitem) select d as complete, n as total, cast(case when n = 0 then 0 else (d * 200 + n) // (n * 2) end as bigint) as percent from r",
     "lab_shuffle": "select c as case_id, s_suppkey as candidate, row_number() over (partition by c order by sha256('seed-1:' || c || ':' || s_suppkey)) as place from supplier, range(1, 7) t(c)",
-    "review_leaks": r"select distinct doc_id, item_id from documents d join benchmark b on length(b.text) >= 40 and (starts_with(d.text, left(b.text, 40)) or contains(d.text, ' ' || left(b.text, 40)) or contains(d.text, chr(10) || left(b.text, 40)) or contains(d.text, chr(9) || left(b.text, 40)))",
+    "review_leaks": "select distinct doc_id, item_id from documents d join benchmark b on b.text <> '' and contains(d.text, b.text)",
     "article_schema_failures": "with p as (select * from documents) select doc_id as id, 'no_title' as rule from p where coalesce(text, '') = '' union all select doc_id, 'short_text' from p where length(coalesce(text, '')) < 50",
     "cascade_resolve": f"""with d as (select * from {_literal(DECLARATIONS, "selector, prop, value, lo, hi, ord")}), w as (select * from (values (320), (480), (768), (1024), (1440)) v(width))
       select selector, prop, width, arg_max(value, ord) as value from d, w where coalesce(lo <= width, true) and coalesce(width <= hi, true) group by all""",
