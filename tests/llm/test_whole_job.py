@@ -6,7 +6,6 @@ import string
 import pytest
 
 from lorica.llm import secrets, substring_dedup, toxicity
-from lorica.operators import audit
 
 from .conftest import frame
 from .test_corpus_operators import brute_substring
@@ -25,19 +24,6 @@ def test_substring_dedup_of_repeated_contexts(spark, monkeypatch, contexts):
     assert got == expected
 
 
-def test_leaks_of_whole_items_anywhere(spark, monkeypatch):
-    long = "the quick brown fox jumps over the lazy dog and runs away"
-    items = [(1, long), (2, "short – key"), (3, "x"), (4, ""), (5, None), (6, long[:45] + " otherwise")]
-    rows = [(1, f'"{long}"'), (2, long[:44]), (3, "(short – key)"), (4, "short - key"), (5, None), (6, ""), (7, "mix" + long[:45] + " otherwise"), (8, "short"), (9, " – key")]
-    needles = spark.createDataFrame(items, "item_id long, text string")
-    expected = {(d, i) for d, t in rows for i, x in items if x and t and x in t}
-    assert len(expected) == 6
-    for keys in (1_000_000, 1):
-        monkeypatch.setattr(audit, "LEAK_KEYS", keys)
-        assert {tuple(r) for r in audit.leaks(frame(spark, rows), needles).collect()} == expected
-    assert audit.leaks(frame(spark, rows), needles.limit(0)).count() == 0
-
-
 def test_toxicity_keeps_every_feature(spark, monkeypatch):
     """Each toxic document has one word of its own group as its only evidence."""
     bad = ["idiot", "moron", "loser", "wretch", "scoundrel"]
