@@ -7,13 +7,12 @@ valid in its format, different values get different pseudonyms, and equal values
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import alternate
+from .spans import alternate, let
 from .store import texts
 
 ROUNDS = 8
@@ -40,11 +39,6 @@ START = r"(?<![A-Za-z0-9_.%/+-])(?=[A-Za-z._%+-]*+[0-9@(])"
 ANY = START + "(?:" + "|".join(SHAPES.values()) + ")"
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, alternate, spans
+from .spans import alternate, let, placed, spans
 from .store import texts
 
 #: Patterns of the base kinds, in the order in which kinds are listed.
@@ -32,40 +32,47 @@ def _class_pattern(alphabet: str) -> str:
     return f"[{inner}]{{{WINDOW},}}"
 
 
+#: Bits of one count in a packed number, and counts in one number. A count is a window's length at most.
+BITS, PACKED = 5, 12
+
+
 def dense(candidate: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
     """struct(lo, hi): from the first to the end of the last window whose entropy reaches bits (lo null if none).
 
-    One fold over the characters keeps a count per character and the sum of c*log2(c); a step adds one character and
-    drops the one that leaves, so that only two terms of the sum change.
+    One fold over the characters (split once) keeps their counts in the window, packed into a few numbers, and the sum
+    of c*log2(c); a step adds one character and drops the one that leaves: two counts and two terms of the sum change,
+    whatever the length of the candidate.
     """
+    if window >= 1 << BITS:
+        raise ValueError(f"a window has less than {1 << BITS} characters")
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    index = lambda i: F.instr(F.lit(alphabet), F.substring(candidate, i, F.lit(1)))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
-
-    def bumped(counts: Column, k: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, j: F.when(j + 1 == k, c + by).otherwise(c))
-
-    def step(s: Column, i: Column) -> Column:
-        leaves = F.when(i > window, index(i - window)).otherwise(F.lit(0))
-        gone = F.when(i > window, F.element_at(s["counts"], F.greatest(leaves, F.lit(1))))
-        left = F.when(i > window, bumped(s["counts"], leaves, -1)).otherwise(s["counts"])
-        here = F.element_at(left, index(i))
-        total = s["sum"] - F.coalesce(term(gone) - term(gone - 1), F.lit(0.0)) + term(here + 1) - term(here)
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // PACKED)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+    row = lambda k: F.floor(k / PACKED).cast("int")
+    unit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (k % PACKED) * BITS)
+    count = lambda counts, k: F.call_function("shiftright", F.get(counts, row(k)), (k % PACKED) * BITS) % (1 << BITS)
+
+    def step(s: Column, x: Column) -> Column:
+        here, gone = x["here"], x["gone"]
+        gone_count = F.when(gone >= 0, count(s["counts"], gone))
+        here_count = count(s["counts"], here) - F.when(gone == here, 1).otherwise(0)
+        total = s["sum"] - F.coalesce(term(gone_count) - term(gone_count - 1), F.lit(0.0)) + term(here_count + 1) - term(here_count)
+        changed = F.transform(s["counts"], lambda c, j: c + F.when(j == row(here), unit(here)).otherwise(0) - F.when((gone >= 0) & (j == row(gone)), unit(gone)).otherwise(0))
+        i = s["i"] + 1
         hot = (i >= window) & (F.lit(float(window)) * (F.log2(F.lit(float(window))) - bits) + 1e-9 >= total)
-        return F.struct(bumped(left, index(i), 1).alias("counts"), total.alias("sum"), F.when(s["lo"].isNull() & hot, i - window).otherwise(s["lo"]).alias("lo"), F.when(hot, i).otherwise(s["hi"]).alias("hi"))
+        return F.struct(changed.alias("counts"), total.alias("sum"), i.alias("i"), F.when(s["lo"].isNull() & hot, i - window).otherwise(s["lo"]).alias("lo"), F.when(hot, i).otherwise(s["hi"]).alias("hi"))
+
+    def walk(codes: Column) -> Column:
+        leaving = F.concat(F.array_repeat(F.lit(-1), window), codes)
+        both = F.zip_with(codes, F.slice(leaving, F.lit(1), F.size(codes)), lambda here, gone: F.struct(here.alias("here"), gone.alias("gone")))
+        return F.aggregate(both, zero, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), zero, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+    return let(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1), walk)
 
 
 def _between(s: Column, allow: str, window: int) -> Column:
     """The pieces of a found span between matches of the allow-list, where a window has room."""
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.char_length(x["gap"])
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), x["gap"].alias("found"))
-        return F.struct((end + F.coalesce(F.char_length(x["found"]), F.lit(0))).alias("at"), F.when(F.char_length(x["gap"]) >= window, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(alternate(s["found"], allow), F.struct(s["start"].alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+    wide = F.filter(placed(alternate(s["found"], allow), s["start"]), lambda x: F.char_length(x["gap"]) >= window)
+    return F.transform(wide, lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.char_length(x["gap"])).alias("end"), x["gap"].alias("found")))
 
 
 def _listed(kind: str, rank: int, found: Column) -> Column:
@@ -75,7 +82,8 @@ def _listed(kind: str, rank: int, found: Column) -> Column:
 def scan(docs: DataFrame, window: int = WINDOW, classes: list[tuple[str, str, float]] | None = None, allowed: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id and the arrays assign, access, hex (base) and added (entropy), each of structs
     start, rank, end, kind. Added spans lie in no base span of the same document and overlap nothing of the allow-list.
-    Null and empty texts have no spans; positions are code points."""
+    Null and empty texts have no spans; positions are code points. Rows are scanned one by one: repeated ids, null ids
+    and repeated rows each have a row of their own; an empty table gives none; other columns are not looked at."""
     allow = "|".join(f"(?:{a})" for a in (ALLOWED if allowed is None else allowed))
     out = texts(docs)
     text = F.col("text")

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,found:string>>"
+#: Entries that a fold appends to one list before it begins another.
+CHUNK = 256
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def alternate(text: Column, pattern: str) -> Column:
@@ -14,15 +23,38 @@ def alternate(text: Column, pattern: str) -> Column:
     return F.zip_with(F.split(text, pattern, -1), F.concat(found, F.array(F.lit(None).cast("string"))), lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
 
 
+def before(lengths: Column) -> Column:
+    """For each length of an array the sum of those before it. Appending to a list copies it, so the fold fills short
+    lists, which are joined at the end."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("now"), F.array().cast("array<array<int>>").alias("full"))
+
+    def step(s: Column, n: Column) -> Column:
+        whole = F.size(s["now"]) >= CHUNK
+        return F.struct(
+            (s["at"] + n).alias("at"),
+            F.when(whole, F.array(s["at"])).otherwise(F.array_append(s["now"], s["at"])).alias("now"),
+            F.when(whole, F.array_append(s["full"], s["now"])).otherwise(s["full"]).alias("full"),
+        )
+
+    return F.aggregate(lengths, none, step, lambda s: F.flatten(F.array_append(s["full"], s["now"])))
+
+
+def placed(cuts: Column, at: Column) -> Column:
+    """Structs of where a cut of alternate() starts (its gap, counted from at), its gap and its match."""
+
+    def zipped(c: Column) -> Column:
+        sizes = F.transform(c, lambda x: F.char_length(x["gap"]) + F.coalesce(F.char_length(x["found"]), F.lit(0)))
+        return F.zip_with(c, before(sizes), lambda x, n: F.struct((at + n).alias("at"), x["gap"].alias("gap"), x["found"].alias("found")))
+
+    return let(cuts, zipped)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """start and end (code points, end exclusive) and text of each leftmost match."""
-    none = F.array().cast(SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["found"]), F.lit(0))
-        one = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.when(x["found"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
+    def one(x: Column) -> Column:
+        start = x["at"] + F.char_length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.char_length(x["found"])).alias("end"), x["found"].alias("found"))
 
-    walked = F.aggregate(alternate(text, pattern), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    matched = F.filter(placed(alternate(text, pattern), F.lit(0)), lambda x: x["found"].isNotNull())
+    return F.when(text.rlike(pattern), F.transform(matched, one)).otherwise(F.array().cast(SPAN))

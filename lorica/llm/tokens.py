@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import texts
-from .words import LOWER, NON_SPACE, Words, pieces, span_hashes
+from .words import LOWER, NON_SPACE, Words, distinct_spans, pieces, span_hashes
 
 #: Distinct pre-tokens that a task remembers, and those that its Python worker keeps beyond that number and after the
 #: task: the ones met first, among them the frequent ones.
@@ -71,8 +71,11 @@ class Units:
     def docs(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def text(self, i: int) -> str:
-        return str(self.data[self.start[i] : self.end[i]].tobytes(), "utf-8")
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """(the distinct pre-tokens, for each pre-token which of them it is), told apart by their bytes."""
+        at, content = distinct_spans(self.data, self.start, self.end, self.hash)
+        whole = self.data.tobytes()
+        return [whole[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)], content
 
 
 _KNOWN: dict[tuple, Pieces] = {}
@@ -118,14 +121,13 @@ class Pieces:
 
     def of(self, units: Units) -> tuple[np.ndarray, list]:
         """(for each unit the index of its pre-token, what each distinct pre-token has)."""
-        uniq, at, inverse = np.unique(units.hash, return_index=True, return_inverse=True)
-        keys = uniq.tolist()
+        keys, inverse = units.distinct()
         got = list(map(self.seen.get, keys))
         new = [i for i, x in enumerate(got) if x is None]
         if new:
             if len(self.seen) > REMEMBERED:
                 self.forget()
-            for i, x in zip(new, self._encoded([units.text(at[i]) for i in new]), strict=True):
+            for i, x in zip(new, self._encoded([str(keys[i], "utf-8") for i in new]), strict=True):
                 self.seen[keys[i]] = got[i] = x.tobytes() if self.ids else len(x)
         return inverse, got
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,19 +34,55 @@ def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _K1 + b + U64(0x51))
 
 
+#: Bytes of a span that are hashed in blocks; longer spans are rare and get a digest each.
+LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data on, as one number (zeros after the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; spans ascend and do not overlap."""
-    lens = end - start
-    if not len(lens):
-        return np.zeros(0, U64)
-    powers = np.full(int(lens.max()), _BASE, U64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    ends = np.cumsum(lens)
-    at = np.arange(ends[-1]) - np.repeat(ends - lens, lens)
-    sums = np.zeros(ends[-1] + 1, U64)
-    np.cumsum((data[at + np.repeat(start, lens)].astype(U64) + U64(1)) * powers[at], out=sums[1:])
-    return mix(sums[ends] - sums[ends - lens] + lens.astype(U64) * _K2)
+    """64-bit hash of the bytes of each span. The blocks of 8 bytes enter one after the other, each scrambled together
+    with the length and all blocks before; spans of up to 8 bytes and equal length never collide."""
+    lens, eights = end - start, _eights(data)
+    out = mix(lens.astype(U64) * _K2 + _BASE)
+    live, at = np.flatnonzero((lens > 0) & (lens <= LONG)), 0
+    while len(live):
+        left = lens[live] - at
+        out[live] = mix(out[live] ^ (eights[start[live] + at] & _MASKS[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(lens > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a span of each distinct content, for each span the index of its content). Spans of equal hash are compared byte
+    by byte, so that contents are never mixed up."""
+    _, at, content = np.unique(h, return_index=True, return_inverse=True)
+    lens, other, eights = end - start, at[content], _eights(data)
+    same = lens == lens[other]
+    live, k = np.flatnonzero(same & (other != np.arange(len(other))) & (lens > 0)), 0
+    while len(live) and k < LONG:
+        left = lens[live] - k
+        ok = ((eights[start[live] + k] ^ eights[start[other[live]] + k]) & _MASKS[np.minimum(left, 8)]) == 0
+        same[live[~ok]] = False
+        live, k = live[ok & (left > 8)], k + 8
+    for i in live:
+        j = other[i]
+        same[i] = data[start[i] : end[i]].tobytes() == data[start[j] : end[j]].tobytes()
+    if not same.all():
+        more: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same):
+            content[i] = more.setdefault(data[start[i] : end[i]].tobytes(), len(at) + len(more))
+        first = {int(content[i]): i for i in np.flatnonzero(~same)[::-1]}
+        at = np.append(at, [first[k] for k in sorted(first)]).astype(np.int64)
+    return at, content
 
 
 class Words:
