@@ -85,13 +85,12 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: list[tuple[str, str, fl
     Null and empty texts have no spans; positions are code points. Rows are scanned one by one: repeated ids, null ids
     and repeated rows each have a row of their own; an empty table gives none; other columns are not looked at."""
     allow = "|".join(f"(?:{a})" for a in (ALLOWED if allowed is None else allowed))
-    out = texts(docs)
     text = F.col("text")
-    out = out.withColumns({
+    kinds = {
         "assign": _listed("assign", 0, F.filter(spans(text, ASSIGN), lambda s: F.char_length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 6)),
         "access": _listed("access", 1, F.filter(spans(text, ACCESS), lambda s: F.char_length(s["found"]) >= 20)),
-        "hex": _listed("hex", 2, F.filter(spans(text, "[0-9a-f]{24,}"), lambda s: s["end"] - s["start"] >= 24)),
-    })
+        "hex": _listed("hex", 2, spans(text, "[0-9a-f]{24,}")),
+    }
 
     def dense_spans(kind: str, rank: int, alphabet: str, bits: float) -> Column:
         found = spans(text, _class_pattern(alphabet))
@@ -101,10 +100,11 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: list[tuple[str, str, fl
         return _listed(kind, rank, F.transform(hot, lambda s: F.struct((s["at"] + s["d"]["lo"]).alias("start"), (s["at"] + s["d"]["hi"]).alias("end"))))
 
     added = [dense_spans(kind, rank, alphabet, bits) for rank, (kind, alphabet, bits) in enumerate(classes or CLASSES, 3)]
-    base = F.concat("assign", "access", "hex")
-    return out.withColumn("base", F.array_sort(base)).withColumn(
-        "added", F.filter(F.concat(*added), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    ).drop("text")
+    # bound as lambda variables: the optimizer may copy a column's expression to where it is used, here into a loop
+    covered = lambda base: F.filter(F.concat(*added), lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    own = lambda f: [f[k].alias(k) for k in kinds]
+    every = let(F.struct(*(c.alias(k) for k, c in kinds.items())), lambda f: let(F.array_sort(F.concat(*(f[k] for k in kinds))), lambda base: F.struct(*own(f), base.alias("base"), covered(base).alias("added"))))
+    return texts(docs).select("doc_id", every.alias("found")).select("doc_id", "found.*")
 
 
 def joined(spans_: Column) -> Column:

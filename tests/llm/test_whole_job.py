@@ -1,14 +1,18 @@
 """Cases of the corpus operators that an earlier version left out."""
 
+import datetime
+import math
 import random
 import string
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from lorica.llm import secrets, substring_dedup, toxicity
+from lorica.llm import pii, secrets, substring_dedup, toxicity
 
 from .conftest import frame
-from .test_corpus_operators import brute_substring
+from .test_corpus_operators import brute_substring, entropy_spans, feistel, luhn
 
 
 @pytest.mark.parametrize("contexts", [256, 1])
@@ -46,3 +50,80 @@ def test_secrets_beside_allowed_words_and_in_one_case(spark):
     cover = lambda i, part: any(x["start"] <= rows[i - 1][1].index(part) + 1 and rows[i - 1][1].index(part) + len(part) - 1 <= x["end"] for x in found[i])
     assert cover(1, key) and cover(2, key[:-1]) and cover(2, key[::-1][1:]) and cover(3, upper) and cover(4, lower)
     assert found[5] == []
+
+
+def _expected(value, kind, key):
+    """The pseudonym of a valid value, by a plain Feistel network."""
+    digits = [c for c in value if c.isdigit()]
+
+    def laid(new):
+        it = iter(new)
+        return "".join(next(it) if c.isdigit() else c for c in value)
+
+    def string(d, name):
+        h = len(d) // 2
+        a, b = feistel(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), key, name)
+        return f"{a:0{h}d}{b:0{len(d) - h}d}"
+
+    d = "".join(digits)
+    if kind == "ip":
+        o = [int(x) for x in value.split(".")]
+        a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "card":
+        body = string(d[:-1], "card")
+        return laid(body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "iban":
+        body = string(value[4:], "iban")
+        number = int(body + "".join(str(ord(c) - 55) for c in value[:2]) + "00")
+        return f"{value[:2]}{98 - number % 97:02d}{body}"
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        a, b = feistel(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+        return f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if kind == "phone":
+        one, ten = d[:-10], d[-10:]
+        a, b = feistel(int(ten[:3]) - 200, (int(ten[3:6]) - 200) * 10000 + int(ten[6:]), 800, 8_000_000, key, "phone")
+        return laid(f"{one}{a + 200}{b // 10000 + 200}{b % 10000:04d}")
+    form = {"iso_date": "%Y-%m-%d", "dot_date": "%d.%m.%Y", "slash_date": "%d/%m/%Y"}[kind]
+    first = datetime.date(1900, 1, 1)
+    day = (datetime.datetime.strptime(value, form).date() - first).days
+    a, b = feistel(day // 271, day % 271, 270, 271, key, "date")
+    return (first + datetime.timedelta(days=a * 271 + b)).strftime(form)
+
+
+def test_pii_of_every_kind(spark, empty):
+    values = [
+        ("ip", "10.2.3.4"), ("ip", "255.255.0.1"), ("card", "4111-1111-1111-1111"), ("card", "378282246310005"), ("iban", "DE89370400440532013000"), ("iso_date", "1990-02-28"),
+        ("dot_date", "24.12.1999"), ("slash_date", "31/01/2001"), ("ssn", "123-45-6789"), ("ssn", "667-01-0001"), ("phone", "+1 (456) 555-2186"), ("phone", "212.555.0199"),
+    ]
+    got = pii.pseudonymise(frame(spark, [(i, f"see {v} here") for i, (_, v) in enumerate(values)]), "key").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {i: f"see {_expected(v, k, 'key')} here" for i, (k, v) in enumerate(values)}
+    assert pii.pseudonymise(empty, "key").count() == 0
+    rows = [(1, "http://10.2.3.4/ and 1990-02-28T10:00:00Z"), (1, "http://10.2.3.4/ and 1990-02-28T10:00:00Z"), (None, "mail x.y@a-b.example.org. or x@mail.example.org.5, not x@localhost")]
+    text = [r["text"] for r in pii.pseudonymise(frame(spark, rows), "key").collect()]
+    ip, day = _expected("10.2.3.4", "ip", "key"), _expected("1990-02-28", "iso_date", "key")
+    assert text[0] == text[1] == f"http://{ip}/ and {day}T10:00:00Z"
+    assert text[2].startswith("mail p") and ".invalid. or p" in text[2] and text[2].endswith(".invalid.5, not x@localhost")
+
+
+def test_pii_and_secrets_of_very_long_runs(spark):
+    r = random.Random(4)
+    key = "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(60_000))
+    rows = [(1, "x@" + "a." * 500_000 + "! 10.2.3.4"), (2, "9" * 300_000 + " 1-" * 100_000), (3, "a@" * 200_000), (4, key)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "key").collect()}
+    assert got[1] == rows[0][1].replace("10.2.3.4", _expected("10.2.3.4", "ip", "key")) and [got[k] for k in (2, 3, 4)] == [t for _, t in rows[1:]]
+    found = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["added"]] for r in secrets.scan(docs).collect()}
+    at = lambda k: -sum(c / 20 * math.log2(c / 20) for c in Counter(key[k : k + 20]).values()) >= 3.9 - 1e-9
+    hot = [k for k in range(len(key) - 19) if at(k)]
+    assert found[4][-1] == (hot[0], "entropy_base64", hot[-1] + 20) and found[4] == entropy_spans(key, []) and found[2] == found[3] == []
+
+
+def test_secrets_of_many_candidates(spark):
+    r = random.Random(6)
+    text = " ".join("".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(15, 30))) for _ in range(3000))
+    rows = [(1, text), (1, text), (None, "password=abcdefgh")]
+    got = secrets.scan(frame(spark, rows)).select("doc_id", F.size("added").alias("n"), "added", "base").collect()
+    expected = sorted((a, k, b) for a, k, b in entropy_spans(text, []))
+    assert [sorted((x["start"], x["kind"], x["end"]) for x in g["added"]) for g in got[:2]] == [expected] * 2 and len(got[2]["base"]) == 1
