@@ -4,26 +4,65 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; the setting is made here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below ``spark.checkpoint.dir``. Where that is unset, a folder of this machine serves a session that
+    runs on this machine alone; on a cluster the setting is needed."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lorica-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lorica-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_LOCAL: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _STAGE:
+        _STAGE[-1].append(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table_] = path
+    return table_
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes kept tables; nothing that reads them may run any more."""
+    for t in tables:
+        delete(t.sparkSession, _PATHS.pop(t))
+
+
+_STAGE: list[list[str]] = []
+
+
+@contextmanager
+def stage(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was kept within it but the table kept last: a stage's result."""
+    _STAGE.append([])
+    try:
+        yield
+    finally:
+        paths = _STAGE.pop()
+        for path in paths[:-1]:
+            delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
