@@ -35,3 +35,13 @@ def completion(done: DataFrame) -> DataFrame:
     """Percent of rows that are done, halves upwards, 0 of none."""
     n, d = F.count("*"), F.count(F.when(F.col("done"), True))
     return done.agg(d.alias("complete"), n.alias("total"), F.when(n == 0, 0).otherwise(F.floor((d * 200 + n) / (n * 2))).cast("long").alias("percent"))
+
+
+def revealed(ratings: DataFrame, key: DataFrame) -> DataFrame:
+    """ratings (case_id, code, ...) with the candidate that the key (case_id, code, candidate) names; others are dropped."""
+    return ratings.join(key, ["case_id", "code"])
+
+
+def enabled(candidates: DataFrame) -> DataFrame:
+    """Candidates that are not switched off."""
+    return candidates.where(F.coalesce("enabled", F.lit(True)))

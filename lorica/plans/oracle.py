@@ -88,16 +88,6 @@ ORACLE: dict[str, str] = {
       there as (select distinct {_path('url')} as path from pages)
       select page_id, target from w where {_path("regexp_replace(target, '[?#].*$', '')")} not in (select path from there)
         and {_path("regexp_replace(target, '[?#].*$', '')")} || '/' not in (select path from there)""",
-    "page_audit_failures": r"""with p as (select page_id, html, regexp_extract_all(html, '(?i)\sid=["'']([^"'']+)["'']', 1) as ids,
-        [cast(x as int) for x in regexp_extract_all(html, '(?i)<h([1-6])\b', 1)] as levels from pages),
-      r as (select page_id, len(regexp_extract_all(html, '(?i)<h1\b')) as h1, len(ids) - len(list_distinct(ids)) as dup,
-        len(list_filter(regexp_extract_all(html, '(?i)<img\b[^>]*>'), lambda t: not regexp_matches(t, '(?i)\balt='))) as bare,
-        len(regexp_extract_all(html, '(?i)\b(?:href|src)=["'']#?["'']')) as empty,
-        trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) as title,
-        len(list_filter(range(2, len(levels) + 1), lambda i: levels[i] - levels[i - 1] > 1)) as jumps from p)
-      select page_id, 'h1' as rule, h1 as detail from r where h1 <> 1 union all select page_id, 'duplicate_ids', dup from r where dup > 0
-      union all select page_id, 'image_alt', bare from r where bare > 0 union all select page_id, 'empty_link', empty from r where empty > 0
-      union all select page_id, 'no_title', 1 from r where title = '' union all select page_id, 'heading_jump', jumps from r where jumps > 0""",
     "duplicate_titles": r"""with t as (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '&(?:amp|quot|#39|lt|gt);', ' ', 'g'), '\s+', ' ', 'g')) as title from pages)
       select title, count(*) as pages, min(page_id) as first_page from t where title <> '' group by title having count(*) > 1""",
     "redirect_routing": f"""with r as (select distinct {_path('url')} as path from pages)

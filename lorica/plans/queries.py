@@ -125,11 +125,6 @@ def link_integrity(spark, d):
     return audit.broken_links(T.table(spark, d, "pages"))
 
 
-@query
-def page_audit_failures(spark, d):
-    return audit.page_failures(T.table(spark, d, "pages"))
-
-
 @query
 def duplicate_titles(spark, d):
     return audit.duplicate_titles(T.table(spark, d, "pages"))

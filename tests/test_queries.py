@@ -5,8 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lorica.plans.oracle import ORACLE
-from lorica.plans.queries import QUERIES
+from lorica.plans import ORACLE, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
