@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ BLOCK_PHRASES = 200_000
 #: Postings looked at together within a task.
 LIST_WORDS = 1 << 20
 
-INDEX_SCHEMA = "doc_ids array<long>, starts array<int>, lengths array<int>, terms array<long>, ends array<int>, positions array<int>"
-_INDEX = pa.schema([("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
+INDEX_SCHEMA = "rows array<long>, doc_ids array<long>, starts array<int>, lengths array<int>, terms array<long>, ends array<int>, positions array<int>"
+_INDEX = pa.schema([("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
 
 
 def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
@@ -37,9 +38,9 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
-        total = 0
+        total, done = 0, TaskContext.get().partitionId() << 40
 
-        def flush() -> pa.RecordBatch:
+        def flush(done: int) -> pa.RecordBatch:
             ids = [x for i, _, _ in held for x in i]
             lengths = np.concatenate([c for _, c, _ in held])
             h = np.concatenate([x for _, _, x in held]).view(np.int64)
@@ -48,7 +49,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
             order = np.argsort(h, kind="stable")
             terms, first = np.unique(h[order], return_index=True)
             one = lambda x, kind: lists(x, np.array([len(x)]), kind)
-            cols = [pa.array([ids], pa.list_(pa.int64())), one(starts.astype(np.int32), pa.int32()), one(lengths.astype(np.int32), pa.int32()), one(terms, pa.int64()), one(np.append(first[1:], len(h))[: len(terms)].astype(np.int32), pa.int32()), one(at[order].astype(np.int32), pa.int32())]
+            cols = [one(done + np.arange(len(ids)), pa.int64()), pa.array([ids], pa.list_(pa.int64())), one(starts.astype(np.int32), pa.int32()), one(lengths.astype(np.int32), pa.int32()), one(terms, pa.int64()), one(np.append(first[1:], len(h))[: len(terms)].astype(np.int32), pa.int32()), one(at[order].astype(np.int32), pa.int32())]
             return pa.RecordBatch.from_arrays(cols, schema=_INDEX)
 
         for b in pieces(batches):
@@ -56,10 +57,10 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
             held.append((b.column(0).to_pylist(), w.counts(), w.hash))
             total += len(w.hash)
             if total >= SEGMENT_WORDS:
-                yield flush()
-                held, total = [], 0
+                yield flush(done)
+                held, total, done = [], 0, done + sum(len(i) for i, _, _ in held)
         if held:
-            yield flush()
+            yield flush(done)
 
     return keep(texts(docs).mapInArrow(index, INDEX_SCHEMA))
 
@@ -68,7 +69,7 @@ class Segment:
     """The postings of one row of the index."""
 
     def __init__(self, row: pa.StructScalar | dict):
-        self.doc_ids = row["doc_ids"]
+        self.doc_ids, self.rows = row["doc_ids"], row["rows"]
         self.starts, self.lengths, self.ends, self.positions = (np.asarray(row[k], np.int64) for k in ("starts", "lengths", "ends", "positions"))
         self.terms = np.asarray(row["terms"], np.int64)
         self.begins = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
@@ -129,20 +130,20 @@ class Segment:
             return []
         codes = codes[np.argsort((self.ends - self.begins)[codes], kind="stable")]
         lists_ = [self.positions[self.begins[c] : self.ends[c]] for c in codes]
-        found = set()
-        for p in lists_[0]:
-            doc = int(np.searchsorted(self.starts, p, "right")) - 1
-            lo, hi = self.starts[doc], self.starts[doc] + self.lengths[doc] - 1
-            for left in range(int(max(lo, p - distance)), int(p) + 1):
-                right = min(hi, left + distance)
-                if all((i := np.searchsorted(x, left)) < len(x) and x[i] <= right for x in lists_[1:]):
-                    found.add(doc)
-                    break
-        return [self.doc_ids[d] for d in sorted(found)]
+        # a narrowest window starts at one of the terms; the rarest term leaves few of them
+        left = np.concatenate(lists_)
+        doc = np.searchsorted(self.starts, left, "right") - 1
+        right = np.minimum(left + distance, self.starts[doc] + self.lengths[doc] - 1)
+        for x in lists_:
+            i = np.searchsorted(x, left)
+            ok = (i < len(x)) & (x[np.minimum(i, len(x) - 1)] <= right)
+            left, right, doc = left[ok], right[ok], doc[ok]
+        return [self.doc_ids[d] for d in np.unique(doc)]
 
 
 def phrase_table(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, terms) for each distinct window of each item; an item of fewer words is one window. Null: none."""
+    """(item_id, terms) for each distinct window of each item; an item of fewer words is one window. Null texts have
+    none. Rows that repeat an item_id, or have none, are one item."""
     schema = pa.schema([("item_id", pa.int64()), ("terms", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +165,10 @@ def blocks(phrases: DataFrame, limit: int = BLOCK_PHRASES) -> list[DataFrame]:
 
 
 def search(index: DataFrame, parts: list[DataFrame], window: int = WINDOW) -> DataFrame:
-    """One row per document and block of phrases (see blocks()): doc_id, n_words, hits (positions of hit words), items (ids of the
-    items with an occurring phrase), both without repeats."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+    """One row per document and block of phrases (see blocks()): row (its number in the index), doc_id, n_words, hits
+    (positions of hit words), items (ids of the items with an occurring phrase), both without repeats. Without phrases:
+    no hits."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
     spark = index.sparkSession
     out = None
     for block in parts:
@@ -175,13 +177,14 @@ def search(index: DataFrame, parts: list[DataFrame], window: int = WINDOW) -> Da
         terms = np.zeros((len(lengths), window), np.int64)
         for i, x in enumerate(rows["terms"].to_pylist()):
             terms[i, : len(x)] = x
-        sent = spark.sparkContext.broadcast((rows["item_id"].to_numpy(), terms, lengths))
+        named = rows["item_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        sent = spark.sparkContext.broadcast((named.indices.to_numpy().astype(np.int64), named.dictionary, terms, lengths))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, terms, lengths = sent.value
+            items, ids, terms, lengths = sent.value
             for batch in batches:
                 for k in range(batch.num_rows):
-                    s = Segment({n: batch.column(i)[k].values.to_numpy(zero_copy_only=False) if n != "doc_ids" else batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)})
+                    s = Segment({n: batch.column(i)[k].values.to_numpy(zero_copy_only=False) if n not in ("rows", "doc_ids") else batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)})
                     which, at = s.phrases(terms, lengths)
                     hit = np.zeros(len(s.at) + window + 1, np.int64)
                     np.add.at(hit, at, 1)
@@ -191,9 +194,9 @@ def search(index: DataFrame, parts: list[DataFrame], window: int = WINDOW) -> Da
                     counts = np.bincount(doc, minlength=len(s.starts)) if len(pos) else np.zeros(len(s.starts), int)
                     pairs = np.unique(np.stack([np.searchsorted(s.starts, at, "right") - 1, items[which]]), axis=1) if len(at) else np.zeros((2, 0), int)
                     n_items = np.bincount(pairs[0].astype(int), minlength=len(s.starts)) if pairs.size else np.zeros(len(s.starts), int)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(s.lengths, pa.int64()), lists((pos - s.starts[doc]).astype(np.int32), counts, pa.int32()), lists(pairs[1].astype(np.int64), n_items, pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.rows, pa.int64()), pa.array(s.doc_ids, pa.int64()), pa.array(s.lengths, pa.int64()), lists((pos - s.starts[doc]).astype(np.int32), counts, pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_items)]), pa.int32()), ids.take(pa.array(pairs[1].astype(np.int64))))], schema=schema)
 
-        part = index.mapInArrow(find, "doc_id long, n_words long, hits array<int>, items array<long>")
+        part = index.mapInArrow(find, "row long, doc_id long, n_words long, hits array<int>, items array<long>")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -215,13 +218,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """One row per document: doc_id, n_words, n_hit, items (sorted as strings), contaminated.
 
     Words are runs of ASCII letters (lower-cased), digits and characters beyond ASCII. A word is hit if it lies in an
-    occurrence of a window of an item. Null and empty texts have no words; items without words have no window;
-    documents that repeat a doc_id are told apart only while the phrases fit one block, else their hits are merged.
+    occurrence of a window of an item. Null and empty texts have no words; items without words have no window. The words of
+    an item without item_id are hit as well; it counts as an item of that name: null, which is listed last. Every row is searched for itself: rows that repeat a doc_id, or have none, each get their own answer. An empty table
+    gives no rows; other columns are not looked at.
     """
     index = build_index(docs, gap=window)
     parts = blocks(phrase_table(benchmark, window))
     found = search(index, parts, window)
     if len(parts) > 1:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), names.alias("items"), (F.size("hits") > 0).alias("contaminated"))

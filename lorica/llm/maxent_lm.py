@@ -3,10 +3,12 @@
 P(word | history) = P(group | history) * P(class | group, history) * P(word | class). The classes are the most frequent
 words, the end of a text, and sets of words by their last two bytes; SPLIT classes each are a group. Both choices are
 softmaxes of SPLIT over summed weights of hashed n-gram and skip features, so that a token costs two small softmaxes
-and not one over all classes; P(word | class) is the smoothed relative frequency. Weights are trained in rounds: every
-task of a round runs gradient steps over all its training texts from the weights broadcast, and sends the change of
-each weight vector with the number of its uses; the changes are averaged by use. The weight table has a fixed size
-whatever the corpus, and there are a few training tasks for each core, so that what a round gathers is bounded too.
+and not one over all classes; P(word | class) is the smoothed relative frequency. Weights are trained in rounds. The
+training texts are dealt once to shards of a given number of tokens by a hash of id and text, and sorted within them, so
+that neither the cores of the cluster nor the files of the input change the model. In a round each shard runs gradient
+steps over its texts from the weights broadcast, and sends the change of each weight vector with the number of its uses;
+the changes are averaged by use, in as many levels as there are powers of FAN shards. The table of contexts grows with
+the square root of the vocabulary, and the shards with the table, so that what a round sends stays in proportion.
 
 Word counts cover all training texts. Frequent words (at most FREQUENT of them) are broadcast; all others of a
 document are joined to their counts by a shuffle.
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, texts
+from .store import drop, keep, texts
 from .words import NON_SPACE, U64, Words, join_hash, lists, pieces
 
 #: Classes: single words, the end, groups by ending; START stands before a text.
@@ -33,15 +35,26 @@ END_CLASS, CLASSES, START = 31, 64, 64
 SPLIT = 8
 VECTORS = 1 + CLASSES // SPLIT
 END = np.uint64(0xE4D0F7E87000001)
-WORD_ROWS = 1 << 14
-PAIR, SKIP, WORD, BIGRAM = 0, 65 * 65, 65 * 65 + 65 * 65, 65 * 65 + 65 * 65 + WORD_ROWS
-ROWS = BIGRAM + WORD_ROWS
+#: Hashed words and pairs of words have 2^BITS rows of the weight table each, in a vocabulary of up to VOCABULARY words;
+#: twice as many for each four times as many words, up to 2^MOST_BITS (150 MB of weights).
+BITS, VOCABULARY, MOST_BITS = 14, 1 << 22, 18
+PAIR, SKIP, WORD = 0, 65 * 65, 65 * 65 + 65 * 65
 #: Frequent words that are broadcast at most (16 bytes each).
 FREQUENT = 1 << 20
 ROUNDS, BATCH, RATE = 2, 8192, 0.3
-#: Training tasks for each core of the cluster.
-TASKS_PER_CORE = 4
-SHARDS = 32
+#: Tokens of a training shard for each hashed word row.
+TOKENS_PER_ROW = 256
+#: Parts of the weight table that are averaged apart, and changes that are averaged in one place.
+PARTS, FAN = 32, 64
+
+
+def word_bits(vocabulary: int) -> int:
+    return min(MOST_BITS, BITS + max(0, (vocabulary // VOCABULARY).bit_length()) // 2)
+
+
+def rows_of(bits: int) -> int:
+    """Rows of the weight table."""
+    return WORD + (2 << bits)
 
 
 @dataclass
@@ -74,7 +87,7 @@ class Tokens:
         i = np.minimum(np.searchsorted(singles, self.hash), len(singles) - 1)
         return np.where(singles[i] == self.hash, i, self.ending)
 
-    def features(self, classes: np.ndarray) -> np.ndarray:
+    def features(self, classes: np.ndarray, bits: int) -> np.ndarray:
         """Rows of the weight table for each token: the pair of classes before, the classes one and two further back
         (skip), the word before, the two words before."""
         at = np.arange(len(self.hash)) - self.first[:-1][self.docs()]
@@ -86,8 +99,8 @@ class Tokens:
 
         c1, c2, c3 = (back(classes.astype(np.int64), k, np.int64(START)) for k in (1, 2, 3))
         h1, h2 = (back(self.hash, k, U64(1)) for k in (1, 2))
-        low = U64(WORD_ROWS - 1)
-        return np.stack([PAIR + c1 * 65 + c2, SKIP + c2 * 65 + c3, WORD + (h1 & low).astype(np.int64), BIGRAM + (join_hash(h2, h1) & low).astype(np.int64)], 1)
+        low, size = U64((1 << bits) - 1), 1 << bits
+        return np.stack([PAIR + c1 * 65 + c2, SKIP + c2 * 65 + c3, WORD + (h1 & low).astype(np.int64), WORD + size + (join_hash(h2, h1) & low).astype(np.int64)], 1)
 
 
 def _summed(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -153,42 +166,84 @@ def word_counts(train: DataFrame) -> DataFrame:
     return keep(train.mapInArrow(count, "h long, ending int, c long").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("c").alias("c")))
 
 
-def _round(train: DataFrame, weights: np.ndarray, singles: np.ndarray) -> np.ndarray:
-    sent = train.sparkSession.sparkContext.broadcast((weights, singles))
-    total = ROWS * VECTORS
+def sharded(train: DataFrame, tokens: int, bits: int) -> tuple[DataFrame, int]:
+    """(doc_id, text, shard) and the number of shards, stored so that a shard lies in one row group of one file, which one
+    task reads."""
+    shards = max(1, -(-tokens // (TOKENS_PER_ROW << bits)))
+    key = F.xxhash64("doc_id", "text")
+    dealt = train.select("doc_id", "text", F.pmod(key, F.lit(shards)).cast("int").alias("shard"))
+    return keep(dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("text", "doc_id"))), shards
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, own = sent.value
-        w, square, uses = start.copy(), np.zeros(total, np.float32), np.zeros(total, np.int64)
-        for b in pieces(batches):
-            t = Tokens.of(b.column(1))
-            c = t.classes(own)
-            rows = t.features(c)
-            for i in range(0, len(c), BATCH):
-                step(w, square, uses, rows[i : i + BATCH], c[i : i + BATCH])
-        for i in range(SHARDS):
-            used = np.flatnonzero(uses[i::SHARDS])
-            if len(used):
-                at = used * SHARDS + i
-                change = (w[at] - start[at]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([used.astype(np.int32).tobytes()]), pa.array([uses[at].astype(np.float32).tobytes()]), pa.array([change.tobytes()])], ["shard", "at", "uses", "change"])
+
+def _averaged(changes: DataFrame, shards: int, total: int) -> DataFrame:
+    """(part, mean): of changes (part, source, uses, change), both summed over FAN sources at a time until one is left."""
+    size = -(-total // PARTS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        key, n, x = None, np.zeros(0), np.zeros(0)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.arange(size, dtype=np.int32).tobytes()]), pa.array([n.astype(np.float32).tobytes()]), pa.array([(x / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()])], _CHANGE)
+
         for b in batches:
-            for shard, at, uses, change in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                n, x = sums.setdefault(shard, (np.zeros(-(-total // SHARDS)), np.zeros((-(-total // SHARDS), SPLIT))))
+            for part, group, at, uses, change in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if key != (part, group):
+                    if key:
+                        yield out()
+                    key, n, x = (part, group), np.zeros(size), np.zeros((size, SPLIT))
                 at, uses = np.frombuffer(at, np.int32), np.frombuffer(uses, np.float32).astype(np.float64)
                 n[at] += uses
-                x[at] += np.frombuffer(change, np.float16).reshape(-1, SPLIT) * uses[:, None]
-        for shard, (n, x) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([(x / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()])], ["shard", "mean"])
+                x[at] += np.frombuffer(change, np.float16 if len(change) == 2 * SPLIT * len(at) else np.float32).reshape(-1, SPLIT) * uses[:, None]
+        if key:
+            yield out()
+
+    while True:
+        grouped = changes.select("part", F.floor(F.col("source") / FAN).cast("int").alias("grp"), "at", "uses", "change", "source")
+        changes = grouped.repartition("part", "grp").sortWithinPartitions("part", "grp", "source").drop("source").mapInArrow(add, _CHANGES)
+        shards = -(-shards // FAN)
+        if shards == 1:
+            return changes.select("part", F.col("change").alias("mean"))
+
+
+_CHANGE = ["part", "source", "at", "uses", "change"]
+_CHANGES = "part int, source int, at binary, uses binary, change binary"
+
+
+def _round(train: DataFrame, shards: int, weights: np.ndarray, singles: np.ndarray, bits: int) -> np.ndarray:
+    sent = train.sparkSession.sparkContext.broadcast((weights, singles))
+    total = rows_of(bits) * VECTORS
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, own = sent.value
+        shard, w, square, uses = None, start, np.zeros(0), np.zeros(0)
+
+        def changes() -> Iterator[pa.RecordBatch]:
+            for i in range(PARTS):
+                used = np.flatnonzero(uses[i::PARTS])
+                at = used * PARTS + i
+                change = (w[at] - start[at]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([shard], pa.int32()), pa.array([used.astype(np.int32).tobytes()]), pa.array([uses[at].astype(np.float32).tobytes()]), pa.array([change.tobytes()])], _CHANGE)
+
+        for whole in pieces(batches):
+            of = whole.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                b = whole.slice(lo, hi - lo)
+                if shard != of[lo]:
+                    if shard is not None:
+                        yield from changes()
+                    shard, w, square, uses = int(of[lo]), start.copy(), np.zeros(total, np.float32), np.zeros(total, np.int64)
+                t = Tokens.of(b.column(1))
+                c = t.classes(own)
+                rows = t.features(c, bits)
+                for i in range(0, len(c), BATCH):
+                    step(w, square, uses, rows[i : i + BATCH], c[i : i + BATCH])
+        if shard is not None:
+            yield from changes()
 
-    few = train.coalesce(TASKS_PER_CORE * train.sparkSession.sparkContext.defaultParallelism)
-    sums = few.mapInArrow(learn, "shard long, at binary, uses binary, change binary").repartition("shard").mapInArrow(add, "shard long, mean binary")
     out = weights.copy()
-    for r in sums.toArrow().to_pylist():  # SHARDS rows, together as large as the weights
-        own = out[r["shard"] :: SHARDS]
+    for r in _averaged(train.mapInArrow(learn, _CHANGES), shards, total).toArrow().to_pylist():  # PARTS rows, together as large as the weights
+        own = out[r["part"] :: PARTS]
         own += np.frombuffer(r["mean"], np.float32).reshape(-1, SPLIT)[: len(own)]
     return out
 
@@ -202,6 +257,7 @@ class Model:
     frequent_counts: np.ndarray
     tokens: int
     distinct: int
+    bits: int
 
 
 def train_model(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
@@ -224,10 +280,13 @@ def train_model(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFram
     often = counts.where(F.col("c") >= 2**level).select("h", "c").toArrow()
     h = often["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    weights = np.zeros((ROWS * VECTORS, SPLIT), np.float32)
+    bits = word_bits(total["v"])
+    weights = np.zeros((rows_of(bits) * VECTORS, SPLIT), np.float32)
+    dealt, shards = sharded(train, total["n"], bits)
     for _ in range(rounds):
-        weights = _round(train, weights, singles)
-    return Model(weights, singles, np.log10(sizes[:, 0] + 0.5 * (sizes[:, 1] + 1)), h[order], often["c"].to_numpy()[order], total["n"], total["v"]), counts
+        weights = _round(dealt, shards, weights, singles, bits)
+    drop(dealt)
+    return Model(weights, singles, np.log10(sizes[:, 0] + 0.5 * (sizes[:, 1] + 1)), h[order], often["c"].to_numpy()[order], total["n"], total["v"], bits), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -241,7 +300,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for b in pieces(batches):
             t, n = Tokens.of(b.column(1)), b.num_rows
             docs_, c = t.docs(), t.classes(m.singles)
-            rows, logs = t.features(c), np.empty(len(c))
+            rows, logs = t.features(c, m.bits), np.empty(len(c))
             for i in range(0, len(c), BATCH):
                 at, taken = choices(rows[i : i + BATCH], c[i : i + BATCH])
                 p = log_choice(m.weights, at)[np.arange(len(at)), taken]

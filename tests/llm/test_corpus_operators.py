@@ -340,9 +340,9 @@ def test_maxent(spark, docs, rows, empty):
 
 def test_class_softmax_sums_to_one():
     t = maxent_lm.Tokens.of(pa.array(["a b c a b", None, "Zz"]))
-    w = np.random.default_rng(1).normal(size=(maxent_lm.ROWS * maxent_lm.VECTORS, maxent_lm.SPLIT)).astype(np.float32)
-    rows = t.features(t.classes(np.zeros(0, np.uint64)))
-    assert np.allclose(np.exp(maxent_lm.log_softmax(w, rows)).sum(1), 1, atol=1e-5) and rows.max() < maxent_lm.ROWS
+    w = np.random.default_rng(1).normal(size=(maxent_lm.rows_of(15) * maxent_lm.VECTORS, maxent_lm.SPLIT)).astype(np.float32)
+    rows = t.features(t.classes(np.zeros(0, np.uint64)), 15)
+    assert np.allclose(np.exp(maxent_lm.log_softmax(w, rows)).sum(1), 1, atol=1e-5) and rows.max() < maxent_lm.rows_of(15)
     assert len(t.hash) == 9 and (t.hash == maxent_lm.END).sum() == 3
 
 
