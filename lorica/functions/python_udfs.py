@@ -8,13 +8,19 @@ from __future__ import annotations
 import re
 import unicodedata
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import accumulate, groupby
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-_MARKS = re.compile("[ً-ٰٟۖ-ۭ]")
-_SEARCH_MARKS = re.compile("[ً-ّْـ]")
+#: Vowel signs of Arabic that each form leaves out. Fixed values.
+_MARKS = re.compile("[\\u064B-\\u065F\\u0670\\u06D6-\\u06ED]")
+_SEARCH_MARKS = re.compile("[\\u064B-\\u0652\\u0640]")
+
+
+_NEITHER = regex.compile(r"[^\p{L}\p{N}]+")
 
 
 def match_form_of(s: str | None) -> str:
@@ -22,7 +28,7 @@ def match_form_of(s: str | None) -> str:
     if not s:
         return ""
     bare = _MARKS.sub("", unicodedata.normalize("NFKD", s))
-    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in bare).split()).lower()
+    return _NEITHER.sub(" ", bare).strip().lower()
 
 
 def search_form_of(s: str | None) -> str:
@@ -82,15 +88,42 @@ def joined_of(items: list[str]) -> str:
 
 def parts_of(items: list[str], most: int) -> list[int]:
     """For each piece the number of its part; a part is filled as long as its joined text has at most ``most`` bytes."""
-    out, part, held = [], 0, []
+    out, part, used, end = [], 0, 0, ""
     for item in items:
-        if held and len(joined_of([*held, item]).encode()) > most:
-            part, held = part + 1, []
-        held.append(item)
+        size = len(item.encode())
+        glue = 0 if not used else 1 if end in ".!؟؛:" else 2
+        if used and used + glue + size > most:
+            part, used, glue = part + 1, 0, 0
+        used, end = used + glue + size, item[-1:]
         out.append(part)
     return out
 
 
+def speech_weight_of(text: str) -> float:
+    """A length in time: words, letters and pauses. As functions.text.speech_weight."""
+    letters = len("".join(text.split()))
+    return max(1.0, len(text.split()) + letters / 22 + sum(c in ".!؟" for c in text) * 1.1 + sum(c in "،؛:" for c in text) * 0.45)
+
+
+def audio_parts_of(title: str, pieces: list[tuple], most: int) -> list[dict]:
+    """The parts of an article's narration. pieces: (segment id, type, match, text) in order; the title is read first. A
+    part has its text and, for each run of pieces of one segment, the share of the part's time that it takes."""
+    rows = [(None, "title", "", title), *pieces]
+    number = parts_of([r[3] for r in rows], most)
+    out = []
+    for _, group in groupby(zip(number, rows, strict=True), key=lambda x: x[0]):
+        own = [r for _, r in group]
+        upto = list(accumulate((speech_weight_of(r[3]) for r in own), initial=0.0))
+        share = [fixed_of(x / upto[-1], 6) for x in upto]
+        sync = []
+        for segment, run in groupby(range(len(own)), key=lambda i: own[i][0]):
+            at = list(run)
+            if segment:
+                sync.append({"id": segment, "type": own[at[0]][1], "match": own[at[0]][2], "start": share[at[0]], "end": share[at[-1] + 1]})
+        out.append({"text": joined_of([r[3] for r in own]), "sync": sync})
+    return out
+
+
 #: MPEG layer III: kbit/s by index, for MPEG 1 and for MPEG 2 and 2.5. Fixed values.
 MPEG1 = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
 MPEG2 = [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 #: What JavaScript calls white space. Fixed values.
 WHITE = r"[\t\n\x0B\f\r    -     　﻿]"
+NO_WHITE = WHITE.replace("[", "[^", 1)
+#: Formats of the texts, fixed: an address, what is markup, and runs of either markup or white space.
+ADDRESS = f"https?://{NO_WHITE}+"
 _MARKUP = r"<[^>]+>|[`*_>#\[\]()|~!-]"
+_BETWEEN = f"(?:{_MARKUP}|{WHITE})+"
 READING_SPEED = 170
 
 
@@ -18,15 +22,25 @@ def replace_all(text: Column, *rules: tuple[str, str]) -> Column:
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
 
 
+def replace_where(text: Column, *rules: tuple[str, str, str]) -> Column:
+    """Rules (a literal that every match has, pattern, replacement): texts without the literal are passed over."""
+    return reduce(lambda t, r: F.when(F.contains(t, F.lit(r[0])), F.regexp_replace(t, r[1], r[2])).otherwise(t), rules, text)
+
+
+def trim(text: Column) -> Column:
+    """Without white space (of every kind) at both ends."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def without_front_block(text: Column) -> Column:
     """Drops the first block between two lines that start with ---, and only the first."""
-    return F.regexp_replace(text, r"(?s)\A((?:(?!^---).)*?)^---.*?---(.*)\z".replace("^", "(?m:^)"), "$1$2")
+    return replace_where(text, ("---", r"(?s)\A((?:(?!^---).)*?)^---.*?---(.*)\z".replace("^", "(?m:^)"), "$1$2"))
 
 
 def word_count(body: Column) -> Column:
     """Words of a Markdown text: the text of links and images counts, addresses and markup do not."""
-    plain = replace_all(without_front_block(body), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"https?://\S+", " "), (_MARKUP, " "))
-    return F.size(F.filter(F.split(plain, f"{WHITE}+"), lambda w: w != "")).cast("long")
+    plain = replace_where(without_front_block(body), ("![", r"!\[([^\]]*)\]\([^)]+\)", "$1"), ("](", r"\[([^\]]+)\]\([^)]+\)", "$1"), ("://", ADDRESS, " "))
+    return F.size(F.filter(F.split(plain, _BETWEEN), lambda w: w != "")).cast("long")
 
 
 def reading_minutes(words: Column) -> Column:
@@ -35,15 +49,15 @@ def reading_minutes(words: Column) -> Column:
 
 def excerpt(body: Column, length: int = 420) -> Column:
     """Plain text of a Markdown text: comments and images go, the text of links stays; the first ``length`` characters."""
-    plain = replace_all(body, (r"(?s)<!--.*?-->", " "), (r"!\[[^\]]*\]\([^)]+\)", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"https?://\S+", " "), (_MARKUP, " "), (f"{WHITE}+", " "))
-    return F.left(F.trim(plain), F.lit(length))
+    plain = replace_where(body, ("<!--", r"(?s)<!--.*?-->", " "), ("![", r"!\[[^\]]*\]\([^)]+\)", " "), ("](", r"\[([^\]]+)\]\([^)]+\)", "$1"), ("://", ADDRESS, " "))
+    return F.left(F.trim(F.regexp_replace(plain, _BETWEEN, " ")), F.lit(length))
 
 
 def inline_text(text: Column) -> Column:
     """Markdown of one block as it is read aloud: images and addresses go, signs of emphasis go, spaces are squeezed."""
-    return F.trim(replace_all(
+    return trim(replace_all(
         text, (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"<[^>]+>", " "), (r"[*_~`]", ""),
-        (r"\([^)]*https?://[^)]*\)", " "), (r"https?://\S+", " "), (f"{WHITE}+([،؛؟.!])", "$1"), (r"[ \t]+", " ")))
+        (r"\([^)]*https?://[^)]*\)", " "), (ADDRESS, " "), (f"{WHITE}+([،؛؟.!])", "$1"), (r"[ \t]+", " ")))
 
 
 def without_references(body: Column, arabic: bool = False) -> Column:
@@ -52,7 +66,7 @@ def without_references(body: Column, arabic: bool = False) -> Column:
     names = r"References?(?![A-Za-z0-9_])"
     if arabic:
         names = rf"(?:المصادر|المراجع|{names})"
-    return F.trim(F.regexp_replace(body, rf"(?is)\n##\s+{names}.*$", ""))
+    return trim(F.regexp_replace(body, rf"(?is)\n##\s+{names}.*$", ""))
 
 
 def escape_xml(text: Column) -> Column:
@@ -74,7 +88,7 @@ def replaced_in_order(text: Column, rules: Column) -> Column:
 
 def speech_text(text: Column) -> Column:
     """Percent signs and ranges in words, line breaks as full stops."""
-    return F.trim(replace_all(text, (rf"(\d+(?:[.,]\d+)?){WHITE}*%", "$1 في المئة"), (rf"(?<![A-Za-z0-9_])(\d+){WHITE}*[–—-]{WHITE}*(\d+)(?![A-Za-z0-9_])", "$1 إلى $2"), (r"\n+", ". "), (r"\.{2,}", "."), (f"{WHITE}+", " ")))
+    return trim(replace_all(text, (rf"(\d+(?:[.,]\d+)?){WHITE}*%", "$1 في المئة"), (rf"(?<![A-Za-z0-9_])(\d+){WHITE}*[–—-]{WHITE}*(\d+)(?![A-Za-z0-9_])", "$1 إلى $2"), (r"\n+", ". "), (r"\.{2,}", "."), (f"{WHITE}+", " ")))
 
 
 def speech_weight(text: Column) -> Column:
@@ -96,7 +110,7 @@ def compact_title(title: Column, most: int = 42) -> Column:
 
 
 def meta_description(text: Column) -> Column:
-    squeezed = F.trim(F.regexp_replace(text, f"{WHITE}+", " "))
+    squeezed = trim(F.regexp_replace(text, f"{WHITE}+", " "))
     return F.when(F.char_length(squeezed) > 160, F.concat(F.rtrim(F.left(squeezed, F.lit(157))), F.lit("…"))).otherwise(squeezed)
 
 
@@ -135,17 +149,3 @@ def image_set(path: Column, kind: str = "posts") -> Column:
 
 def plain_html(text: Column) -> Column:
     return F.trim(replace_all(text, (r"<[^>]+>", ""), (r"&(?:amp|quot|#39|lt|gt);", " "), (f"{WHITE}+", " ")))
-
-
-def alignment_score(block: Column, hint: Column) -> Column:
-    """How well a block's text fits a hint: equal, one begins the other, a long beginning or the whole is contained."""
-    shorter = F.when(F.char_length(block) < F.char_length(hint), block).otherwise(hint)
-    start = F.left(hint, F.lit(64))
-    return (
-        F.when((F.coalesce(block, F.lit("")) == "") | (F.coalesce(hint, F.lit("")) == ""), 0)
-        .when(block == hint, 1000)
-        .when(block.startswith(hint) | hint.startswith(block), 850 - F.least(F.lit(200), F.abs(F.char_length(block) - F.char_length(hint))))
-        .when((F.char_length(start) >= 16) & F.contains(block, start), 650)
-        .when((F.char_length(shorter) >= 24) & (F.contains(block, shorter) | F.contains(hint, shorter)), 500)
-        .otherwise(0)
-    )

@@ -92,36 +92,57 @@ def home_slots(posts: DataFrame, books: str) -> DataFrame:
     return taken.unionByName(whole)
 
 
+def _tag_sets(tags: Column) -> Column:
+    """Every choice from an article's tags (two at most), a doubled tag once and twice, as text."""
+    one, two = F.get(tags, F.lit(0)), F.get(tags, F.lit(1))
+    single, double = lambda t: F.concat(t, F.lit("\x01")), lambda t: F.concat(t, F.lit("\x02"))
+    both = F.concat(single(F.least(one, two)), single(F.greatest(one, two)))
+    pair = F.when(one == two, F.array(F.lit(""), single(one), double(one))).otherwise(F.array(F.lit(""), single(one), single(two), both))
+    many = F.raise_error(F.lit("an article has two tags at most")).cast("array<string>")
+    return F.when(F.coalesce(F.size(tags), F.lit(0)) <= 0, F.array(F.lit(""))).when(F.size(tags) == 1, F.array(F.lit(""), single(one))).when(F.size(tags) == 2, pair).otherwise(many)
+
+
+def _asked_sets(tags: Column) -> Column:
+    """Every choice of tags that another article may share with these: as above, and each tag twice."""
+    twice = F.transform(F.array_distinct(F.coalesce(tags, F.array().cast("array<string>"))), lambda t: F.concat(t, F.lit("\x02")))
+    return F.array_distinct(F.concat(_tag_sets(tags), twice, F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.concat(t, F.lit("\x01")))))
+
+
+def _keys(sets: Column, series: Column, category: Column) -> Column:
+    """All combinations of a choice of tags, the series or none, the category or none; tags or the series are in each."""
+    option = lambda c, name: F.filter(F.array(F.lit(""), F.concat(F.lit(name), c)), lambda x: x.isNotNull())
+    made = F.flatten(F.transform(sets, lambda t: F.flatten(F.transform(option(series, "s:"), lambda s: F.transform(option(category, "c:"), lambda c: F.struct(t.alias("t"), s.alias("s"), c.alias("c")))))))
+    return F.filter(made, lambda k: (k["t"] != "") | (k["s"] != ""))
+
+
 def related(posts: DataFrame, n: int = 3) -> DataFrame:
     """The n most related articles of each: by series (8), shared tags (3 each; a tag counts as often as the candidate
     has it) and category (1), then the newest of the category, then the newest of all.
 
-    Candidates are found by tag and by series through equal keys; only the newest n of a category and n + 1 of all are
-    added. For a tag or series with very many articles, only its newest can be among the first: equal scores are decided
-    by time; so each key hands on its candidates by score class and time, not all its pairs.
+    What two articles share is one of few combinations of tags (two at most), series and category. An article is among
+    the first n only if it is among the newest n + 1 of those that have all it shares: all others of these score at least
+    as much. So each combination hands on its newest n + 1 articles, whatever number has it, and an article asks for the
+    combinations of its own; articles alike in all three ask once.
     """
     p = posts.select("id", "category_slug", "series_slug", "tags", "published_at")
-    # articles alike in series, category and tags are scored alike: classes meet, not articles
     kind = ["category_slug", "series_slug", "tags"]
-    first = p.withColumn("rn", F.row_number().over(Window.partitionBy(*kind).orderBy(*_newest()))).where(F.col("rn") <= n + 1)
-    classes = p.select(*kind).distinct()
-    a = classes.select(*(F.col(c).alias(f"a_{c}") for c in kind))
-    key = lambda prefix: F.explode(F.array_distinct(F.concat(F.transform(F.col(f"{prefix}tags"), lambda t: F.concat(F.lit("t:"), t)), F.when(F.col(f"{prefix}series_slug").isNotNull(), F.array(F.concat(F.lit("s:"), F.col(f"{prefix}series_slug")))).otherwise(F.array()))))
-    met = a.withColumn("k", key("a_")).join(classes.withColumn("k", key("")), "k").drop("k").distinct()
+    a = p.select(*kind).distinct().select(*(F.col(c).alias(f"a_{c}") for c in kind))
+    by_class = [F.col(f"a_{c}") for c in kind]
+    has = p.withColumn("k", F.explode(_keys(_tag_sets(F.col("tags")), F.col("series_slug"), F.col("category_slug"))))
+    newest_of_key = has.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*_newest()))).where(F.col("rn") <= n + 1).drop("rn")
+    asks = a.withColumn("k", F.explode(_keys(_asked_sets(F.col("a_tags")), F.col("a_series_slug"), F.col("a_category_slug"))))
     shared = F.size(F.filter("tags", lambda t: F.array_contains("a_tags", t)))
     same = F.coalesce(F.col("a_series_slug") == F.col("series_slug"), F.lit(False))
     score = F.when(same, 8).otherwise(0) + shared * 3 + F.coalesce(F.col("a_category_slug") == F.col("category_slug"), F.lit(False)).cast("int")
-    same_kind = [met[c].eqNullSafe(first[c]) for c in kind]
-    scored = met.withColumn("score", score).join(first, same_kind).select(*(f"a_{c}" for c in kind), F.col("id").alias("candidate"), "score", "published_at", F.lit(1).alias("tier"))
-    by_class = [F.col(f"a_{c}") for c in kind]
-    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy(*by_class).orderBy(F.desc("score"), F.desc("published_at"), "candidate"))).where(F.col("rn") <= n + 1).drop("rn")
+    best = asks.join(newest_of_key, "k").select(*by_class, F.col("id").alias("candidate"), score.alias("score"), "published_at", F.lit(1).alias("tier"))
     local = p.withColumn("rn", F.row_number().over(Window.partitionBy("category_slug").orderBy(*_newest()))).where(F.col("rn") <= n + 1)
     # up to 2n + 1 of a category and of all: n may already stand higher
     in_category = a.join(local, F.col("a_category_slug") == F.col("category_slug")).select(*by_class, F.col("id").alias("candidate"), F.lit(0).alias("score"), "published_at", F.lit(2).alias("tier"))
     newest = p.orderBy(*_newest()).limit(2 * n + 1)
     anywhere = a.crossJoin(F.broadcast(newest)).select(*by_class, F.col("id").alias("candidate"), F.lit(0).alias("score"), "published_at", F.lit(3).alias("tier"))
     every = best.unionByName(in_category).unionByName(anywhere)
-    once = every.withColumn("k", F.row_number().over(Window.partitionBy(*by_class, "candidate").orderBy("tier"))).where("k = 1").drop("k")
+    once = every.groupBy(*(f"a_{c}" for c in kind), "candidate").agg(F.min(F.struct("tier", (-F.col("score")).alias("less"), "published_at")).alias("x"))
+    once = once.select(*by_class, "candidate", "x.tier", (-F.col("x.less")).alias("score"), "x.published_at")
     place = Window.partitionBy(*by_class).orderBy("tier", F.desc("score"), F.desc("published_at"), "candidate")
     few = once.withColumn("rn", F.row_number().over(place)).where(F.col("rn") <= n + 1).select(*by_class, "candidate", "rn")
     own = p.select("id", *kind)

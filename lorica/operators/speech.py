@@ -5,17 +5,17 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text
-from ..functions.python_udfs import chunks, match_form, parts_of
+from ..functions.python_udfs import audio_parts_of, chunks, match_form, parts_of
 
 BLOCKS = ArrayType(StructType([StructField("type", StringType()), StructField("raw", StringType())]))
 IN_ORDER = ("ordinal", "type", "text")
 
-_RULES = [  # what a line begins, first match wins; None ends the block before it and says nothing
+_RULES = [  # formats of lines, fixed: what a line begins, first match wins; None ends the block before it and says nothing
     (re.compile(r"\|.*\|$|[-:| ]{3,}$|!\[[^\]]*\]\([^)]*\)\s*$"), None),
     (re.compile(r"(#{2,4})\s+(.+)$"), "h"),
     (re.compile(r"(?:[-*+]\s+|\d+[.)]\s+)(.+)$"), "list-item"),
@@ -28,7 +28,7 @@ def blocks_of(body: str) -> list[tuple[str, str]]:
     body = re.sub(r"(?s)```.*?```|<!--.*?-->", "\n", body)
     out: list[tuple[str, str]] = []
     run: tuple[str, list[str]] | None = None
-    for line in [*body.splitlines(), ""]:
+    for line in [*re.split("\r?\n", body), ""]:
         line = line.strip()
         kind, said = ("paragraph", line) if line else (None, "")
         for rule, name in _RULES if line else ():
@@ -76,6 +76,21 @@ def packed(pieces: DataFrame, most: int) -> DataFrame:
     return pieces.groupBy("article_id").applyInPandas(pack, f"{fields}, part int")
 
 
+PART = "article_id long, part int, text string, sync array<struct<id:string,type:string,match:string,start:double,end:double>>"
+
+
+def audio_parts(titles: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
+    """(article_id, part, text, sync) of whole articles: titles (article_id, title) are read first, then pieces
+    (article_id, pos, id, type, match, text) in order. Sequential within an article, one task per article."""
+
+    def pack(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = right.sort_values("pos")[["id", "type", "match", "text"]].itertuples(index=False, name=None)
+        made = audio_parts_of(left["title"].iloc[0], list(rows), most) if len(left) else []
+        return pd.DataFrame([(key[0], i, p["text"], p["sync"]) for i, p in enumerate(made)], columns=["article_id", "part", "text", "sync"])
+
+    return titles.groupBy("article_id").cogroup(pieces.groupBy("article_id")).applyInPandas(pack, PART)
+
+
 def packed_sizes(segments: DataFrame, most: int) -> DataFrame:
     """Greedy packing where sizes only add up: a fold over each article's segments in order."""
     rows = F.array_sort(F.collect_list(F.struct(*IN_ORDER, F.octet_length("text").alias("bytes"))))
@@ -107,3 +122,28 @@ def merged_runs(intervals: DataFrame) -> DataFrame:
     new = F.when(F.lag("type").over(w).eqNullSafe(F.col("type")), 0).otherwise(1)
     runs = intervals.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("article_id", "run", "type").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("article_id", F.col("run").cast("long").alias("run"), "type", "start", "end")
+
+
+#: Weights of speech in 220ths of a word: a word, a letter (1/22), a strong pause (1.1), a medium one (0.45). Fixed values.
+WORD, LETTER, STRONG, MEDIUM = 220, 10, 242, 99
+
+
+def whole_weight(said: Column) -> Column:
+    """speech_weight in whole 220ths, so that sums are exact."""
+    words = F.size(F.filter(F.split(said, f"{text.WHITE}+"), lambda w: w != ""))
+    letters = F.char_length(F.regexp_replace(said, text.WHITE, ""))
+    pauses = F.regexp_count(said, F.lit("[.!؟]")) * STRONG + F.regexp_count(said, F.lit("[،؛:]")) * MEDIUM
+    return F.greatest(F.lit(WORD), words * WORD + letters * LETTER + pauses).cast("long")
+
+
+def weighted_intervals(pieces: DataFrame, micro: int = 1_000_000) -> DataFrame:
+    """pieces (article_id, part, pos, id, text): the share of its part's time that each run of pieces of one segment takes,
+    by speech weight, in millionths: (article_id, part, run, id, start, end)."""
+    w = Window.partitionBy("article_id", "part").orderBy("pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    p = pieces.withColumn("weight", whole_weight(F.col("text")))
+    p = p.withColumns({"upto": F.sum("weight").over(upto), "every": F.sum("weight").over(Window.partitionBy("article_id", "part")), "new": F.when(F.lag("id").over(w).eqNullSafe(F.col("id")), 0).otherwise(1)})
+    p = p.withColumn("run", F.sum("new").over(upto))
+    share = lambda c: F.floor(c * micro / F.col("every")).cast("long")
+    spans = p.select("article_id", "part", "run", "id", share(F.col("upto") - F.col("weight")).alias("start"), share(F.col("upto")).alias("end"))
+    return spans.groupBy("article_id", "part", "run", "id").agg(F.min("start").alias("start"), F.max("end").alias("end"))

@@ -38,7 +38,8 @@ def at_ratio(intervals: DataFrame, ratios: DataFrame, key: str = "article_id") -
 
 
 def score_of(block: str, hint: str) -> int:
-    """As functions.text.alignment_score, for one pair."""
+    """How well a block's text fits a hint: equal, one begins the other, a long beginning or the whole is contained. The
+    numbers are fixed values."""
     if not block or not hint:
         return 0
     if block == hint:
@@ -52,8 +53,9 @@ def score_of(block: str, hint: str) -> int:
 
 
 def aligned(entries: DataFrame, blocks: DataFrame, window: int = 14) -> DataFrame:
-    """entries (article_id, ordinal, id, match) find their block (article_id, pos, text), in order: a cursor moves on,
-    the next ``window`` blocks are tried first, then all after the cursor, then all before. One task per article."""
+    """entries (article_id, ordinal, id, match, and perhaps at) find their block (article_id, pos, text), in order. An
+    entry that says a place (at) which is there takes it. For the others a cursor moves on: the next ``window`` blocks
+    are tried first, then all after the cursor, then all before. One task per article."""
 
     def best(texts: list[str], hint: str, among: range, so_far: tuple[int, int]) -> tuple[int, int]:
         for i in among:
@@ -68,6 +70,11 @@ def aligned(entries: DataFrame, blocks: DataFrame, window: int = 14) -> DataFram
         texts = right.sort_values("pos")["text"].tolist()
         cursor, out = 0, []
         for e in left.sort_values("ordinal").itertuples():
+            said = getattr(e, "at", None)
+            if said is not None and said == said and 0 <= said < len(texts):
+                out.append((key[0], e.id, int(said), None))
+                cursor = max(cursor, int(said) + 1)
+                continue
             found = best(texts, e.match, range(cursor, min(len(texts), cursor + window)), (0, -1))
             for among in (range(cursor, len(texts)), range(min(cursor, len(texts)))):
                 if found[0] < 500:

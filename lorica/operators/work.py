@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,27 @@ def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def unique_provider(parts: DataFrame) -> DataFrame:
     """The first provider named in each article, and whether all its parts agree."""
     return parts.groupBy("article_id").agg(F.min_by("provider", F.when(F.col("provider") != "", F.col("pos"))).alias("provider"), (F.countDistinct(F.when(F.col("provider") != "", F.col("provider"))) <= 1).alias("consistent"))
+
+
+def with_missing_rules(rules: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rules (article_id, from, to) and those of wanted whose article and phrase have none yet."""
+    return rules.unionByName(wanted.join(rules, ["article_id", "from"], "left_anti"))
+
+
+def all_rules(common: Column, own: Column) -> Column:
+    """The rules for all articles, then those of one: arrays, either may be null."""
+    kind = "array<struct<from:string,to:string>>"
+    return F.concat(F.coalesce(common, F.array().cast(kind)), F.coalesce(own, F.array().cast(kind)))
+
+
+def found_or_error(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key; an error when they are asked for and there is none."""
+    one = rows.where(F.col(key) == F.lit(value))
+    none = rows.sparkSession.range(1).join(one.select(F.lit(True).alias("_there")).limit(1), F.lit(True), "left").where("_there is null")
+    failed = none.where(F.raise_error(F.lit(f"no row with {key} = {value}")).cast("boolean"))
+    return one.unionByName(failed.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema)))
+
+
+def exactly(ids: DataFrame, key: str, count: int) -> DataFrame:
+    """One row: distinct ids, rows, and whether there are so many, each once."""
+    return ids.agg(F.countDistinct(key).alias("distinct_ids"), F.count("*").alias("n")).withColumn("ok", (F.col("distinct_ids") == count) & (F.col("n") == count))

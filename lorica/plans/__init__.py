@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import audio, oracle, queries, site, values
+from . import audio, oracle, queries, reading, site, values
 
-QUERIES = queries.QUERIES | values.QUERIES | audio.QUERIES | site.QUERIES
-ORACLE = oracle.ORACLE | values.ORACLE | audio.ORACLE | site.ORACLE
+QUERIES = queries.QUERIES | values.QUERIES | audio.QUERIES | site.QUERIES | reading.QUERIES
+ORACLE = oracle.ORACLE | values.ORACLE | audio.ORACLE | site.ORACLE | reading.ORACLE

@@ -84,3 +84,61 @@ def crossing_stream(events: DataFrame, key: str, threshold: float, lateness: str
 def latest_stream(events: DataFrame, key: str, value: str) -> DataFrame:
     """latest() on a stream, in update or complete mode."""
     return events.groupBy(key).agg(F.max_by(value, F.struct(*ORDER)).alias(value), F.max("ts").alias("ts"))
+
+
+def playback(events: DataFrame, key: str, parts: int | Column) -> DataFrame:
+    """Where each key's player stands. events (key, ts, event_id, kind): every 'ended' moves on by one part, behind the
+    last part the article is finished and begins anew with the next 'play'; so the number of 'ended' says it all, and
+    nothing is folded. Returns part (from 0), runs (times finished) and finished (nothing was played since)."""
+    n = F.lit(parts) if isinstance(parts, int) else parts
+    seen = events.groupBy(key).agg(F.count_if(F.col("kind") == "ended").alias("ended"), F.max_by("kind", F.struct(*ORDER)).alias("last"))
+    done = (F.col("ended") > 0) & (F.col("ended") % n == 0) & (F.col("last") == "ended")
+    return seen.select(key, (F.col("ended") % n).alias("part"), F.floor(F.col("ended") / n).alias("runs"), done.alias("finished"))
+
+
+def unsuppressed(events: DataFrame, navigations: DataFrame, key: str, seconds: float = 8.0) -> DataFrame:
+    """Events at least so many seconds after the key's latest own navigation (one at the same time counts as before)."""
+    n = navigations.select(key, "ts", F.lit(None).cast("long").alias("event_id"), F.lit(0).alias("kind"))
+    e = events.select(key, "ts", "event_id", F.lit(1).alias("kind"))
+    w = Window.partitionBy(key).orderBy("ts", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    both = n.union(e).withColumn("last", F.max(F.when(F.col("kind") == 0, F.col("ts"))).over(w))
+    quiet = F.col("last").isNull() | (F.col("ts").cast("double") - F.col("last").cast("double") >= seconds)
+    return both.where((F.col("kind") == 1) & quiet).select("event_id")
+
+
+def engaged_stream(events: DataFrame, key: str, tick: int, target: int) -> DataFrame:
+    """engaged() on a stream: state is a key's number of ticks; its event goes out once."""
+    needed = -(-target // tick)
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(list(ORDER))
+        state.update((before + len(rows),))
+        at = needed - before - 1
+        yield pd.DataFrame({key: [k[0]], "event_id": [rows["event_id"].iloc[at]]} if 0 <= at < len(rows) else {key: [], "event_id": []})
+
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long", "ticks long", "append", GroupStateTimeout.NoTimeout)
+
+
+def toggled_stream(events: DataFrame, keys: list[str]) -> DataFrame:
+    """toggled() on a stream, in complete mode: keys that are switched on."""
+    return events.groupBy(*keys).agg((F.count("*") % 2 == 1).alias("on"))
+
+
+def consented_stream(events: DataFrame, key: str) -> DataFrame:
+    """consented() on one stream of both: rows (key, ts, event_id, granted), granted set for consents alone. State is the
+    key's latest consent; an event that comes before its consent is dropped."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = bool(state.exists and state.get[0]), []
+        rows = pd.concat(list(batches))
+        rows = rows.assign(kind=rows["granted"].isna()).sort_values(["ts", "kind", "event_id"])
+        for r in rows.itertuples():
+            if r.kind:
+                out += [(k[0], r.event_id)] if now else []
+            else:
+                now = bool(r.granted)
+        state.update((now,))
+        yield pd.DataFrame(out, columns=[key, "event_id"])
+
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long", "granted boolean", "append", GroupStateTimeout.NoTimeout)
