@@ -93,8 +93,9 @@ def all_rules(common: Column, own: Column) -> Column:
 def found_or_error(rows: DataFrame, key: str, value: object) -> DataFrame:
     """The rows of one key; an error when they are asked for and there is none."""
     one = rows.where(F.col(key) == F.lit(value))
-    none = rows.sparkSession.range(1).join(one.select(F.lit(True).alias("_there")).limit(1), F.lit(True), "left").where("_there is null")
-    failed = none.where(F.raise_error(F.lit(f"no row with {key} = {value}")).cast("boolean"))
+    none = rows.sparkSession.range(1).join(one.select(F.lit(True).alias("_there")).limit(1), F.lit(True), "left")
+    said = F.raise_error(F.lit(f"no row with {key} = {value}")).cast("boolean")
+    failed = none.where(F.when(F.col("_there").isNull(), said).otherwise(F.lit(False)))
     return one.unionByName(failed.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema)))
 
 
