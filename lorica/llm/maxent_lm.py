@@ -169,7 +169,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 def sharded(train: DataFrame, tokens: int, bits: int) -> tuple[DataFrame, int]:
     """(doc_id, text, shard) and the number of shards, stored so that a shard lies in one row group of one file, which one
     task reads."""
-    shards = max(1, -(-tokens // (TOKENS_PER_ROW << bits)))
+    shards = max(1, int(-(-tokens // (TOKENS_PER_ROW * (1 << bits)))))
     key = F.xxhash64("doc_id", "text")
     dealt = train.select("doc_id", "text", F.pmod(key, F.lit(shards)).cast("int").alias("shard"))
     return keep(dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("text", "doc_id"))), shards

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,60 +130,68 @@ def _span_hash(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return mix((sums[start + size] - sums[start]) * back[start] + size.astype(U64))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, a hash of the text: together they name a row, also where a doc_id repeats."""
+    return texts(docs).where("doc_id is not null").withColumn("key", F.xxhash64("text"))
+
+
 def _listed(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(shard, run, doc_id, at, n): all contexts, run naming their content."""
-    names = ["shard", "run", "doc_id", "at", "n"]
+    """(shard, run, doc_id, key, at, n): all contexts, run naming their content."""
+    names = ["shard", "run", "doc_id", "key", "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             w = Words(b.column(1), NON_SPACE)
             shard, doc, at, n = contexts(w, window, gram)
             content = _span_hash(w.hash, w.first[:-1][doc] + at, n + window - 1) if len(doc) else shard
-            yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(content.view(np.int64)), b.column(0).take(pa.array(doc)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(content.view(np.int64)), b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names)
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "shard long, run long, doc_id long, at int, n int")
+    return _keyed(docs).mapInArrow(run, "shard long, run long, doc_id long, key long, at int, n int")
 
 
 def _of_docs(docs: DataFrame, wanted: DataFrame, what: list[str]) -> DataFrame:
-    """doc_id, text and the lists of wanted (doc_id, ...), for the documents in wanted."""
-    lists_ = keep(wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*what)).alias("wanted")))
-    ids = lists_.select("doc_id")
+    """doc_id, key, text and the lists of wanted (doc_id, key, ...), for the rows in wanted."""
+    lists_ = keep(wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*what)).alias("wanted")))
+    ids = lists_.select("doc_id").distinct()
     if lists_.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(lists_, "doc_id")
+    return _keyed(docs).join(ids, "doc_id", "left_semi").join(lists_, ["doc_id", "key"]).select("doc_id", "text", "key", "wanted")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(shard, doc_id, at, words): the words of the wanted contexts as 32-bit codes."""
-    names = ["shard", "doc_id", "at", "words"]
+    """(shard, doc_id, key, at, words): the words of the wanted contexts as 32-bit codes."""
+    names = ["shard", "doc_id", "key", "at", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             w = Words(b.column(1), NON_SPACE)
-            offs = np.asarray(b.column(2).offsets)
-            flat = b.column(2).values
+            offs = np.asarray(b.column(3).offsets)
+            flat = b.column(3).values
             shard, at, n = (flat.field(i).to_numpy() for i in range(3))
             doc = np.repeat(np.arange(b.num_rows), np.diff(offs))
             shard, at, n = (x[offs[0] : offs[-1]] for x in (shard, at, n))
             size = n.astype(np.int64) + window - 1
             ends = np.cumsum(size)
             i = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(w.first[:-1][doc] + at, size)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0).take(pa.array(doc)), pa.array(at), lists((w.hash[i] >> U64(32)).astype(np.uint32).view(np.int32), size, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(at), lists((w.hash[i] >> U64(32)).astype(np.uint32).view(np.int32), size, pa.int32())], names)
+
+    return _of_docs(docs, wanted, ["shard", "at", "n"]).mapInArrow(run, "shard long, doc_id long, key long, at int, words array<int>")
 
-    return _of_docs(docs, wanted, ["shard", "at", "n"]).mapInArrow(run, "shard long, doc_id long, at int, words array<int>")
+
+_FOUND = "doc_id long, key long, at int, lo int, hi int"
 
 
 def _streamed(cut: DataFrame, window: int) -> DataFrame:
-    """(doc_id, at, lo, hi): spans of words of the context at ``at`` that an earlier document of the shard has."""
+    """(doc_id, key, at, lo, hi): spans of words of the context at ``at`` that an earlier document of the shard has."""
 
-    def shard_spans(rows: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int, int]]:
+    def shard_spans(rows: list[tuple[int, int, int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
         out, machine, held, last = [], SuffixAutomaton(), [], None
-        for doc, at, words in sorted(rows, key=lambda r: r[:2]):
+        for doc, key, at, words in sorted(rows, key=lambda r: r[:3]):
             if doc != last:  # contexts of one document do not count as earlier for each other
                 for x in held:
                     machine.add(x)
                 held, last = [], doc
-            out += [(doc, at, at + a, at + b) for a, b in machine.matches(words, window)]
+            out += [(doc, key, at, at + a, at + b) for a, b in machine.matches(words, window)]
             held.append(words)
         return out
 
@@ -190,29 +199,29 @@ def _streamed(cut: DataFrame, window: int) -> DataFrame:
         now, rows = None, []
 
         def flush() -> pa.RecordBatch:
-            found = shard_spans(rows)
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "at", "lo", "hi"])
+            found, kinds = shard_spans(rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], ["doc_id", "key", "at", "lo", "hi"])
 
         for b in batches:
-            for shard, doc, at, words in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for shard, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if shard != now:
                     if len(rows) > 1:
                         yield flush()
                     now, rows = shard, []
-                rows.append((doc, at, words))
+                rows.append(tuple(row))
         if len(rows) > 1:
             yield flush()
 
-    return cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, at int, lo int, hi int")
+    return cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _FOUND)
 
 
 def _grouped(cut: DataFrame, window: int) -> DataFrame:
-    """The same spans for shards of many contexts: windows as rows, grouped by hash."""
-    names = ["h", "doc_id", "at", "lo"]
+    """The same spans for shards of many contexts: every window is a context of its own, and equal ones meet by hash."""
+    names = ["h", "doc_id", "key", "at", "lo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            col = b.column(3)
+            col = b.column(4)
             offs = np.asarray(col.offsets).astype(np.int64)
             h = mix(col.values.to_numpy().view(np.uint32).astype(U64))
             all_ = runs(h, window)
@@ -220,41 +229,43 @@ def _grouped(cut: DataFrame, window: int) -> DataFrame:
             ends = np.cumsum(n)
             inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
             row = np.repeat(np.arange(b.num_rows), n)
-            yield pa.RecordBatch.from_arrays([pa.array(all_[inner + offs[:-1][row]].view(np.int64)), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array((b.column(2).to_numpy()[row] + inner).astype(np.int32))], names)
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(all_[inner + offs[:-1][row]].view(np.int64)), *(b.column(i).take(of) for i in (1, 2, 3)), pa.array((b.column(3).to_numpy()[row] + inner).astype(np.int32))], names)
 
-    rows = keep(cut.mapInArrow(run, "h long, doc_id long, at int, lo int"))
+    rows = keep(cut.mapInArrow(run, "h long, doc_id long, key long, at int, lo int"))
     first = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    return rows.join(first, "h").where("first < doc_id").select("doc_id", "at", "lo", (F.col("lo") + window).alias("hi"))
+    return rows.join(first, "h").where("first < doc_id").select("doc_id", "key", "at", "lo", (F.col("lo") + window).alias("hi"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, lo, hi): spans of words, made of windows that a document of smaller doc_id has too."""
+    """(doc_id, key, lo, hi): spans of words, made of windows that a document of smaller doc_id has too."""
     every = _listed(docs, window, gram)
     shared = every.groupBy("shard").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("shard")
     met = keep(every.join(shared, "shard"))
-    content = met.groupBy("shard", "run").agg(F.min("doc_id").alias("first"))
-    content = keep(content)
-    whole = met.join(content, ["shard", "run"]).where("first < doc_id").select("doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n") + window - 1).alias("hi"))
+    content = keep(met.groupBy("shard", "run").agg(F.min("doc_id").alias("first")))
+    whole = met.join(content, ["shard", "run"]).where("first < doc_id").select("doc_id", "key", F.col("at").alias("lo"), (F.col("at") + F.col("n") + window - 1).alias("hi"))
     many = content.groupBy("shard").agg(F.count("*").alias("contexts")).where("contexts > 1")
     left = met.join(content.join(many, "shard"), ["shard", "run"]).where("first = doc_id")
-    left = keep(left.groupBy("shard", "run", "doc_id").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("contexts").alias("contexts"), F.count("*").alias("places")))
+    left = left.groupBy("shard", "run", "doc_id").agg(F.min(F.struct("key", "at")).alias("one"), F.first("n").alias("n"), F.first("contexts").alias("contexts"), F.count("*").alias("places"))
+    left = keep(left.select("shard", "run", "doc_id", "one.key", "one.at", "n", "contexts", "places"))
     few, more = left.where(F.col("contexts") <= CONTEXTS), left.where(F.col("contexts") > CONTEXTS)
     found = _streamed(_cut(docs, few, window), window)
     if not more.isEmpty():
         found = found.union(_grouped(_cut(docs, more, window), window))
     found = keep(found)
-    again = met.join(left.where("places > 1").select("shard", "run", "doc_id", F.col("at").alias("one")), ["shard", "run", "doc_id"]).where("at <> one").select("doc_id", F.col("one").alias("at"), (F.col("at") - F.col("one")).alias("off"))
-    moved = found.join(again, ["doc_id", "at"]).select("doc_id", (F.col("lo") + F.col("off")).alias("lo"), (F.col("hi") + F.col("off")).alias("hi"))
-    spans = whole.union(found.select("doc_id", "lo", "hi")).union(moved)
-    return spans
+    one = left.where("places > 1").select("shard", "run", "doc_id", F.col("key").alias("one_key"), F.col("at").alias("one"))
+    again = met.join(one, ["shard", "run", "doc_id"]).where("key <> one_key or at <> one").select("doc_id", F.col("one_key").alias("key"), F.col("one").alias("at"), F.col("key").alias("to"), (F.col("at") - F.col("one")).alias("off"))
+    moved = found.join(again, ["doc_id", "key", "at"]).select("doc_id", F.col("to").alias("key"), (F.col("lo") + F.col("off")).alias("lo"), (F.col("hi") + F.col("off")).alias("hi"))
+    return whole.union(found.select("doc_id", "key", "lo", "hi")).union(moved)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the other words, joined by one space).
 
     A word goes if a window that covers it also starts in a document of smaller doc_id; windows are those of the
-    input. Null, empty and short texts lose nothing. Rows that repeat a doc_id must repeat the text; they get equal
-    answers. Rows without doc_id are kept whole and are no reference.
+    input. Null, empty and short texts lose nothing. Every row is judged for itself: rows that repeat a doc_id, with the
+    same text or another one, are no reference for each other. Rows without doc_id are kept whole and are no reference.
+    An empty table gives no rows; other columns are not looked at.
     """
     names = ["doc_id", "n_words", "n_removed", "kept"]
 
@@ -275,48 +286,55 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     schema = "doc_id long, n_words long, n_removed long, kept string"
     spans = keep(repeated_spans(docs, window, gram).distinct())
-    lists_ = keep(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    ids = lists_.select("doc_id")
+    lists_ = keep(spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     if lists_.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    whole = texts(docs).join(ids, "doc_id", "left_anti").mapInArrow(rest, schema)
-    some = texts(docs).join(ids, "doc_id", "left_semi").join(lists_, "doc_id").select("doc_id", "text", "spans").mapInArrow(rest, schema)
-    return whole.unionByName(some)
+        names_ = F.broadcast(lists_.select("doc_id", "key"))
+        rows = texts(docs).withColumn("key", F.xxhash64("text"))
+        whole = rows.join(names_, ["doc_id", "key"], "left_anti").select("doc_id", "text").mapInArrow(rest, schema)
+        some = rows.join(names_, ["doc_id", "key"], "left_semi").join(lists_, ["doc_id", "key"]).select("doc_id", "text", "spans").mapInArrow(rest, schema)
+        return whole.unionByName(some)
+    rows = texts(docs).withColumn("key", F.xxhash64("text")).join(lists_, ["doc_id", "key"], "left")
+    return rows.select("doc_id", "text", "spans").mapInArrow(rest, schema)
+
+
+#: Bytes of reference shards (as word codes) that are broadcast at once.
+BROADCAST_BYTES = 32 << 20
 
 
 def against_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW, shard_words: int = 200_000) -> DataFrame:
-    """(doc_id, lo, hi): maximal spans of docs that a reference document has. The reference (doc_id, text) is dealt to
-    shards of about shard_words words, each a suffix automaton that is broadcast in turn; every document streams
-    through every shard. For references of a bounded size, such as lists of licences or templates."""
-    rows = texts(reference).select("text").toLocalIterator()
-    spark, out = docs.sparkSession, None
+    """(doc_id, lo, hi): maximal spans of docs that a reference document has. The reference (doc_id, text) is coded and
+    dealt to shards of about shard_words words in tasks, stored, and broadcast in blocks of at most BROADCAST_BYTES; a
+    task makes each shard a suffix automaton, through which all its documents stream. For references such as lists of
+    licences or templates: every block is a pass over docs."""
+    spark = docs.sparkSession
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            w = Words(b.column(1), NON_SPACE)
+            yield pa.RecordBatch.from_arrays([lists((w.hash >> U64(32)).astype(np.uint32).view(np.int32), w.counts(), pa.int32())], ["words"])
+
+    coded = keep(texts(reference).mapInArrow(code, "words array<int>").where(F.size("words") >= window))
+    size = coded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"]
+    shards, blocks = max(1, -(-size // shard_words)), max(1, -(-4 * size // BROADCAST_BYTES))
+    dealt = coded.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
+    names, out = ["doc_id", "lo", "hi"], None
 
-    def find(sent):
+    def find(sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = SuffixAutomaton()
-            for words in sent.value:
-                machine.add(words)
+            machines: dict[int, SuffixAutomaton] = {}
+            for shard, words in zip(*sent.value, strict=True):
+                machines.setdefault(shard, SuffixAutomaton()).add(words.tolist())
             for b in pieces(batches):
                 w = Words(b.column(1), NON_SPACE)
                 h = (w.hash >> U64(32)).astype(np.uint32).view(np.int32).tolist()
-                found = [(d, lo, hi) for d, (a, z) in zip(b.column(0).to_pylist(), zip(w.first[:-1], w.first[1:], strict=True), strict=True) for lo, hi in machine.matches(h[a:z], window)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "lo", "hi"])
+                found = [(d, lo, hi) for d, (a, z) in zip(b.column(0).to_pylist(), zip(w.first[:-1], w.first[1:], strict=True), strict=True) for m in machines.values() for lo, hi in m.matches(h[a:z], window)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names)
 
         return texts(docs).mapInArrow(run, "doc_id long, lo int, hi int")
 
-    def shards() -> Iterator[list[list[int]]]:
-        held, size = [], 0
-        for r in rows:
-            w = Words(pa.array([r["text"]]), NON_SPACE)
-            held.append((w.hash >> U64(32)).astype(np.uint32).view(np.int32).tolist())
-            size += len(held[-1])
-            if size >= shard_words:
-                yield held
-                held, size = [], 0
-        if held:
-            yield held
-
-    for shard in shards():
-        part = find(spark.sparkContext.broadcast(shard))
-        out = part if out is None else out.unionByName(part)
+    for block in range(blocks):
+        rows = dealt.where(F.pmod("shard", F.lit(blocks)) == block).select("shard", "words").toArrow()
+        if rows.num_rows:
+            part = find(spark.sparkContext.broadcast((rows["shard"].to_pylist(), [x.values.to_numpy() for c in rows["words"].chunks for x in c])))
+            out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "doc_id long, lo int, hi int")
