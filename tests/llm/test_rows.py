@@ -65,7 +65,7 @@ def test_words_that_defeat_polynomials(spark):
         for at in range(0, len(ids), 2048):
             assert packed[i, at]["ids_crc32"] == zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())
     joined = table(ngram_join.ngram_join(docs), "doc_id")
-    assert all(joined[i]["component_id"] == i for i in range(20))
+    assert all(joined[i]["component_id"] == i for i, _ in rows)
     bench = spark.createDataFrame([(1, TM[0])], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).where("contaminated").collect()} == {0, 20}
     cut = table(substring_dedup.substring_dedup(docs), "doc_id")
@@ -151,7 +151,7 @@ def test_maxent_does_not_follow_partitions(spark, docs):
 def test_maxent_and_toxicity_rows(spark, odd):
     model, counts = maxent_lm.train_model(odd.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     assert listed(maxent_lm.score(odd, model, counts), "doc_id", "n_tokens") == Counter((i, len(split(t)) + 1) for i, t in ROWS)
-    bad = [(k, f"you idiot number {k}", 1) for k in range(40)] + [(k, f"the river number {k}", 0) for k in range(40, 80)]
+    bad = [(k, f"you idiot number {k}", 1) for k in range(300, 340)] + [(k, f"the river number {k}", 0) for k in range(340, 380)]
     labels = spark.createDataFrame([(i, x, "t") for i, _, x in bad] + [(7, 0, "t")], "doc_id long, toxic int, text string")
     rows = [(i, t) for i, t, _ in bad] + [(200, "1d" * 50_000 + " idiot"), (200, "1d" * 50_000 + " idiot"), (None, "idiot")] + ROWS
     every = frame(spark, rows).withColumns({"score": F.lit("s"), "h": F.lit(1), "toxic": F.lit("no")})
