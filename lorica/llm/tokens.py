@@ -1,5 +1,8 @@
 """Token counts and ids of whole texts, from distinct pre-tokens.
 
+Counts: the distinct pre-tokens of all documents are one table, in which each is encoded once; it is joined to the
+documents' frequencies. Ids (see packing): a task encodes a pre-token once as long as its worker remembers it.
+
 A pre-token is a run of bytes other than ASCII white space, or the marks at its end. The tokenizer must keep white space apart (it drops it or
 never merges across it), which is checked when it is loaded; then a text's tokens are those of its pre-tokens, one
 after the other.
@@ -8,16 +11,23 @@ after the other.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import texts
-from .words import LOWER, NON_SPACE, Words, distinct_spans, pieces, span_hashes
+from .store import keep, texts
+from .words import LOWER, NON_SPACE, Words, distinct_spans, lists, pieces, span_hashes
+
+#: Pre-tokens that are broadcast with their counts at most (about 30 bytes each).
+FREQUENT = 1 << 20
 
 #: Distinct pre-tokens that a task remembers, and those that its Python worker keeps beyond that number and after the
 #: task: the ones met first, among them the frequent ones.
@@ -71,11 +81,11 @@ class Units:
     def docs(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def distinct(self) -> tuple[list[bytes], np.ndarray]:
-        """(the distinct pre-tokens, for each pre-token which of them it is), told apart by their bytes."""
+    def distinct(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(the distinct pre-tokens, their hashes, for each pre-token which of them it is), told apart by their bytes."""
         at, content = distinct_spans(self.data, self.start, self.end, self.hash)
         whole = self.data.tobytes()
-        return [whole[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)], content
+        return [whole[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)], self.hash[at], content
 
 
 _KNOWN: dict[tuple, Pieces] = {}
@@ -121,7 +131,7 @@ class Pieces:
 
     def of(self, units: Units) -> tuple[np.ndarray, list]:
         """(for each unit the index of its pre-token, what each distinct pre-token has)."""
-        keys, inverse = units.distinct()
+        keys, _, inverse = units.distinct()
         got = list(map(self.seen.get, keys))
         new = [i for i, x in enumerate(got) if x is None]
         if new:
@@ -132,24 +142,95 @@ class Pieces:
         return inverse, got
 
 
+def distinct_tokens(docs: DataFrame, path: str) -> DataFrame:
+    """(token, c, n): each distinct pre-token of all the texts once, in how many batches of texts it was met, and its
+    number of ids; stored."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower, held = Pieces.known(path).lower, Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "c"])
+
+        for b in pieces(batches, limit=4 << 20):
+            held.update(Units(b.column(1), lower).distinct()[0])
+            if len(held) > REMEMBERED:
+                yield out()
+                held.clear()
+        yield out()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Pieces.known(path)
+        for b in batches:
+            n = [len(x) for x in known._encoded([str(t, "utf-8") for t in b.column(0).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32())], ["token", "c", "n"])
+
+    tokens = texts(docs).mapInArrow(met, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return keep(tokens.mapInArrow(encode, "token binary, c long, n int"))
+
+
+@dataclass
+class Frequent:
+    """Pre-tokens by ascending hash, and their numbers of ids."""
+
+    hash: np.ndarray
+    token: pa.Array
+    n: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> Frequent:
+        token = rows["token"].combine_chunks().cast(pa.large_binary())
+        _, offsets, data = token.buffers()
+        offs = np.frombuffer(offsets, np.int64)[token.offset : token.offset + len(token) + 1] if len(token) else np.zeros(1, np.int64)
+        h = span_hashes(np.frombuffer(data or b"", np.uint8), offs[:-1], offs[1:])
+        at = np.argsort(h, kind="stable")
+        return Frequent(h[at], token.take(pa.array(at)), rows["n"].to_numpy()[at].astype(np.int64))
+
+    def find(self, keys: list[bytes], h: np.ndarray) -> np.ndarray:
+        """The number of ids of each, -1 for those that are not among these. Bytes are compared, not hashes alone."""
+        if not len(self.n):
+            return np.full(len(keys), -1)
+        i = np.minimum(np.searchsorted(self.hash, h), len(self.n) - 1)
+        same = pc.equal(self.token.take(pa.array(i)), pa.array(keys, pa.large_binary())).to_numpy(zero_copy_only=False)
+        return np.where(same, self.n[i], -1)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_words, n_tokens, over_limit (n_tokens > limit).
 
-    Each task counts the pieces of a distinct pre-token once, joins the counts by hash to the frequencies of the
-    pre-tokens in each document, and sums. No ids are kept and nothing is shuffled. Null texts count as empty (0 tokens).
+    The pieces of each distinct pre-token of all documents are counted once. These counts are joined to the frequencies
+    of the pre-tokens in each document and summed: the FREQUENT ones met most are broadcast, those beyond are joined by
+    their bytes. No ids are kept. Null texts count as empty (0 tokens). Rows are counted one by one: repeated ids, null
+    ids and repeated rows each have a row of their own; an empty table gives none; other columns are not looked at.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
+    counts = distinct_tokens(docs, path)
+    levels = {r["k"]: r["n"] for r in counts.groupBy(F.floor(F.log2(F.col("c").cast("double"))).alias("k")).agg(F.count("*").alias("n")).collect()}
+    least = 0
+    while sum(n for k, n in levels.items() if k >= least) > FREQUENT:
+        least += 1
+    sent = docs.sparkSession.sparkContext.broadcast(Frequent.of(counts.where(F.col("c") >= 2**least).select("token", "n").toArrow()))
+    names = ["row", "doc_id", "n_bytes", "n_words", "n_tokens", "rest", "times"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Pieces.known(path)
+        lower, row = Pieces.known(path).lower, TaskContext.get().partitionId() << 40
         for b in pieces(batches):
-            w = Units(b.column(1), known.lower)
-            token, n = known.of(w)
-            n = np.array(n, np.int64)
+            w, rows = Units(b.column(1), lower), b.num_rows
+            keys, h, token = w.distinct()
+            n = sent.value.find(keys, h)
             pair, freq = np.unique(w.docs() * max(len(n), 1) + token, return_counts=True)  # per-document frequencies
-            sums = np.bincount(pair // max(len(n), 1), n[pair % max(len(n), 1)] * freq, minlength=b.num_rows) if len(n) else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.n_bytes), pa.array(w.n_words, pa.int64()), pa.array(sums.astype(np.int64))], schema=schema)
-        known.forget()
-
-    counted = texts(docs).mapInArrow(count, "doc_id long, n_bytes long, n_words long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+            doc, token = pair // max(len(n), 1), pair % max(len(n), 1)
+            known = n[token] >= 0 if len(n) else np.zeros(0, bool)
+            sums = np.bincount(doc[known], n[token[known]] * freq[known], minlength=rows) if len(n) else np.zeros(rows)
+            per, other = np.bincount(doc[~known], minlength=rows), token[~known]
+            offs = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
+            rest = pa.ListArray.from_arrays(offs, pa.array(keys, pa.binary()).take(pa.array(other)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + rows)), b.column(0), pa.array(w.n_bytes), pa.array(w.n_words, pa.int64()), pa.array(sums.astype(np.int64)), rest, lists(freq[~known], per, pa.int64())], names)
+            row += rows
+
+    counted = texts(docs).mapInArrow(count, "row long, doc_id long, n_bytes long, n_words long, n_tokens long, rest array<binary>, times array<long>")
+    if least:
+        counted = keep(counted)
+        rest = counted.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("token"), F.col("r.times").alias("times"))
+        more = rest.join(counts.select("token", "n"), "token").groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more"))
+        counted = counted.join(more, "row", "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce("more", F.lit(0)))
+    return counted.select("doc_id", "n_bytes", "n_words", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
