@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from .ranking import numbered
+from .ranking import numbered, numbered_within
 
 FEED_ORDER = (F.desc, "published_at"), (F.asc, "id")
 
@@ -56,8 +56,8 @@ def series_counts(posts: DataFrame, least: int = 2) -> DataFrame:
 
 def series_entries(posts: DataFrame, order: DataFrame) -> DataFrame:
     """Articles of each series: those with a place in ``order`` (series_slug, id, place) first, then the oldest."""
-    w = Window.partitionBy("series_slug").orderBy(F.col("place").isNull(), "place", "published_at", "id")
-    return posts.where("series_slug is not null").join(F.broadcast(order), ["series_slug", "id"], "left").select("series_slug", "id", F.row_number().over(w).alias("position"))
+    rows = posts.where("series_slug is not null").join(order, ["series_slug", "id"], "left").select("series_slug", "id", "place", "published_at")
+    return numbered_within(rows, "series_slug", F.col("place").asc_nulls_last(), "published_at", "id", name="position").select("series_slug", "id", "position")
 
 
 def signature(posts: DataFrame, chosen: DataFrame) -> DataFrame:

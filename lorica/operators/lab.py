@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .audit import bounded
+from .ranking import numbered, numbered_within
+
 
 def shuffled(candidates: DataFrame, cases: DataFrame, seed: str) -> DataFrame:
     """For each case an order of the candidates that only the seed decides."""
-    pairs = candidates.crossJoin(F.broadcast(cases))
+    pairs = candidates.crossJoin(bounded(cases))
     key = F.sha2(F.concat_ws(":", F.lit(seed), F.col("case_id").cast("string"), F.col("candidate").cast("string")), 256)
-    return pairs.withColumn("key", key).select("case_id", "candidate", F.row_number().over(Window.partitionBy("case_id").orderBy("key")).alias("place"))
+    return numbered_within(pairs.withColumn("key", key), "case_id", "key", "candidate", name="place").select("case_id", "candidate", "place")
 
 
 def ranking(ratings: DataFrame, winners: DataFrame) -> DataFrame:
@@ -21,8 +24,6 @@ def ranking(ratings: DataFrame, winners: DataFrame) -> DataFrame:
     w = winners.groupBy("candidate").agg(F.count("*").alias("wins"))
     mean = F.when(F.col("scores") > 0, F.floor((F.col("total") * 2000 + F.col("scores")) / (F.col("scores") * 2))).cast("long")
     out = s.join(w, "candidate", "left").select("candidate", mean.alias("mean_milli"), "cases", F.coalesce("wins", F.lit(0)).alias("wins"))
-    from .ranking import numbered
-
     return numbered(out, F.coalesce("mean_milli", F.lit(-1)).desc(), F.desc("wins"), F.asc("candidate"), name="place")
 
 

@@ -10,12 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """df with the place of each row (from 1) in the given order, which should have no ties.
 
-    The rows are dealt by ranges of the order and numbered within each range; the sizes of the ranges, one row each,
-    give the offsets.
+    The rows are dealt by ranges of the order, numbered within each range and stored once; the sizes of the ranges, one
+    row each, give the offsets.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -27,7 +29,15 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFra
             done += n
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, f"{schema}, _part int, _nth long")
+    dealt = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, f"{schema}, _part int, _nth long"))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
+
+
+def numbered_within(df: DataFrame, group: str, *order: Column | str, name: str = "rank") -> DataFrame:
+    """The place of each row among those of its group, also where one group has a third of all rows: rows are numbered
+    through all groups, and a group's first number is taken off. Null is a group too."""
+    whole = stored(numbered(df, F.col(group), *order, name="_all"))
+    first = whole.groupBy(F.col(group).alias("_g")).agg(F.min("_all").alias("_first"))
+    return whole.join(first, whole[group].eqNullSafe(first["_g"])).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_all", "_g", "_first")

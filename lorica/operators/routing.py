@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .audit import bounded
+
 
 def redirected(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """requests (path) with the target and status of the first rule (ord, from, to, status) that fits: the same path, or
     a rule that ends in * and begins the path. Rules are a short list kept by hand and are broadcast."""
-    r = F.broadcast(rules)
+    r = bounded(rules)
     exact = requests.join(r.where(~F.col("from").endswith("*")), requests["path"] == r["from"]).select("path", "ord", "to", "status")
     wild = r.where(F.col("from").endswith("*")).withColumn("start", F.expr("left(from, length(from) - 1)"))
     begun = requests.join(wild, requests["path"].startswith(wild["start"])).select("path", "ord", "to", "status")

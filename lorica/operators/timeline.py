@@ -13,13 +13,15 @@ def seek(recordings: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (article_id, target): the part that holds the target second, and the second within it. The target is
     clamped to the recording; a part's end belongs to the part; the last part takes what is left."""
     w = Window.partitionBy("article_id").orderBy(*LINE_ORDER)
-    parts = recordings.withColumns({
-        "part": F.row_number().over(w) - 1, "upto": F.sum("seconds").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "total": F.sum("seconds").over(Window.partitionBy("article_id")),
-    })
-    at = parts.join(targets, "article_id").withColumn("at", F.greatest(F.lit(0), F.least("target", "total")))
-    first = F.min(F.struct("part", (F.col("at") - F.col("upto") + F.col("seconds")).alias("inside"))).alias("s")
-    return at.where("at <= upto").groupBy("article_id").agg(first, F.max("total").alias("total")).select("article_id", F.col("s.part").cast("long").alias("part"), F.col("s.inside").alias("inside"), "total")
+    parts = recordings.withColumns({"part": F.row_number().over(w) - 1, "upto": F.sum("seconds").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    totals = recordings.groupBy("article_id").agg(F.sum("seconds").alias("total"))
+    at = targets.join(totals, "article_id").select("article_id", F.greatest(F.lit(0), F.least("target", "total")).alias("at"), "total")
+    # both on one axis: behind a target comes the end of the part that holds it
+    ends = parts.select("article_id", F.col("upto").alias("at"), F.lit(1).alias("kind"), F.struct("part", (F.col("upto") - F.col("seconds")).alias("begin")).alias("p"), F.lit(None).cast("long").alias("total"))
+    asked = at.select("article_id", "at", F.lit(0).alias("kind"), F.lit(None).cast(ends.schema["p"].dataType).alias("p"), "total")
+    axis = Window.partitionBy("article_id").orderBy("at", "kind", F.col("p.part")).rowsBetween(0, Window.unboundedFollowing)
+    found = asked.unionByName(ends).withColumn("next", F.first("p", ignorenulls=True).over(axis)).where("kind = 0 and next is not null")
+    return found.select("article_id", F.col("next.part").cast("long").alias("part"), (F.col("at") - F.col("next.begin")).alias("inside"), "total")
 
 
 def elapsed(recordings: DataFrame) -> DataFrame:
@@ -30,11 +32,13 @@ def elapsed(recordings: DataFrame) -> DataFrame:
 
 
 def at_ratio(intervals: DataFrame, ratios: DataFrame, key: str = "article_id") -> DataFrame:
-    """ratios (key, ratio): the first interval with start <= ratio < end, else the last one that starts in time."""
-    met = intervals.join(ratios, key).where("start <= ratio")
-    inside = F.when(F.col("ratio") < F.col("end"), F.struct("ordinal", "type", "text"))
-    best = met.groupBy(key, "ratio").agg(F.min(inside).alias("inside"), F.max(F.struct("ordinal", "type", "text")).alias("last"))
-    return best.select(key, "ratio", F.coalesce(F.col("inside.ordinal"), F.col("last.ordinal")).alias("ordinal"))
+    """ratios (key, ratio): the interval that holds the ratio (start <= ratio < end), else the last one that starts in
+    time. Intervals of a key follow each other, so either is the last one that starts in time; both are put on one axis."""
+    starts = intervals.select(key, F.col("start").alias("ratio"), F.lit(0).alias("kind"), "ordinal", "type", "text")
+    asked = ratios.select(key, "ratio", F.lit(1).alias("kind"), *(F.lit(None).cast(starts.schema[c].dataType).alias(c) for c in ("ordinal", "type", "text")))
+    axis = Window.partitionBy(key).orderBy("ratio", "kind", "ordinal", "type", "text").rowsBetween(Window.unboundedPreceding, 0)
+    found = starts.unionByName(asked).withColumn("last", F.last("ordinal", ignorenulls=True).over(axis)).where("kind = 1 and last is not null")
+    return found.select(key, "ratio", F.col("last").alias("ordinal"))
 
 
 def score_of(block: str, hint: str) -> int:

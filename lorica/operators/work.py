@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .audit import bounded
+
 
 def missing(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Rows of wanted (article_id, source_hash, ...) that the cache does not hold complete."""
@@ -23,7 +25,7 @@ def totals(missing_: DataFrame, voices: int = 1) -> DataFrame:
 def by_priority(sources: DataFrame, priorities: DataFrame) -> DataFrame:
     """sources (article_id, provider, complete): for each article the complete source of the best priority, null if
     there is none."""
-    ranked = sources.join(F.broadcast(priorities), "provider")
+    ranked = sources.join(bounded(priorities), "provider")
     return ranked.groupBy("article_id").agg(F.min_by("provider", F.when(F.col("complete"), F.col("priority"))).alias("provider"), F.max("complete").alias("ok")).select("article_id", F.when(F.col("ok"), F.col("provider")).alias("provider"))
 
 
@@ -65,7 +67,7 @@ def in_list_order(lists: DataFrame, items: DataFrame) -> DataFrame:
 
 def incomplete(candidates: DataFrame, cases: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs of candidate and case that are not done."""
-    return candidates.crossJoin(F.broadcast(cases)).join(done, ["candidate", "case_id"], "left_anti")
+    return candidates.crossJoin(bounded(cases)).join(done, ["candidate", "case_id"], "left_anti")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

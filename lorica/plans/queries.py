@@ -52,7 +52,7 @@ def tag_index_counts(spark, d):
 
 @query
 def tag_index_threshold(spark, d):
-    return feed.tag_counts(_published(spark, d).where("featured"), 3).withColumn("place", F.row_number().over(Window.orderBy(F.collate("tag", "ar"))))
+    return ranking.numbered(feed.tag_counts(_published(spark, d).where("featured"), 3), F.collate("tag", "ar"), "tag", name="place")
 
 
 @query

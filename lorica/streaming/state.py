@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,15 +49,25 @@ def consented(events: DataFrame, consents: DataFrame, key: str) -> DataFrame:
 
 
 def throttled(events: DataFrame, key: str, gap: float) -> DataFrame:
-    """Events kept when at least ``gap`` seconds follow the last kept one of the key: a fold, one key at a time."""
-    rows = F.array_sort(F.collect_list(F.struct(*ORDER)))
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["last"].isNull() | (x["ts"].cast("double") - acc["last"].cast("double") >= gap)
-        return F.struct(F.when(keep, x["ts"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.array_append(acc["kept"], x["event_id"])).otherwise(acc["kept"]).alias("kept"))
-
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<long>").alias("kept"))
-    return events.groupBy(key).agg(F.explode(F.aggregate(rows, start, step)["kept"]).alias("event_id"))
+    """Events kept when at least ``gap`` seconds follow the last kept one of the key. Sequential within a key: its events
+    pass in order, and only the time of the last kept one is held."""
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            at, kept = b.column(1).cast(pa.int64()).to_pylist(), []
+            for i, k in enumerate(b.column(0).to_pylist()):
+                if i == 0 and last is None or k != now:
+                    now, last = k, None
+                if last is None or at[i] - last >= gap * 1_000_000:
+                    last = at[i]
+                    kept.append(i)
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows)], [key, "event_id"])
+
+    dealt = events.select(key, F.unix_micros("ts").alias("at"), "event_id").repartition(key).sortWithinPartitions(key, "at", "event_id")
+    return dealt.mapInArrow(run, f"{key} {kind}, event_id long")
 
 
 def throttled_stream(events: DataFrame, key: str, gap: float) -> DataFrame:
