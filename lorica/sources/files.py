@@ -78,3 +78,15 @@ def rules(spark: SparkSession, path: str) -> DataFrame:
 
 def binaries(spark: SparkSession, folder: str, pattern: str = "*.mp3") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+
+
+def narrated(spark: SparkSession, folder: str) -> DataFrame:
+    """The articles of a folder that are no drafts, by the name of their file."""
+    return markdown(spark, folder).where("not draft").orderBy("id")
+
+
+def recordings(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes, sha256, seconds) of the MP3 files below a folder; each is read once, in its task."""
+    from ..functions.python_udfs import mp3_seconds
+
+    return binaries(spark, folder).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), mp3_seconds(F.col("content")).alias("seconds"))

@@ -65,3 +65,60 @@ def test_throttle_against_a_loop(spark):
             last[r["user_id"]] = r["ts"]
             kept.add(r["event_id"])
     assert {r["event_id"] for r in state.throttled(e, "user_id", 3600.0).collect()} == kept
+
+
+def test_streams_of_ticks_toggles_and_consents(spark, tmp_path):
+    e = tables.reader_events(spark, DATA)
+    rows = lambda d, *c: sorted(tuple(r) for r in d.select(*c).collect())
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir(), (tmp_path / "c").mkdir()
+    s = _stream(spark, tmp_path / "a", e)
+    assert rows(_drain(state.engaged_stream(s, "user_id", 5, 60), "append", "s4"), "user_id", "event_id") == rows(state.engaged(e, "user_id", 5, 60), "user_id", "event_id")
+    clicks = e.where("event_type = 'click'").withColumn("item", F.floor("value").cast("long") % 10)
+    on = _drain(state.toggled_stream(_stream(spark, tmp_path / "b", clicks), ["user_id", "item"]), "complete", "s5").where("on")
+    assert rows(on, "user_id", "item") == rows(state.toggled(clicks, ["user_id", "item"]), "user_id", "item")
+    granted = F.when(F.col("event_type") == "signup", True).when(F.col("event_type") == "error", False)
+    both = e.where("event_type in ('signup', 'error', 'view', 'click')").withColumn("granted", granted)
+    batch = state.consented(e.where("event_type in ('view', 'click')"), both.where("granted is not null").select("user_id", "ts", "granted"), "user_id")
+    got = _drain(state.consented_stream(_stream(spark, tmp_path / "c", both.select("user_id", "ts", "event_id", "granted")), "user_id"), "append", "s6")
+    assert rows(got, "event_id") == rows(batch, "event_id") and got.count() > 0
+
+
+def test_releases(spark, tmp_path):
+    from lorica.operators import site
+
+    root = f"file://{tmp_path}/site"
+    one, two = (spark.createDataFrame([(x,)], "v string") for x in ("first", "second"))
+    site.publish(one, root, "r1")
+    site.publish(two, root, "r2")
+    assert site.current(spark, root).first()["v"] == "second"
+    with pytest.raises(Exception, match="r2"):
+        site.publish(one, root, "r2")
+    assert site.current(spark, root).first()["v"] == "second"
+    site.rollback(spark, root, "r1")
+    assert site.current(spark, root).first()["v"] == "first"
+    with pytest.raises(Exception, match="r9"):
+        site.rollback(spark, root, "r9")
+    assert {(r["release"], r["v"]) for r in site.retained(spark, root).collect()} == {("r1", "first"), ("r2", "second")}
+
+
+def test_folders(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, head in (("sub/b", "title: B"), ("a", "title: A\ndraft: true"), ("c", "title: 'C'")):
+        (tmp_path / f"{name}.md").write_text(f"---\n{head}\n---\nbody {name}")
+    assert [(r["id"], r["title"]) for r in files.narrated(spark, str(tmp_path)).collect()] == [("b", "B"), ("c", "C")]
+    (tmp_path / "none.md").write_text("no head")
+    with pytest.raises(Exception, match="no title: none"):
+        files.narrated(spark, str(tmp_path)).collect()
+    frame = bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(413)
+    (tmp_path / "sub" / "x.mp3").write_bytes(frame * 5)
+    r = files.recordings(spark, str(tmp_path)).first()
+    assert r["bytes"] == 5 * 417 and r["seconds"] == 0.131 and len(r["sha256"]) == 64
+
+
+def test_page_in_the_future(spark):
+    from lorica.operators import audit
+
+    page = lambda t: f"<h1>a</h1><meta property='article:modified_time' content='{t}'>"
+    pages = spark.createDataFrame([(1, page("2024-01-01T00:04:00Z")), (2, page("2024-01-01T00:06:00Z")), (3, "<h1>a</h1>")], "page_id long, html string")
+    found = audit.page_failures(pages, F.lit("2024-01-01 00:00:00").cast("timestamp")).where("rule = 'future'")
+    assert [r["page_id"] for r in found.collect()] == [2]
