@@ -91,6 +91,11 @@ def speech_text(text: Column) -> Column:
     return trim(replace_all(text, (rf"(\d+(?:[.,]\d+)?){WHITE}*%", "$1 في المئة"), (rf"(?<![A-Za-z0-9_])(\d+){WHITE}*[–—-]{WHITE}*(\d+)(?![A-Za-z0-9_])", "$1 إلى $2"), (r"\n+", ". "), (r"\.{2,}", "."), (f"{WHITE}+", " ")))
 
 
+def spoken(text: Column, rules: Column) -> Column:
+    """A text as it is read: literal rules first (see replaced_in_order), then numbers and lines."""
+    return speech_text(replaced_in_order(text, rules))
+
+
 def speech_weight(text: Column) -> Column:
     """A length in time: words, letters and pauses."""
     words = F.size(F.filter(F.split(text, f"{WHITE}+"), lambda w: w != ""))

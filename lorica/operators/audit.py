@@ -191,12 +191,6 @@ def duplicate_titles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", title.alias("title")).where("title <> ''").groupBy("title").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).where("pages > 1")
 
 
-def missing_controls(pages: DataFrame) -> DataFrame:
-    """Ids that aria-controls names and the page lacks."""
-    ids, named = (found_all(F.col("html"), rf"""(?i)\s{a}=["']([^"']+)["']""") for a in ("id", "aria-controls"))
-    return pages.select("page_id", F.explode(F.array_except(named, ids)).alias("missing"))
-
-
 #: Bytes of needles that are broadcast in one pass; further needles take further passes.
 LEAK_BYTES = 16 << 20
 #: Characters of a needle that the automaton knows; what follows is compared at the place found.
@@ -249,9 +243,24 @@ def schema_failures(posts: DataFrame) -> DataFrame:
     return posts.select("id", F.explode(broken).alias("rule"))
 
 
-def missing_tokens(files: DataFrame, required: DataFrame) -> DataFrame:
-    """required (file, token) that the file (file, text) does not have."""
-    return required.join(files, "file", "left").where(~F.coalesce(F.contains("text", F.col("token")), F.lit(False))).select("file", "token")
+#: Least lengths of a description and of a summary, and the most tags. Fixed values.
+DESCRIPTION, SUMMARY, TAGS = 40, 50, 2
+
+
+def schema_rules(articles: DataFrame, categories: list[str], series: list[str]) -> DataFrame:
+    """(id, rule) for each rule on an article's head that is broken: a title, a long enough description, a known category,
+    a known series or none, tags, a width that is positive or none, a summary that is long enough or none."""
+    none = F.lit(False)
+    rules = {
+        "title": F.coalesce(F.col("title"), F.lit("")) == "",
+        "description": F.char_length(F.coalesce(F.col("description"), F.lit(""))) < DESCRIPTION,
+        "category": ~F.coalesce(F.col("category").isin(categories), none),
+        "series": F.coalesce(~F.col("series").isin(series), none),
+        "tags": F.coalesce(F.size("tags") > TAGS, none),
+        "size": F.coalesce(F.col("width") <= 0, none),
+        "summary": F.coalesce(F.char_length("summary") < SUMMARY, none),
+    }
+    return articles.select("id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())))).alias("rule"))
 
 
 def tokens_in_order(body: Column, tokens: list[str]) -> Column:

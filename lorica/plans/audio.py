@@ -156,3 +156,10 @@ def revealed_ratings(spark, d):
     r = T.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("case_id"), (F.col("l_suppkey") % 20).alias("code"), (F.col("l_quantity").cast("int") % 6).alias("score"))
     key = r.where("code <> 3").select("case_id", "code", ((F.col("case_id") * 7 + F.col("code")) % 13).cast("long").alias("candidate")).distinct()
     return lab.revealed(r, key).where("score between 1 and 5").groupBy("candidate").agg(F.count("*").alias("ratings"), F.countDistinct("case_id").alias("cases"))
+
+
+@query("""with s as (select conv_id as a, turn, role, coalesce(text, '') as t from conversations) select a as article_id, sha256('[' || string_agg('{"ordinal":' || turn || ',"type":"' || role || '"}', ',' order by turn, role, t) || ']') as snapshot from s group by a""")
+def source_snapshots(spark, d):
+    """A hash of an article's segments in order: what a recording was made from."""
+    rows = T.segments(spark, d).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "type", "text"))).alias("s"))
+    return rows.select("article_id", F.sha2(F.to_json(F.transform("s", lambda x: F.struct(x["ordinal"].alias("ordinal"), x["type"].alias("type")))), 256).alias("snapshot"))

@@ -156,7 +156,7 @@ def spoken_rules(spark, d):
     rule = lambda a, b: F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"))
     k = F.col("n_nationkey")
     own = F.when((k % 2 != 0) & (k % 3 == 0), F.array(rule("ab cd ab", "own rules")))
-    said = text.replaced_in_order(F.lit("ab cd ab"), work.all_rules(F.array(rule("ab", "a"), rule(" cd ", " long ")), own))
+    said = text.spoken(F.lit("ab cd ab"), work.all_rules(F.array(rule("ab", "a"), rule(" cd ", " long ")), own))
     return T.table(spark, d, "nation").select(k.alias("id"), said.alias("said"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import nested, text
+from ..functions import nested, numbers, text
+from ..operators import audit, routing, work
 from ..sources import tables as T
 from .registry import registered
 
@@ -131,3 +132,58 @@ def shortened_texts(spark, d):
     i = F.col("n_nationkey")
     title = F.concat(F.lit("Nation number "), i.cast("string"), F.lit(" of the atlas, with its people and its rivers"))
     return T.table(spark, d, "nation").select(i.alias("id"), text.crumb(title).alias("crumb"), text.meta_description(F.repeat(F.lit("word  "), F.lit(20) + i.cast("int"))).alias("description"))
+
+
+@query("""select event_id, coalesce(event_id % 4 < 3 and value - 1 >= 0 and (event_id % 50 - 1) * 86400000 between 0 and 2592000000, false) as ok from events""")
+def saved_progress(spark, d):
+    """Saved positions that may be used: in range, not from the future, not too old."""
+    i = F.col("event_id")
+    now = F.lit(1_700_000_000_000)
+    ok = numbers.valid_progress(i % 4, F.lit(3), F.col("value") - 1, now - (i % 50 - 1) * 86_400_000, now)
+    return T.table(spark, d, "events").select("event_id", ok.alias("ok"))
+
+
+@query("""select p_partkey as id, case when p_partkey % 3 = 0 then 'x-a=1,x-robots-tag=noindex, nofollow' when p_partkey % 2 = 0 then 'x-a=1' else 'access-control-allow-origin=*,x-a=1' end
+      || case when p_partkey % 3 = 0 and p_partkey % 2 = 1 then ',access-control-allow-origin=*' else '' end as headers from part""")
+def header_rules(spark, d):
+    """Headers by host and content: previews are not indexed, pages lose the origin header."""
+    i = F.col("p_partkey")
+    given = F.create_map(F.lit("access-control-allow-origin"), F.lit("*"), F.lit("x-a"), F.lit("1"), F.lit("x-robots-tag"), F.lit("index"))
+    got = routing.response_headers(F.when(i % 3 == 0, "a.preview.test").otherwise("a.org"), F.when(i % 2 == 0, "text/html; charset=utf-8").otherwise("image/png"), given, ".preview.test")
+    entries = F.array_sort(F.transform(F.map_entries(got), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    preview = F.concat(F.filter(entries, lambda e: ~e.startswith("access")), F.filter(entries, lambda e: e.startswith("access")))
+    return T.table(spark, d, "part").select(i.alias("id"), F.array_join(F.when(i % 3 == 0, preview).otherwise(entries), ",").alias("headers"))
+
+
+@query("select p_partkey as id, case when p_partkey % 2 = 0 then 'only_left' else 'only_right' end as side from part where (p_partkey % 2 = 0) <> (p_partkey % 3 = 0)")
+def differing_sets(spark, d):
+    p = T.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return work.symmetric_difference(p.where("id % 2 = 0"), p.where("id % 3 = 0"), "id")
+
+
+@query("select p_partkey as id, case when p_partkey % 4 = 0 then null else p_name end as name from part where p_partkey % 4 = 0 or p_partkey % 5 = 0")
+def changed_rows(spark, d):
+    """Rows that are new or differ, null included."""
+    p = T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    after = p.withColumn("name", F.when(F.col("id") % 4 != 0, F.col("name")))
+    return work.changed_only(p.where("id % 5 <> 0"), after, "id")
+
+
+@query("""select event_id, case when value - 20 < 0 then '' else (floor(value - 20)::bigint // 60)::varchar || ':' || lpad((floor(value - 20)::bigint % 60)::varchar, 2, '0') end as clock,
+      case event_id % 40 when 0 then 'لا مقالات منشورة' when 1 then 'مقال واحد' when 2 then 'مقالان' else translate((event_id % 40)::varchar, '0123456789', '٠١٢٣٤٥٦٧٨٩') || case when event_id % 40 <= 10 then ' مقالات' else ' مقالًا' end end as label from events""")
+def clock_labels(spark, d):
+    i = F.col("event_id")
+    return T.table(spark, d, "events").select("event_id", numbers.clock(F.col("value") - 20).alias("clock"), text.article_count_label(i % 40).alias("label"))
+
+
+@query("""with a as (select p_partkey as id, case when p_partkey % 2 = 0 then p_name end as title, repeat('d', (p_partkey % 60)::int) as description, case when p_partkey % 3 <> 0 then p_brand end as category, p_type as series, p_size - 5 as width,
+        list_value('a', 'b', 'c')[1 : (p_partkey % 4)::int] as tags, case when p_partkey % 5 = 0 then repeat('s', (p_partkey % 70)::int) end as summary from part),
+      r as (select id, unnest([case when title is null or title = '' then 'title' end, case when length(description) < 40 then 'description' end, case when category is null or category not in ('Brand#1', 'Brand#2', 'Brand#17') then 'category' end,
+        case when series <> 'ECONOMY' then 'series' end, case when len(tags) > 2 then 'tags' end, case when width <= 0 then 'size' end, case when length(summary) < 50 then 'summary' end]) as rule from a) select * from r where rule is not null""")
+def schema_rules(spark, d):
+    """Articles whose head breaks the schema: one row for each rule."""
+    i = F.col("p_partkey")
+    a = T.table(spark, d, "part").select(
+        i.alias("id"), F.when(i % 2 == 0, F.col("p_name")).alias("title"), F.repeat(F.lit("d"), (i % 60).cast("int")).alias("description"), F.when(i % 3 != 0, F.col("p_brand")).alias("category"), F.col("p_type").alias("series"),
+        (F.col("p_size") - 5).alias("width"), F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (i % 4).cast("int")).alias("tags"), F.when(i % 5 == 0, F.repeat(F.lit("s"), (i % 70).cast("int"))).alias("summary"))
+    return audit.schema_rules(a, ["Brand#1", "Brand#2", "Brand#17"], ["ECONOMY"])
