@@ -151,5 +151,9 @@ ORACLE: dict[str, str] = {
         union all select user_id, ts, 0, event_type = 'signup', 0 from events where event_type in ('signup', 'error')),
       l as (select *, last_value(granted ignore nulls) over (partition by user_id order by ts, kind, event_id rows between unbounded preceding and current row) as now from c)
       select event_id from l where kind = 1 and coalesce(now, false)""",
+    "throttled_saves": """with recursive v as (select user_id, epoch_us(ts) as t, event_id from events where event_type = 'view'),
+      k as (select user_id, t, event_id from (select *, row_number() over (partition by user_id order by t, event_id) as n from v) where n = 1
+        union all select user_id, t, event_id from (select v.*, row_number() over (partition by v.user_id order by v.t, v.event_id) as n from k join v on v.user_id = k.user_id and v.t >= k.t + 3600000000) where n = 1)
+      select user_id, event_id from k""",
     "numbered_customers": "select c_custkey, row_number() over (order by c_acctbal desc, c_custkey) as rank from customer",
 }
