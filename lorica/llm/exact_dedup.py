@@ -78,6 +78,7 @@ class HistoryIndex:
 
     def __init__(self, history: DataFrame):
         """history: (digest, winner, n), one row per digest."""
+        history = keep(history)
         shards = max(1, -(-history.count() // SHARD_DIGESTS))
         buckets = int(SHARD_DIGESTS / BUCKET_DIGESTS)
         self.shards, self.buckets = shards, buckets
