@@ -13,7 +13,6 @@ near copies) are not gathered: their windows are grouped by hash instead, which
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
