@@ -49,4 +49,31 @@ select documents.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from doc
 join (select a, min(r) as component_id from reach group by a) m on m.a = documents.doc_id
 """
 
-ORACLE: dict[str, str] = {"op2_substring_dedup": _OP2, "op3_ngram_join": _OP3, "op5_decontamination": _OP5, "op7_exact_dedup": _OP7}
+_OP11 = r"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as integer) as rank, id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+_OP12 = r"""
+with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, coalesce(min(doc_id) over (partition by t) < doc_id, false) as copy from t),
+m as (select doc_id, part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), copy][i]) as fails from w),
+l as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+c as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m left join l using (doc_id) group by part, fails),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+o as (select a.f || b.f || c.f || d.f || e.f as filter_order from f a, f b, f c, f d, f e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (select filter_order, step, filter_order[step] as own, string_split(filter_order[1 : step - 1], '') as before from o, range(1, 6) r(step)),
+x as (select c.*, s.*, list_contains(fails, own) as hit, list_has_any(fails, before) as gone from c, s),
+y as (select part, filter_order, cast(step as integer) as step, own, sum(case when not hit and not gone then n else 0 end) as kept, sum(case when hit and not gone then n else 0 end) as removed,
+  sum(case when hit and gone then n else 0 end) as redundant, sum(case when fails = [own] then n else 0 end) as unique_fails,
+  sum(case when hit and not gone then good else 0 end) as good_lost, sum(case when hit and not gone then toxic else 0 end) as toxic_lost from x group by part, filter_order, step, own)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from y
+"""
+
+ORACLE: dict[str, str] = {"op2_substring_dedup": _OP2, "op3_ngram_join": _OP3, "op5_decontamination": _OP5, "op7_exact_dedup": _OP7, "op11_hard_negatives": _OP11, "op12_filter_audit": _OP12}

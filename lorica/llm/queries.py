@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and pipeline: each applies its operator to whole tables and derives the digest columns."""
+"""The queries op1 to op13: each applies its operator to whole tables and derives the digest columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, maxent_lm, ngram_join, packing, pii, secrets, substring_dedup, tokens, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, filter_audit, hard_negatives, maxent_lm, ngram_join, packing, pii, secrets, substring_dedup, tokens, toxicity
 from .store import fold, table, texts
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,7 +76,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, relabel)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_substring_dedup, op3_ngram_join, op4_token_counts, op5_decontamination, op6_secrets, op7_exact_dedup, op8_maxent_lm, op9_toxicity, op10_packing)
+    for f in (op1_pii, op2_substring_dedup, op3_ngram_join, op4_token_counts, op5_decontamination, op6_secrets, op7_exact_dedup, op8_maxent_lm, op9_toxicity, op10_packing, op11_hard_negatives, op12_filter_audit, op13_byte_bpe)
 }
