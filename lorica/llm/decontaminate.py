@@ -1,7 +1,7 @@
 """Benchmark decontamination through a stored positional inverted index.
 
 The index is dealt by documents: each segment holds the postings of some whole documents (up to SEGMENT_WORDS words,
-one document at least). Words are coded by 64-bit hashes; all positions of a segment lie on one axis with a gap
+one document at least). Words are coded by 64-bit hashes under the application's key; all positions of a segment lie on one axis with a gap
 between documents, so that an offset never leads from one document into another. A search reads each segment once,
 starts each phrase from the term with the shortest list in that segment and intersects with the other terms' lists,
 shifted by their offsets. No document text and no posting moves between tasks; only the phrases are broadcast, in
@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, texts
+from .store import keep, texts, word_key
 from .words import ALNUM, Words, lists, pieces
 
 WINDOW = 10
@@ -35,6 +35,7 @@ _INDEX = pa.schema([("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int6
 
 def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
     """Segments of a positional index over whole texts, as a stored table. Null texts have no words, yet a row."""
+    key = word_key(docs.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
@@ -53,7 +54,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, schema=_INDEX)
 
         for b in pieces(batches):
-            w = Words(b.column(1), ALNUM, lower=True)
+            w = Words(b.column(1), ALNUM, lower=True, key=key)
             held.append((b.column(0).to_pylist(), w.counts(), w.hash))
             total += len(w.hash)
             if total >= SEGMENT_WORDS:
@@ -144,11 +145,11 @@ class Segment:
 def phrase_table(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, terms) for each distinct window of each item; an item of fewer words is one window. Null texts have
     none. Rows that repeat an item_id, or have none, are one item."""
-    schema = pa.schema([("item_id", pa.int64()), ("terms", pa.list_(pa.int64()))])
+    schema, key = pa.schema([("item_id", pa.int64()), ("terms", pa.list_(pa.int64()))]), word_key(items.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            w = Words(b.column(1), ALNUM, lower=True)
+            w = Words(b.column(1), ALNUM, lower=True, key=key)
             h, ids = w.hash.view(np.int64), b.column(0).to_pylist()
             rows = [(ids[d], h[i : min(i + window, hi)].tolist()) for d, (lo, hi) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)) if hi > lo for i in range(lo, max(hi - window, lo) + 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], schema=schema)
@@ -203,7 +204,7 @@ def search(index: DataFrame, parts: list[DataFrame], window: int = WINDOW) -> Da
 
 def near_matches(index: DataFrame, terms: list[str], distance: int) -> DataFrame:
     """doc_id of each document that has all the words within ``distance`` words of each other."""
-    codes = Words(pa.array([" ".join(terms)]), ALNUM, lower=True).hash.view(np.int64)
+    codes = Words(pa.array([" ".join(terms)]), ALNUM, lower=True, key=word_key(index.sparkSession)).hash.view(np.int64)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

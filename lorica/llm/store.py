@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,6 +70,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_KEYS: dict[str, int] = {}
+
+
+def word_key(spark: SparkSession) -> int:
+    """The number under which words are hashed: drawn anew for each application, so that no text can be made to collide.
+    ``spark.lorica.wordKey`` sets it where tables of hashes are to outlive the application."""
+    return int(spark.conf.get("spark.lorica.wordKey", None) or _KEYS.setdefault(spark.sparkContext.applicationId, secrets.randbits(63)))
+
+
 #: Bytes of an Arrow batch that goes to Python. Spark's own bound is of 10,000 rows, tens of MB of text, which a task
 #: holds in the JVM and in Python at the same time.
 BATCH_BYTES = 4 << 20

@@ -8,7 +8,8 @@ only the earliest document goes on; what is found in it holds at every place whe
 each shard that still has different contexts, these pass in order of doc_id:
 each is streamed through the suffix automaton of the earlier ones for its matching statistics, marks the maximal
 matches of WINDOW words or more, and then extends the automaton. Shards with more contexts than CONTEXTS (thousands of
-near copies) are not gathered: their windows are grouped by hash instead, which finds the same windows.
+near copies) are not gathered: their windows are grouped by hash instead, which finds the same windows. Words are told
+apart by 64-bit hashes under a key of the application.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, texts
+from .store import keep, texts, word_key
 from .words import NON_SPACE, U64, Words, lists, mix, pieces, runs
 
 WINDOW, GRAM = 50, 20
@@ -136,11 +137,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _listed(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(shard, run, doc_id, key, at, n): all contexts, run naming their content."""
-    names = ["shard", "run", "doc_id", "key", "at", "n"]
+    names, secret = ["shard", "run", "doc_id", "key", "at", "n"], word_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            w = Words(b.column(1), NON_SPACE)
+            w = Words(b.column(1), NON_SPACE, key=secret)
             shard, doc, at, n = contexts(w, window, gram)
             content = _span_hash(w.hash, w.first[:-1][doc] + at, n + window - 1) if len(doc) else shard
             yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(content.view(np.int64)), b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names)
@@ -158,12 +159,12 @@ def _of_docs(docs: DataFrame, wanted: DataFrame, what: list[str]) -> DataFrame:
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(shard, doc_id, key, at, words): the words of the wanted contexts as 32-bit codes."""
-    names = ["shard", "doc_id", "key", "at", "words"]
+    """(shard, doc_id, key, at, words): the words of the wanted contexts as 64-bit codes."""
+    names, secret = ["shard", "doc_id", "key", "at", "words"], word_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            w = Words(b.column(1), NON_SPACE)
+            w = Words(b.column(1), NON_SPACE, key=secret)
             offs = np.asarray(b.column(3).offsets)
             flat = b.column(3).values
             shard, at, n = (flat.field(i).to_numpy() for i in range(3))
@@ -172,9 +173,9 @@ def _cut(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             size = n.astype(np.int64) + window - 1
             ends = np.cumsum(size)
             i = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(w.first[:-1][doc] + at, size)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(at), lists((w.hash[i] >> U64(32)).astype(np.uint32).view(np.int32), size, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(at), lists(w.hash[i].view(np.int64), size, pa.int64())], names)
 
-    return _of_docs(docs, wanted, ["shard", "at", "n"]).mapInArrow(run, "shard long, doc_id long, key long, at int, words array<int>")
+    return _of_docs(docs, wanted, ["shard", "at", "n"]).mapInArrow(run, "shard long, doc_id long, key long, at int, words array<long>")
 
 
 _FOUND = "doc_id long, key long, at int, lo int, hi int"
@@ -222,7 +223,7 @@ def _grouped(cut: DataFrame, window: int) -> DataFrame:
         for b in batches:
             col = b.column(4)
             offs = np.asarray(col.offsets).astype(np.int64)
-            h = mix(col.values.to_numpy().view(np.uint32).astype(U64))
+            h = mix(col.values.to_numpy().view(U64))
             all_ = runs(h, window)
             n = np.maximum(np.diff(offs) - window + 1, 0)
             ends = np.cumsum(n)
@@ -305,16 +306,16 @@ def against_reference(docs: DataFrame, reference: DataFrame, window: int = WINDO
     dealt to shards of about shard_words words in tasks, stored, and broadcast in blocks of at most BROADCAST_BYTES; a
     task makes each shard a suffix automaton, through which all its documents stream. For references such as lists of
     licences or templates: every block is a pass over docs."""
-    spark = docs.sparkSession
+    spark, secret = docs.sparkSession, word_key(docs.sparkSession)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            w = Words(b.column(1), NON_SPACE)
-            yield pa.RecordBatch.from_arrays([lists((w.hash >> U64(32)).astype(np.uint32).view(np.int32), w.counts(), pa.int32())], ["words"])
+            w = Words(b.column(1), NON_SPACE, key=secret)
+            yield pa.RecordBatch.from_arrays([lists(w.hash.view(np.int64), w.counts(), pa.int64())], ["words"])
 
-    coded = keep(texts(reference).mapInArrow(code, "words array<int>").where(F.size("words") >= window))
+    coded = keep(texts(reference).mapInArrow(code, "words array<long>").where(F.size("words") >= window))
     size = coded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"]
-    shards, blocks = max(1, -(-size // shard_words)), max(1, -(-4 * size // BROADCAST_BYTES))
+    shards, blocks = max(1, -(-size // shard_words)), max(1, -(-8 * size // BROADCAST_BYTES))
     dealt = coded.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
     names, out = ["doc_id", "lo", "hi"], None
 
@@ -324,8 +325,8 @@ def against_reference(docs: DataFrame, reference: DataFrame, window: int = WINDO
             for shard, words in zip(*sent.value, strict=True):
                 machines.setdefault(shard, SuffixAutomaton()).add(words.tolist())
             for b in pieces(batches):
-                w = Words(b.column(1), NON_SPACE)
-                h = (w.hash >> U64(32)).astype(np.uint32).view(np.int32).tolist()
+                w = Words(b.column(1), NON_SPACE, key=secret)
+                h = w.hash.view(np.int64).tolist()
                 found = [(d, lo, hi) for d, (a, z) in zip(b.column(0).to_pylist(), zip(w.first[:-1], w.first[1:], strict=True), strict=True) for m in machines.values() for lo, hi in m.matches(h[a:z], window)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names)
 

@@ -10,6 +10,7 @@ after the other.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -26,12 +27,19 @@ from pyspark.sql import functions as F
 from .store import keep, texts
 from .words import LOWER, NON_SPACE, Words, distinct_spans, lists, pieces, span_hashes
 
-#: Pre-tokens that are broadcast with their counts at most (about 30 bytes each).
-FREQUENT = 1 << 20
+#: Bytes of pre-tokens that are broadcast with their counts at most (ENTRY bytes each besides their own).
+BROADCAST_BYTES, ENTRY = 32 << 20, 24
+#: Bytes of a pre-token that is told apart by its bytes; a longer one goes by its SHA-256 behind a byte that no text has.
+SHORT = 64
 
-#: Distinct pre-tokens that a task remembers, and those that its Python worker keeps beyond that number and after the
-#: task: the ones met first, among them the frequent ones.
-REMEMBERED, KEPT = 1 << 19, 1 << 17
+#: Bytes of distinct pre-tokens (HELD bytes each besides their own) that a task remembers, and those that its Python
+#: worker keeps beyond and after the task: the ones met first, among them the frequent ones. Longer ones than LONGEST
+#: are not remembered.
+REMEMBERED, KEPT, HELD, LONGEST = 96 << 20, 24 << 20, 160, 1024
+
+
+def named(token: bytes) -> bytes:
+    return token if len(token) <= SHORT else b"\xff" + hashlib.sha256(token).digest()
 
 
 def load(path: str):
@@ -96,7 +104,7 @@ class Pieces:
     encoded once as long as a Python worker remembers it."""
 
     def __init__(self, path: str, ids: bool):
-        self.tok, self.ids, self.seen = load(path), ids, {}
+        self.tok, self.ids, self.seen, self.bytes = load(path), ids, {}, 0
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -126,8 +134,17 @@ class Pieces:
             out[i] = np.array(e.ids, np.uint32)
         return out
 
+    def remember(self, token: bytes, what: bytes | int) -> None:
+        if len(token) <= LONGEST:
+            self.seen[token] = what
+            self.bytes += HELD + len(token) + (len(what) if self.ids else 0)
+
     def forget(self) -> None:
-        self.seen = dict(islice(self.seen.items(), KEPT))
+        before, self.seen, self.bytes = self.seen, {}, 0
+        for token, what in before.items():
+            if self.bytes > KEPT:
+                break
+            self.remember(token, what)
 
     def of(self, units: Units) -> tuple[np.ndarray, list]:
         """(for each unit the index of its pre-token, what each distinct pre-token has)."""
@@ -135,35 +152,41 @@ class Pieces:
         got = list(map(self.seen.get, keys))
         new = [i for i, x in enumerate(got) if x is None]
         if new:
-            if len(self.seen) > REMEMBERED:
+            if self.bytes > REMEMBERED:
                 self.forget()
             for i, x in zip(new, self._encoded([str(keys[i], "utf-8") for i in new]), strict=True):
-                self.seen[keys[i]] = got[i] = x.tobytes() if self.ids else len(x)
+                got[i] = x.tobytes() if self.ids else len(x)
+                self.remember(keys[i], got[i])
         return inverse, got
 
 
 def distinct_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """(token, c, n): each distinct pre-token of all the texts once, in how many batches of texts it was met, and its
-    number of ids; stored."""
+    """(token, c, n): each distinct pre-token of all the texts once (see named()), in how many batches of texts it was met,
+    and its number of ids; stored."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower, held = Pieces.known(path).lower, Counter()
+        lower, held, size = Pieces.known(path).lower, Counter(), 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "c"])
 
         for b in pieces(batches, limit=4 << 20):
-            held.update(Units(b.column(1), lower).distinct()[0])
-            if len(held) > REMEMBERED:
+            tokens, known = Units(b.column(1), lower).distinct()[0], len(held)
+            held.update(tokens)
+            if len(held) > known:  # dicts keep their order: what is new stands last
+                size += sum(HELD + len(t) for t in islice(held, known, None))
+            if size > REMEMBERED // 2:
                 yield out()
                 held.clear()
+                size = 0
         yield out()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Pieces.known(path)
         for b in batches:
-            n = [len(x) for x in known._encoded([str(t, "utf-8") for t in b.column(0).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32())], ["token", "c", "n"])
+            tokens = b.column(0).to_pylist()
+            n = [len(x) for x in known._encoded([str(t, "utf-8") for t in tokens])]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(named, tokens)), pa.binary()), b.column(1), pa.array(n, pa.int32())], ["token", "c", "n"])
 
     tokens = texts(docs).mapInArrow(met, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
     return keep(tokens.mapInArrow(encode, "token binary, c long, n int"))
@@ -199,16 +222,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_words, n_tokens, over_limit (n_tokens > limit).
 
     The pieces of each distinct pre-token of all documents are counted once. These counts are joined to the frequencies
-    of the pre-tokens in each document and summed: the FREQUENT ones met most are broadcast, those beyond are joined by
-    their bytes. No ids are kept. Null texts count as empty (0 tokens). Rows are counted one by one: repeated ids, null
+    of the pre-tokens in each document and summed: the ones met most, of BROADCAST_BYTES in all, are broadcast, those beyond
+    are joined by their bytes, and long ones by their digests. No ids are kept. Null texts count as empty (0 tokens). Rows are counted one by one: repeated ids, null
     ids and repeated rows each have a row of their own; an empty table gives none; other columns are not looked at.
     """
     counts = distinct_tokens(docs, path)
-    levels = {r["k"]: r["n"] for r in counts.groupBy(F.floor(F.log2(F.col("c").cast("double"))).alias("k")).agg(F.count("*").alias("n")).collect()}
+    short = F.hex(F.substring("token", 1, 1)) != "FF"  # else it is a digest
+    levels = {(r["k"], r["short"]): r["bytes"] for r in counts.groupBy(F.floor(F.log2(F.col("c").cast("double"))).alias("k"), short.alias("short")).agg(F.sum(F.octet_length("token") + ENTRY).alias("bytes")).collect()}
     least = 0
-    while sum(n for k, n in levels.items() if k >= least) > FREQUENT:
+    while sum(n for (k, s), n in levels.items() if s and k >= least) > BROADCAST_BYTES:
         least += 1
-    sent = docs.sparkSession.sparkContext.broadcast(Frequent.of(counts.where(F.col("c") >= 2**least).select("token", "n").toArrow()))
+    all_sent = not least and all(s for _, s in levels)
+    sent = docs.sparkSession.sparkContext.broadcast(Frequent.of(counts.where((F.col("c") >= 2**least) & short).select("token", "n").toArrow()))
     names = ["row", "doc_id", "n_bytes", "n_words", "n_tokens", "rest", "times"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +248,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             sums = np.bincount(doc[known], n[token[known]] * freq[known], minlength=rows) if len(n) else np.zeros(rows)
             per, other = np.bincount(doc[~known], minlength=rows), token[~known]
             offs = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
-            rest = pa.ListArray.from_arrays(offs, pa.array(keys, pa.binary()).take(pa.array(other)))
+            own, at = np.unique(other, return_inverse=True)
+            rest = pa.ListArray.from_arrays(offs, pa.array([named(keys[i]) for i in own], pa.binary()).take(pa.array(at)))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + rows)), b.column(0), pa.array(w.n_bytes), pa.array(w.n_words, pa.int64()), pa.array(sums.astype(np.int64)), rest, lists(freq[~known], per, pa.int64())], names)
             row += rows
 
     counted = texts(docs).mapInArrow(count, "row long, doc_id long, n_bytes long, n_words long, n_tokens long, rest array<binary>, times array<long>")
-    if least:
+    if not all_sent:
         counted = keep(counted)
         rest = counted.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("token"), F.col("r.times").alias("times"))
         more = rest.join(counts.select("token", "n"), "token").groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -61,6 +62,32 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+@functools.lru_cache(maxsize=8)
+def _multipliers(key: int) -> np.ndarray:
+    """Two rows of random 64-bit numbers: for the length, and for each 4 bytes."""
+    return np.random.Generator(np.random.PCG64(key)).integers(0, 1 << 64, (2, 1 + LONG // 4), U64)
+
+
+def keyed_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """64-bit hash of the bytes of each span under a secret key. Each half is a sum of the length and of all blocks of 4
+    bytes, each times a random number, of which the upper 32 bits count (multiply-shift hashing): whatever two
+    different spans are, they collide for one key in 2**64, and nobody without the key can make two that do."""
+    lens, eights, half = end - start, _eights(data), U64(0xFFFFFFFF)
+    sums = [m[0] * lens.astype(U64) for m in _multipliers(key)]
+    live, at = np.flatnonzero((lens > 0) & (lens <= LONG)), 0
+    while len(live):
+        left = lens[live] - at
+        block = eights[start[live] + at] & _MASKS[np.minimum(left, 8)]
+        low, high = block & half, block >> U64(32)
+        for total, m in zip(sums, _multipliers(key), strict=True):
+            total[live] += m[1 + at // 4] * low + m[2 + at // 4] * high
+        live, at = live[left > 8], at + 8
+    out = mix((sums[0] & ~half) | (sums[1] >> U64(32)))
+    for i in np.flatnonzero(lens > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
 def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a span of each distinct content, for each span the index of its content). Spans of equal hash are compared byte
     by byte, so that contents are never mixed up."""
@@ -88,11 +115,11 @@ def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.n
 class Words:
     """Words of the texts in one Arrow array.
 
-    data: the bytes (lower-cased if asked); start, end: borders in data; hash: 64 bits;
+    data: the bytes (lower-cased if asked); start, end: borders in data; hash: 64 bits, under a key if there is one;
     first: for each document the index of its first word, with the total as last entry.
     """
 
-    def __init__(self, array: pa.Array, word_bytes: np.ndarray, lower: bool = False):
+    def __init__(self, array: pa.Array, word_bytes: np.ndarray, lower: bool = False, key: int | None = None):
         array = array.cast(pa.large_string())
         if array.null_count:
             array = array.fill_null("")
@@ -113,7 +140,7 @@ class Words:
         after[:-1] = word[1:]
         self.end = np.flatnonzero(word & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, self.offsets)
-        self.hash = span_hashes(self.data, self.start, self.end)
+        self.hash = span_hashes(self.data, self.start, self.end) if key is None else keyed_hashes(self.data, self.start, self.end, key)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

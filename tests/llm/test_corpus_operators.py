@@ -169,9 +169,9 @@ def library():
 ODD = [(900, "A<|endoftext|>b <|ENDOFTEXT|> É*** ß,, İx ª. a's ١٢, 日本!"), (901, "x" * 3000), (902, "— … é́, ﬁ")]
 
 
-@pytest.mark.parametrize("frequent", [1 << 20, 5])
-def test_token_counts(spark, docs, rows, empty, monkeypatch, frequent):
-    monkeypatch.setattr(tokens, "FREQUENT", frequent)  # 5: nearly all are joined by their bytes
+@pytest.mark.parametrize("sent", [32 << 20, 150])
+def test_token_counts(spark, docs, rows, empty, monkeypatch, sent):
+    monkeypatch.setattr(tokens, "BROADCAST_BYTES", sent)  # 150: nearly all are joined by their bytes
     tok = library()
     every = docs.union(frame(spark, ODD))
     got = table(tokens.token_counts(every, tokenizer_path()), "doc_id")
