@@ -269,12 +269,6 @@ def tokens_in_order(body: Column, tokens: list[str]) -> Column:
     return F.aggregate(F.array(*map(F.lit, tokens)), F.lit(1), step) > 0
 
 
-def cascade(declarations: DataFrame, widths: DataFrame) -> DataFrame:
-    """(selector, prop, width): the value that holds, the last declared of those whose width range fits."""
-    fits = F.coalesce(F.col("min_width") <= F.col("width"), F.lit(True)) & F.coalesce(F.col("width") <= F.col("max_width"), F.lit(True))
-    return declarations.crossJoin(bounded(widths)).where(fits).groupBy("selector", "prop", "width").agg(F.max_by("value", "ord").alias("value"))
-
-
 def low_contrast(colours: DataFrame, least: float = 4.5) -> DataFrame:
     return colours.withColumn("ratio", numbers.contrast(F.col("front"), F.col("back"))).where(F.col("ratio") < least)
 

@@ -1,7 +1,5 @@
 """DuckDB SQL for the queries of queries.py that SQL can express."""
 
-from .queries import COLOURS, DECLARATIONS
-
 _POSTS = r"""posts as (
   select doc_id as id, substring(text, 1, 60) as title, text as body, lang as category_slug, source as series_slug,
     coalesce(quality, 0) = 1 as featured, timestamp '2024-01-01' + to_hours(doc_id) as published_at,
@@ -135,13 +133,6 @@ ORACLE: dict[str, str] = {
     "lab_shuffle": "select c as case_id, s_suppkey as candidate, row_number() over (partition by c order by sha256('seed-1:' || c || ':' || s_suppkey)) as place from supplier, range(1, 7) t(c)",
     "review_leaks": "select distinct doc_id, item_id from documents d join benchmark b on b.text <> '' and contains(d.text, b.text)",
     "article_schema_failures": "with p as (select * from documents) select doc_id as id, 'no_title' as rule from p where coalesce(text, '') = '' union all select doc_id, 'short_text' from p where length(coalesce(text, '')) < 50",
-    "cascade_resolve": f"""with d as (select * from {_literal(DECLARATIONS, "selector, prop, value, lo, hi, ord")}), w as (select * from (values (320), (480), (768), (1024), (1440)) v(width))
-      select selector, prop, width, arg_max(value, ord) as value from d, w where coalesce(lo <= width, true) and coalesce(width <= hi, true) group by all""",
-    "contrast_audit": f"""with c as (select * from {_literal(COLOURS, "name, front, back")}),
-      x as (select name, [cast(('0x' || substring(k, i, 2)) as int) / 255.0::double for i in [2, 4, 6]] as rgb, side from (select name, front as k, 1 as side from c union all select name, back, 2 from c)),
-      y as (select name, side, [case when v <= 0.04045 then v / 12.92 else pow((v + 0.055) / 1.055, 2.4) end for v in rgb] as l from x),
-      z as (select name, max(0.2126 * l[1] + 0.7152 * l[2] + 0.0722 * l[3]) as hi, min(0.2126 * l[1] + 0.7152 * l[2] + 0.0722 * l[3]) as lo from y group by name)
-      select name, round((hi + 0.05) / (lo + 0.05), 2) as ratio from z where (hi + 0.05) / (lo + 0.05) < 4.5""",
     "latest_progress": "with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events where event_type = 'view') select user_id, round(value, 4) as value, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as ts from r where k = 1",
     "unexpired_progress": "with n as (select max(ts) as n from events), r as (select user_id, max(ts) as t from events where event_type = 'view' group by user_id) select user_id from r, n where t <= n and t >= n - interval 1 day",
     "reading_list_state": "select user_id, cast(floor(value) as bigint) % 10 as item from events where event_type = 'click' group by all having count(*) % 2 = 1",

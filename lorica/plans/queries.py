@@ -272,22 +272,6 @@ def article_schema_failures(spark, d):
     return audit.schema_failures(T.posts(spark, d))
 
 
-#: Declarations of a small style sheet: selector, property, value, width range, order.
-DECLARATIONS = [(".grid", "columns", "4", None, None, 0), (".grid", "columns", "2", None, 900.0, 1), (".grid", "columns", "1", None, 480.0, 2), (".grid", "gap", "8px", 600.0, None, 3), (".nav", "height", "48px", None, None, 4), (".nav", "height", "56px", 700.0, 1200.0, 5)]
-COLOURS = [("text", "#1a1a1a", "#ffffff"), ("muted", "#777777", "#ffffff"), ("faint", "#aaaaaa", "#ffffff"), ("night", "#f0f0f0", "#0c2136"), ("dim", "#4a5a6a", "#0c2136")]
-
-
-@query
-def cascade_resolve(spark, d):
-    decl = spark.createDataFrame(DECLARATIONS, "selector string, prop string, value string, min_width double, max_width double, ord int")
-    return audit.cascade(decl, spark.createDataFrame([(w,) for w in (320, 480, 768, 1024, 1440)], "width int"))
-
-
-@query
-def contrast_audit(spark, d):
-    return audit.low_contrast(spark.createDataFrame(COLOURS, "name string, front string, back string")).select("name", F.round("ratio", 2).alias("ratio"))
-
-
 @query
 def latest_progress(spark, d):
     e = T.reader_events(spark, d)
