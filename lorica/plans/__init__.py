@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import audio, oracle, queries, reading, site, styles, values
+from . import audio, oracle, queries, reading, site, streams, styles, values
 
-QUERIES = queries.QUERIES | values.QUERIES | audio.QUERIES | site.QUERIES | reading.QUERIES | styles.QUERIES
-ORACLE = oracle.ORACLE | values.ORACLE | audio.ORACLE | site.ORACLE | reading.ORACLE | styles.ORACLE
+QUERIES = queries.QUERIES | values.QUERIES | audio.QUERIES | site.QUERIES | reading.QUERIES | streams.QUERIES | styles.QUERIES
+ORACLE = oracle.ORACLE | values.ORACLE | audio.ORACLE | site.ORACLE | reading.ORACLE | streams.ORACLE | styles.ORACLE

@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as it is written to ``spark.checkpoint.dir``: what is read from it is the same however often it is read. Where
-    the setting is missing, a session on one machine uses a folder of it; on a cluster that is an error."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``. Where the setting is missing, a session on one machine uses a folder of
+    it; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lorica-")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as it is written to a new path: what is read from it is the same however often it is read."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
