@@ -83,24 +83,6 @@ def test_streams_of_ticks_toggles_and_consents(spark, tmp_path):
     assert rows(got, "event_id") == rows(batch, "event_id") and got.count() > 0
 
 
-def test_releases(spark, tmp_path):
-    from lorica.operators import site
-
-    root = f"file://{tmp_path}/site"
-    one, two = (spark.createDataFrame([(x,)], "v string") for x in ("first", "second"))
-    site.publish(one, root, "r1")
-    site.publish(two, root, "r2")
-    assert site.current(spark, root).first()["v"] == "second"
-    with pytest.raises(Exception, match="r2"):
-        site.publish(one, root, "r2")
-    assert site.current(spark, root).first()["v"] == "second"
-    site.rollback(spark, root, "r1")
-    assert site.current(spark, root).first()["v"] == "first"
-    with pytest.raises(Exception, match="r9"):
-        site.rollback(spark, root, "r9")
-    assert {(r["release"], r["v"]) for r in site.retained(spark, root).collect()} == {("r1", "first"), ("r2", "second")}
-
-
 def test_folders(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, head in (("sub/b", "title: B"), ("a", "title: A\ndraft: true"), ("c", "title: 'C'")):
