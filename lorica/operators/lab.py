@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,48 @@ def revealed(ratings: DataFrame, key: DataFrame) -> DataFrame:
 def enabled(candidates: DataFrame) -> DataFrame:
     """Candidates that are not switched off."""
     return candidates.where(F.coalesce("enabled", F.lit(True)))
+
+
+def canonical(cases: DataFrame, segments: DataFrame) -> DataFrame:
+    """cases (case_id, article_id, segment_id) with the text of their segment (article_id, segment_id, text), and in how
+    many segments of that name it was found: 0 is a case without one, and more than 1 are no name."""
+    named = segments.groupBy("article_id", "segment_id").agg(F.min("text").alias("text"), F.count("*").alias("segments"))
+    return cases.join(named, ["article_id", "segment_id"], "left").withColumn("segments", F.coalesce("segments", F.lit(0)))
+
+
+#: Seconds that a clip may last. Fixed values.
+SHORTEST, LONGEST = 2, 90
+
+
+def integrity(candidates: DataFrame, cases: DataFrame, segments: DataFrame, items: DataFrame) -> DataFrame:
+    """(candidate, case_id, rule, n) of everything that keeps a blind evaluation from being sound: cases whose segment is
+    missing or not unique (candidate null); items (candidate, case_id, text, text_sha256, seconds) of an unknown case or
+    candidate, doubled ones, ones made from another text than the canonical one (text or digest must agree) or of a length
+    outside the limits; and candidates that do not have all cases (case_id null, n: how many they lack).
+
+    Completeness is a division: the distinct known cases of each candidate are counted against the number of all cases,
+    and no pair that is missing is ever spelled out."""
+    named = canonical(cases, segments)
+    row = lambda df, rule, candidate, case, n: df.select(candidate.alias("candidate"), case.alias("case_id"), F.lit(rule).alias("rule"), n.cast("long").alias("n"))
+    no_candidate, no_case = (F.lit(None).cast(df.schema[c].dataType) for df, c in ((candidates, "candidate"), (cases, "case_id")))
+    candidate, case, one = F.col("candidate"), F.col("case_id"), F.lit(1)
+
+    known = items.join(named, "case_id", "left_semi").join(candidates, "candidate", "left_semi")
+    counted = known.groupBy("candidate", "case_id").agg(F.count("*").alias("n"))
+    have = counted.groupBy("candidate").agg(F.count("*").alias("have"))
+    total = cases.agg(F.countDistinct("case_id").alias("total"))
+    lacking = candidates.select("candidate").distinct().join(have, "candidate", "left").crossJoin(F.broadcast(total)).withColumn("n", F.col("total") - F.coalesce("have", F.lit(0)))
+
+    said = items.withColumnsRenamed({"text": "said", "text_sha256": "said_sha256"}).join(named, "case_id")
+    same = F.coalesce(F.col("said") == F.col("text"), F.lit(False)) | F.coalesce(F.col("said_sha256") == F.sha2("text", 256), F.lit(False))
+    length = F.coalesce(F.col("seconds").between(SHORTEST, LONGEST), F.lit(False))
+    return reduce(DataFrame.unionByName, [
+        row(named.where("segments = 0"), "no_segment", no_candidate, case, one),
+        row(named.where("segments > 1"), "segment_not_unique", no_candidate, case, F.col("segments")),
+        row(items.join(cases, "case_id", "left_anti"), "unknown_case", candidate, case, one),
+        row(items.join(candidates, "candidate", "left_anti"), "unknown_candidate", candidate, case, one),
+        row(counted.where("n > 1"), "doubled", candidate, case, F.col("n")),
+        row(lacking.where("n > 0"), "incomplete", candidate, no_case, F.col("n")),
+        row(said.where((F.col("segments") > 0) & ~same), "other_text", candidate, case, one),
+        row(items.where(~length), "length", candidate, case, one),
+    ])

@@ -90,3 +90,11 @@ def recordings(spark: SparkSession, folder: str) -> DataFrame:
     from ..functions.python_udfs import mp3_seconds
 
     return binaries(spark, folder).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), mp3_seconds(F.col("content")).alias("seconds"))
+
+
+def pictures(spark: SparkSession, folder: str, pattern: str = "*.{png,webp}") -> DataFrame:
+    """(path, file, bytes, kind, width, height) of the pictures below a folder, from the beginnings of the files."""
+    from ..functions.pictures import picture_size
+
+    size = binaries(spark, folder, pattern).select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), picture_size(F.col("content")).alias("s"))
+    return size.select("path", "file", "bytes", "s.kind", "s.width", "s.height")
