@@ -257,6 +257,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     if not all_sent:
         counted = keep(counted)
         rest = counted.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("token"), F.col("r.times").alias("times"))
-        more = rest.join(counts.select("token", "n"), "token").groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more"))
+        unsent = counts.where((F.col("c") < 2**least) | ~short).select("token", "n")
+        more = rest.join(unsent, "token").groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more"))
         counted = counted.join(more, "row", "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce("more", F.lit(0)))
     return counted.select("doc_id", "n_bytes", "n_words", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
