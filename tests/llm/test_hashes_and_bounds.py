@@ -124,3 +124,24 @@ def test_the_key_is_the_application_s(spark):
     finally:
         spark.conf.unset("spark.lorica.wordKey")
     assert word_key(spark) != 17 and Counter(os.environ)["lorica"] == 0
+
+
+def test_parities_lose_no_pair(spark):
+    """The filter never rules out a pair that reaches the threshold, and rules out most that share nothing."""
+    r = np.random.default_rng(3)
+    rows, sets = [], []
+    for _ in range(400):
+        n = int(r.integers(1, 300))
+        common = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        rest = lambda: r.integers(0, 1 << 63, int(r.integers(0, n // 3 + 1)), dtype=np.uint64)  # noqa: B023, E731
+        sets.append((np.unique(np.concatenate([common, rest()])), np.unique(np.concatenate([common, rest()]))))
+    sets += [(r.integers(0, 1 << 63, 90, dtype=np.uint64), r.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(50)]
+    for i, (x, y) in enumerate(sets):
+        rows.append((i, [len(x), *ngram_join.parities(words.mix(x))], [len(y), *ngram_join.parities(words.mix(y))]))
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    from pyspark.sql import functions as F
+
+    side = lambda c: F.struct(F.col(c)[0].alias("n"), F.slice(c, 2, 4).alias("parities"))
+    passed = {x["i"] for x in df.select("i", side("a").alias("x"), side("b").alias("y")).where(ngram_join._alike("x", "y")).collect()}
+    near = {i for i, (x, y) in enumerate(sets) if 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y))}
+    assert near <= passed and len(near) > 100 and not passed & set(range(400, 450))
