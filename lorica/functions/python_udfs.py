@@ -15,22 +15,38 @@ import regex
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from .text import INLINE, WHITE
+
 #: Vowel signs of Arabic that each form leaves out. Fixed values.
 _MARKS = re.compile("[\\u064B-\\u065F\\u0670\\u06D6-\\u06ED]")
 _SEARCH_MARKS = re.compile("[\\u064B-\\u0652\\u0640]")
 
 
-_NEITHER = regex.compile(r"[^\p{L}\p{N}]+")
+_NEITHER, _NEITHER_ASCII = regex.compile(r"[^\p{L}\p{N}]+"), re.compile("[^A-Za-z0-9]+")
 
 
 def match_form_of(s: str | None) -> str:
     """Decomposed, without vowel signs, letters and digits only, lower case: for aligning texts."""
     if not s:
         return ""
+    if s.isascii():
+        return _NEITHER_ASCII.sub(" ", s).strip().lower()
     bare = _MARKS.sub("", unicodedata.normalize("NFKD", s))
     return _NEITHER.sub(" ", bare).strip().lower()
 
 
+_ENDS = re.compile(rf"\A{WHITE}+|{WHITE}+\Z")
+_INLINE = [(literal, re.compile(pattern), replacement.replace("$1", r"\1")) for literal, pattern, replacement in INLINE]
+
+
+def inline_of(s: str) -> str:
+    """text.inline_text() of one value."""
+    for literal, pattern, replacement in _INLINE:
+        if literal in s:
+            s = pattern.sub(replacement, s)
+    return _ENDS.sub("", s)
+
+
 def search_form_of(s: str | None) -> str:
     """Lower case, decomposed, alef and teh marbuta folded. The alefs are folded after they came apart, so that their
     hamza stays: a bare alef does not find them."""

@@ -23,8 +23,9 @@ def replace_all(text: Column, *rules: tuple[str, str]) -> Column:
 
 
 def replace_where(text: Column, *rules: tuple[str, str, str]) -> Column:
-    """Rules (a literal that every match has, pattern, replacement): texts without the literal are passed over."""
-    return reduce(lambda t, r: F.when(F.contains(t, F.lit(r[0])), F.regexp_replace(t, r[1], r[2])).otherwise(t), rules, text)
+    """Rules (a literal that every match has, pattern, replacement): texts without the literal are passed over. The empty
+    literal is in every text."""
+    return reduce(lambda t, r: F.when(F.contains(t, F.lit(r[0])), F.regexp_replace(t, r[1], r[2])).otherwise(t) if r[0] else F.regexp_replace(t, r[1], r[2]), rules, text)
 
 
 def trim(text: Column) -> Column:
@@ -49,15 +50,26 @@ def reading_minutes(words: Column) -> Column:
 
 def excerpt(body: Column, length: int = 420) -> Column:
     """Plain text of a Markdown text: comments and images go, the text of links stays; the first ``length`` characters."""
-    plain = replace_where(body, ("<!--", r"(?s)<!--.*?-->", " "), ("![", r"!\[[^\]]*\]\([^)]+\)", " "), ("](", r"\[([^\]]+)\]\([^)]+\)", "$1"), ("://", ADDRESS, " "))
-    return F.left(F.trim(F.regexp_replace(plain, _BETWEEN, " ")), F.lit(length))
+    def cleaned(text: Column) -> Column:
+        plain = replace_where(text, ("<!--", r"(?s)<!--.*?-->", " "), ("![", r"!\[[^\]]*\]\([^)]+\)", " "), ("](", r"\[([^\]]+)\]\([^)]+\)", "$1"), ("://", ADDRESS, " "))
+        return F.trim(F.regexp_replace(plain, _BETWEEN, " "))
+
+    # a beginning without an opened bracket has nothing that reaches beyond it but an address at its very end
+    head = F.left(body, F.lit(4 * length))
+    own = cleaned(head)
+    enough = ~F.contains(head, F.lit("<")) & ~F.contains(head, F.lit("[")) & (F.char_length(own) >= length + 16)
+    return F.when(enough, F.left(own, F.lit(length))).otherwise(F.left(cleaned(body), F.lit(length)))
+
+
+#: Markdown of one block as it is read aloud: images and addresses go, signs of emphasis go, spaces are squeezed. Rules as
+#: of replace_where(), formats fixed; python_udfs.inline_of() applies the same ones.
+INLINE = (
+    ("![", r"!\[[^\]]*\]\([^)]*\)", " "), ("](", r"\[([^\]]+)\]\([^)]*\)", "$1"), ("<", r"<[^>]+>", " "), ("", r"[*_~`]", ""),
+    ("://", r"\([^)]*https?://[^)]*\)", " "), ("://", ADDRESS, " "), ("", f"{WHITE}+([،؛؟.!])", "$1"), ("", r"[ \t]+", " "))
 
 
 def inline_text(text: Column) -> Column:
-    """Markdown of one block as it is read aloud: images and addresses go, signs of emphasis go, spaces are squeezed."""
-    return trim(replace_all(
-        text, (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"<[^>]+>", " "), (r"[*_~`]", ""),
-        (r"\([^)]*https?://[^)]*\)", " "), (ADDRESS, " "), (f"{WHITE}+([،؛؟.!])", "$1"), (r"[ \t]+", " ")))
+    return trim(replace_where(text, *INLINE))
 
 
 def without_references(body: Column, arabic: bool = False) -> Column:

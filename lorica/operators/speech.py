@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text
-from ..functions.python_udfs import audio_parts_of, chunks, match_form, parts_of
+from ..functions.python_udfs import audio_parts_of, chunks, inline_of, match_form_of, parts_of
 
-BLOCKS = ArrayType(StructType([StructField("type", StringType()), StructField("raw", StringType())]))
+BLOCKS = ArrayType(StructType([StructField(c, StringType()) for c in ("type", "visible", "match")]))
 IN_ORDER = ("ordinal", "type", "text")
 
 _RULES = [  # formats of lines, fixed: what a line begins, first match wins; None ends the block before it and says nothing
@@ -46,18 +46,27 @@ def blocks_of(body: str) -> list[tuple[str, str]]:
     return out
 
 
+def said_blocks_of(body: str) -> list[dict[str, str]]:
+    """The blocks that say something: two characters or more, letters or digits among them."""
+    out = []
+    for kind, raw in blocks_of(body):
+        visible = inline_of(raw)
+        match = match_form_of(visible) if len(visible) >= 2 else ""
+        if match:
+            out.append({"type": kind, "visible": visible, "match": match[:120]})
+    return out
+
+
 @F.pandas_udf(BLOCKS)
-def markdown_blocks(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [{"type": a, "raw": b} for a, b in blocks_of(t or "")])
+def said_blocks(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: said_blocks_of(t or ""))
 
 
 def speech_segments(posts: DataFrame) -> DataFrame:
-    """(id, segment_id, type, visible, match, spoken) of each block that says something; segment ids count per article."""
-    b = posts.select("id", F.posexplode(markdown_blocks(text.without_references(F.col("body")))).alias("pos", "b"))
-    b = b.select("id", "pos", F.col("b.type").alias("type"), text.inline_text(F.col("b.raw")).alias("visible"))
-    b = b.where(F.char_length("visible") >= 2).withColumn("match", match_form(F.col("visible"))).where("match <> ''")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    return b.select("id", F.format_string("b%04d", nth).alias("segment_id"), "type", "visible", F.left("match", F.lit(120)).alias("match"), text.speech_text(F.col("visible")).alias("spoken"))
+    """(id, segment_id, type, visible, match, spoken) of each block that says something; segment ids count per article. A
+    text goes through Python once, from which its blocks come cleaned and in order."""
+    b = posts.select("id", F.posexplode(said_blocks(text.without_references(F.col("body")))).alias("pos", "b")).select("id", "pos", "b.*")
+    return b.select("id", F.format_string("b%04d", F.col("pos") + 1).alias("segment_id"), "type", "visible", "match", text.speech_text(F.col("visible")).alias("spoken"))
 
 
 def chunked(segments: DataFrame, most: int) -> DataFrame:

@@ -16,11 +16,11 @@ def seek(recordings: DataFrame, targets: DataFrame) -> DataFrame:
     parts = recordings.withColumns({"part": F.row_number().over(w) - 1, "upto": F.sum("seconds").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     totals = recordings.groupBy("article_id").agg(F.sum("seconds").alias("total"))
     at = targets.join(totals, "article_id").select("article_id", F.greatest(F.lit(0), F.least("target", "total")).alias("at"), "total")
-    # both on one axis: behind a target comes the end of the part that holds it
+    # both on one axis, from its end: the last end of a part before a target is that of the part that holds it
     ends = parts.select("article_id", F.col("upto").alias("at"), F.lit(1).alias("kind"), F.struct("part", (F.col("upto") - F.col("seconds")).alias("begin")).alias("p"), F.lit(None).cast("long").alias("total"))
     asked = at.select("article_id", "at", F.lit(0).alias("kind"), F.lit(None).cast(ends.schema["p"].dataType).alias("p"), "total")
-    axis = Window.partitionBy("article_id").orderBy("at", "kind", F.col("p.part")).rowsBetween(0, Window.unboundedFollowing)
-    found = asked.unionByName(ends).withColumn("next", F.first("p", ignorenulls=True).over(axis)).where("kind = 0 and next is not null")
+    axis = Window.partitionBy("article_id").orderBy(F.desc("at"), F.desc("kind"), F.desc("p.part")).rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(ends).withColumn("next", F.last("p", ignorenulls=True).over(axis)).where("kind = 0 and next is not null")
     return found.select("article_id", F.col("next.part").cast("long").alias("part"), (F.col("at") - F.col("next.begin")).alias("inside"), "total")
 
 

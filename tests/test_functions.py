@@ -81,3 +81,69 @@ def test_blocks_and_headers(spark):
     assert one(spark, response_headers(F.lit("a.pages.test"), F.lit("text/html"), h, ".pages.test")) == {"x-robots-tag": "noindex, nofollow"}
     assert one(spark, response_headers(F.lit("a.org"), F.lit("image/png"), h, ".pages.test")) == {"Access-Control-Allow-Origin": "*"}
     assert one(spark, tokens_in_order(F.lit("one two three"), ["one", "three"])) and not one(spark, tokens_in_order(F.lit("one two three"), ["three", "one"]))
+
+
+def test_inline_text_on_both_sides(spark):
+    """The column expression and the function of one value apply the same rules."""
+    import random
+
+    from lorica.functions.python_udfs import inline_of
+
+    r = random.Random(2)
+    bits = ["word", " ", "\t", "　", "\n", "*", "_", "`", "~", "![a](b)", "[c](d)", "(", ")", "[", "]", "<b>", "<", ">", "http://x.y/z", "(see https://a.b)", "،", " ؟", ".", "!", " ", "é", "\x0b"]
+    texts = ["".join(r.choices(bits, k=r.randrange(30))) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x["i"]: x["v"] for x in df.select("i", text.inline_text(F.col("t")).alias("v")).collect()}
+    assert got == {i: inline_of(t) for i, t in enumerate(texts)}
+
+
+def test_excerpts_of_long_texts(spark):
+    """The short way gives what the whole text gives."""
+    import random
+
+    r = random.Random(8)
+    bits = ["word", "a-b", "  ", "\n", "*x*", "https://a.b/c", "(d)", "ünï", "~"]
+    texts = [" ".join(r.choices(bits, k=r.randrange(1, 400))) for _ in range(200)] + ["x" * 79 + " <!-- " + "y " * 900 + "--> z", "[" + "a " * 900 + "](b) c", "-" * 1000 + " z " * 600, " " * 90 + "h" * 25]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    whole = text.excerpt(F.col("t"), 10_000)
+    for n in (20, 420):
+        assert df.select("i", text.excerpt(F.col("t"), n).alias("a"), F.left(whole, F.lit(n)).alias("b")).where("a <> b").isEmpty()
+
+
+def test_seek_in_a_long_recording(spark):
+    import time
+
+    from lorica.operators.timeline import seek
+
+    n = 100_000
+    parts = spark.range(n).select(F.lit(1).cast("long").alias("article_id"), F.col("id").alias("line"), F.lit(0).alias("p"), F.lit(0).alias("s"), F.lit(None).cast("timestamp").alias("t"), (F.col("id") % 7).alias("seconds"))
+    targets = spark.createDataFrame([(1, k) for k in (-5, 0, 1, 99_999, 150_000, 10**9)], "article_id long, target long")
+    began = time.time()
+    got = {(r["part"], r["inside"]) for r in seek(parts, targets).collect()}
+    ends = [0]
+    for k in range(n):
+        ends.append(ends[-1] + k % 7)
+    want = set()
+    for at in (0, 0, 1, 99_999, 150_000, ends[-1]):
+        k = next(i for i in range(n) if ends[i + 1] >= at)
+        want.add((k, at - ends[k]))
+    assert got == want and time.time() - began < 60
+
+
+def test_numbers_within_groups(spark):
+    import random
+
+    from lorica.operators.ranking import numbered, numbered_within
+
+    r = random.Random(1)
+    rows = [(r.choice(["hot", "hot", "b", "c", None, ""]), r.randrange(10**6), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(5)
+    got = {x["i"]: x["rank"] for x in numbered_within(df, "g", "v", "i").collect()}
+    want = {}
+    for g in {x[0] for x in rows}:
+        for k, x in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: x[1:]), 1):
+            want[x[2]] = k
+    assert got == want
+    every = {x["i"]: x["rank"] for x in numbered(df, "v", "i").collect()}
+    assert every == {x[2]: k for k, x in enumerate(sorted(rows, key=lambda x: x[1:]), 1)}
+    assert numbered_within(df.limit(0), "g", "v").count() == numbered(df.limit(0), "v").count() == 0
