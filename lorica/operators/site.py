@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nested, numbers, text
+from .ranking import numbered
 
 
 def routes(posts: DataFrame, categories: DataFrame, least_series: int = 2) -> DataFrame:
@@ -88,10 +89,10 @@ SITEMAP_URLS = 50_000
 
 
 def sitemap_documents(urls: DataFrame, base: str, most: int = SITEMAP_URLS) -> DataFrame:
-    """(part, document): urls (path, lastmod) in sitemaps of at most ``most`` addresses on average, by a hash of the path."""
-    parts = max(1, -(-urls.count() // most))
+    """(part, document): urls (path, lastmod) in sitemaps of ``most`` addresses each, the last one of what is left, in the
+    order of their paths."""
     entry = F.concat(F.lit("<url><loc>"), text.escape_xml(F.concat(F.lit(base), F.col("path"))), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), F.col("lastmod"), F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
-    rows = urls.select(F.pmod(F.xxhash64("path"), F.lit(parts)).alias("part"), F.struct("path", entry.alias("line")).alias("l"))
+    rows = numbered(urls.select("path", entry.alias("line")), "path", "line").select(F.floor((F.col("rank") - 1) / most).alias("part"), F.struct("path", "line").alias("l"))
     grouped = rows.groupBy("part").agg(F.array_sort(F.collect_list("l")).alias("l"))
     head, tail = '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</urlset>"
     return grouped.select("part", F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit(tail)).alias("document"))

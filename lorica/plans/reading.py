@@ -171,9 +171,13 @@ def point_lookup(spark, d):
     return work.found_or_error(T.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), "id", 7)
 
 
-@query("select count(distinct r_regionkey) as distinct_ids, count(*) as n, true as ok from region")
+@query("""with k as (select 'whole' as what, n_nationkey as id from nation union all select 'short', n_nationkey from nation where n_nationkey % 6 <> 0 union all select 'doubled', s_nationkey from supplier)
+  select what, count(distinct id) as distinct_ids, count(*) as n, count(distinct id) = 25 and count(*) = 25 as ok from k group by what""")
 def exact_set(spark, d):
-    return work.exactly(T.table(spark, d, "region"), "r_regionkey", 5)
+    """Three lists of ids of which one is the exact set of 25."""
+    n, s = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), T.table(spark, d, "supplier").select(F.col("s_nationkey").alias("id"))
+    lists = {"whole": n, "short": n.where("id % 6 <> 0"), "doubled": s}
+    return audit.union(*(work.exactly(ids, "id", 25).select(F.lit(what).alias("what"), "distinct_ids", "n", "ok") for what, ids in lists.items()))
 
 
 @query("with f as (select p_partkey as subject, 'size' as rule from part where p_size > 10) select * from f order by subject, rule limit 150")
