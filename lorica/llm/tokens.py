@@ -28,7 +28,7 @@ from .store import keep, texts
 from .words import LOWER, NON_SPACE, Words, distinct_spans, lists, pieces, span_hashes
 
 #: Bytes of pre-tokens that are broadcast with their counts at most (ENTRY bytes each besides their own).
-BROADCAST_BYTES, ENTRY = 32 << 20, 24
+BROADCAST_BYTES, ENTRY = 128 << 20, 24
 #: Bytes of a pre-token that is told apart by its bytes; a longer one goes by its SHA-256 behind a byte that no text has.
 SHORT = 64
 

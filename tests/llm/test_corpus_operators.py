@@ -169,7 +169,7 @@ def library():
 ODD = [(900, "A<|endoftext|>b <|ENDOFTEXT|> É*** ß,, İx ª. a's ١٢, 日本!"), (901, "x" * 3000), (902, "— … é́, ﬁ")]
 
 
-@pytest.mark.parametrize("sent", [32 << 20, 150])
+@pytest.mark.parametrize("sent", [128 << 20, 150])
 def test_token_counts(spark, docs, rows, empty, monkeypatch, sent):
     monkeypatch.setattr(tokens, "BROADCAST_BYTES", sent)  # 150: nearly all are joined by their bytes
     tok = library()
