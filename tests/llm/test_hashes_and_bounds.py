@@ -141,7 +141,7 @@ def test_parities_lose_no_pair(spark):
     df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
     from pyspark.sql import functions as F
 
-    side = lambda c: F.struct(F.col(c)[0].alias("n"), F.slice(c, 2, 4).alias("parities"))
+    side = lambda c: F.struct(F.col(c)[0].alias("n"), F.slice(c, 2, ngram_join.PARITIES).alias("parities"))
     passed = {x["i"] for x in df.select("i", side("a").alias("x"), side("b").alias("y")).where(ngram_join._alike("x", "y")).collect()}
     near = {i for i, (x, y) in enumerate(sets) if 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y))}
     assert near <= passed and len(near) > 100 and not passed & set(range(400, 450))
