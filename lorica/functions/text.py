@@ -164,5 +164,22 @@ def image_set(path: Column, kind: str = "posts") -> Column:
     return F.struct(F.when(own, F.concat(F.lit(folder + "/"), name, F.lit("-640.webp"))).otherwise(path).alias("src"), F.when(own, widths).alias("srcset"))
 
 
+def branded_title(title: Column, brand: str, tagline: str, most: int = 65) -> Column:
+    """A page's title: with the brand behind it as long as both fit (counted in UTF-16 units), the brand's own page with
+    its tagline. The limit is a fixed value."""
+    branded = F.concat(title, F.lit(f" | {brand}"))
+    units = (F.octet_length(F.encode(branded, "UTF-16BE")) / 2).cast("int")
+    return F.when(title == brand, f"{brand} — {tagline}").when(units <= most, branded).otherwise(title)
+
+
+def picture_of(path: Column, use: str) -> Column:
+    """The file that stands for a picture as a thumbnail or in social media; paths of other folders stay as they are."""
+    own, thumbnail = path.startswith("/images/posts/"), path.startswith("/images/thumbnails/")
+    made = lambda folder, end: F.concat(F.lit(f"/images/{folder}/"), base_name(path), F.lit(end))
+    if use == "social":
+        return F.when(own | thumbnail, made("social", "-social.jpg")).otherwise(path)
+    return F.when(thumbnail, made("thumbnails", "-320.webp")).when(own, made("generated", "-320.webp")).otherwise(path)
+
+
 def plain_html(text: Column) -> Column:
     return F.trim(replace_all(text, (r"<[^>]+>", ""), (r"&(?:amp|quot|#39|lt|gt);", " "), (f"{WHITE}+", " ")))

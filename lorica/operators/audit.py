@@ -19,8 +19,17 @@ def found_all(html: Column, pattern: str, group: int = 1) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(page_id, target): all values of href and src."""
-    return pages.select("page_id", F.explode(found_all(F.col("html"), r"""\b(?:href|src|data-src)=["']([^"']+)["']""")).alias("target"))
+    """(page_id, target): all values of href and src, and the addresses of every srcset, whose widths are left out."""
+    single = found_all(F.col("html"), r"""\b(?:href|src|data-src)=["']([^"']+)["']""")
+    sets = found_all(F.col("html"), r"""\bsrcset=["']([^"']+)["']""")
+    each = F.flatten(F.transform(sets, lambda s: F.transform(F.split(s, ","), lambda p: F.element_at(F.split(F.trim(p), r"\s+"), 1))))
+    return pages.select("page_id", F.explode(F.concat(single, each)).alias("target")).where("target <> ''")
+
+
+def file_path(file: Column) -> Column:
+    """The path under which a generated file is a page: an index file is its folder, the ending goes."""
+    inner = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(file, r"/index\.html$", "/"), r"\.html$", ""))
+    return F.when(file == "index.html", "/").otherwise(inner)
 
 
 def page_path(url: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from .audit import bounded
 from .ranking import numbered, numbered_within
 
 FEED_ORDER = (F.desc, "published_at"), (F.asc, "id")
@@ -54,6 +55,12 @@ def series_counts(posts: DataFrame, least: int = 2) -> DataFrame:
     return posts.where("series_slug is not null").groupBy("series_slug").agg(F.count("*").alias("articles")).where(F.col("articles") >= least)
 
 
+def with_series(posts: DataFrame, series: DataFrame) -> DataFrame:
+    """posts with what the short list of series (slug, title, description) says of theirs, null if nothing."""
+    meta = bounded(series).select(F.col("slug").alias("series_slug"), F.struct("title", "description").alias("series"))
+    return posts.join(meta, "series_slug", "left")
+
+
 def series_entries(posts: DataFrame, order: DataFrame) -> DataFrame:
     """Articles of each series: those with a place in ``order`` (series_slug, id, place) first, then the oldest."""
     rows = posts.where("series_slug is not null").join(order, ["series_slug", "id"], "left").select("series_slug", "id", "place", "published_at")

@@ -156,3 +156,62 @@ def weighted_intervals(pieces: DataFrame, micro: int = 1_000_000) -> DataFrame:
     share = lambda c: F.floor(c * micro / F.col("every")).cast("long")
     spans = p.select("article_id", "part", "run", "id", share(F.col("upto") - F.col("weight")).alias("start"), share(F.col("upto")).alias("end"))
     return spans.groupBy("article_id", "part", "run", "id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+#: Bytes that a request for speech must stay under. Fixed value.
+REQUEST_BYTES = 64_000
+
+
+def ssml(pieces: DataFrame, voice: str, language: str = "ar-SA", rate: str = "0%") -> DataFrame:
+    """(article_id, part, ssml, fits) of pieces (article_id, part, pos, type, text): one request for each part, its pieces in
+    order, with pauses behind a title and around a heading. fits: whether it is below REQUEST_BYTES. A part is what one
+    request holds, so its pieces are few."""
+    body = F.concat(F.lit(f'<prosody rate="{rate}">'), text.escape_xml(F.col("text")), F.lit("</prosody>"))
+    pause = lambda ms: F.lit(f'<break time="{ms}ms"/>')
+    said = F.when(F.col("type") == "title", F.concat(body, pause(260))).when(F.col("type").rlike(r"^h\d$"), F.concat(pause(160), body, pause(180))).otherwise(body)
+    rows = pieces.groupBy("article_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("<p>"), said, F.lit("</p>")).alias("said")))).alias("l"))
+    head = f'<speak version="1.0" xmlns="http://www.w3.org/2001/10/synthesis" xml:lang="{language}"><voice name="{voice}">'
+    whole = rows.select("article_id", "part", F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["said"]), ""), F.lit("</voice></speak>")).alias("ssml"))
+    return whole.withColumn("fits", F.octet_length("ssml") < REQUEST_BYTES)
+
+
+def prompts(parts: DataFrame, style: str) -> DataFrame:
+    """(article_id, part, prompt) of parts (article_id, title, part, text; part from 0): style, context, then the transcript.
+    Where an article has several parts, each says which one it is."""
+    count = F.count("*").over(Window.partitionBy("article_id"))
+    topic = F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"[\r\n]+", " "))
+    place = F.format_string("This is part %d of %d; voice and distance stay the same.", F.col("part") + 1, count)
+    blank = F.lit("\n\n")
+    return parts.select("article_id", "part", F.concat(F.lit(style), blank, F.lit("### CONTEXT (not read aloud)\nTopic: "), topic, F.lit("\n"), F.when(count > 1, place).otherwise(""), blank, F.lit("### TRANSCRIPT\n"), F.col("text")).alias("prompt"))
+
+
+def zipped(blocks: DataFrame, segments: DataFrame, parts: DataFrame) -> DataFrame:
+    """Three lists of an article side by side by place (article_id, pos; from 0): blocks (block, start, end), segments (id,
+    type) and parts (block, seconds). A row for each place that one of them has, with what is missing null."""
+    key = ["article_id", "pos"]
+    b = blocks.select(*key, F.col("block").alias("timed"), "start", "end")
+    p = parts.select(*key, F.col("block").alias("recorded"), "seconds")
+    return b.join(segments.select(*key, "id", "type"), key, "full_outer").join(p, key, "full_outer")
+
+
+def zip_failures(rows: DataFrame, totals: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """(article_id, pos, rule) of zipped() rows: a list that is too short, a block that is not the one of its place, times
+    that do not fit the article (totals: article_id, seconds), and, with pos null, parts whose seconds do not add up."""
+    block = F.format_string("block-%03d", F.col("pos") + 1)
+    both = rows.join(totals.withColumnRenamed("seconds", "total"), "article_id")
+    rules = {
+        "missing": F.col("timed").isNull() | F.col("id").isNull() | F.col("recorded").isNull(),
+        "order": (F.col("timed") != block) | (F.col("recorded") != block),
+        "time": ~((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.col("total") + tolerance)),
+    }
+    single = both.select("article_id", "pos", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())))).alias("rule"))
+    sums = both.groupBy("article_id").agg(F.sum("seconds").alias("s"), F.max("total").alias("t")).where(~F.coalesce(F.abs(F.col("s") - F.col("t")) <= tolerance, F.lit(False)))
+    return single.unionByName(sums.select("article_id", F.lit(None).cast(rows.schema["pos"].dataType).alias("pos"), F.lit("sum").alias("rule")))
+
+
+def synced(rows: DataFrame, totals: DataFrame, digits: int = 9) -> DataFrame:
+    """(article_id, pos, id, type, start, end) of zipped() rows: shares of the article's time; the last one ends at 1."""
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("article_id"))
+    share = lambda c: F.round(F.col(c) / F.col("total"), digits)
+    both = rows.join(totals.withColumnRenamed("seconds", "total"), "article_id")
+    return both.select("article_id", "pos", "id", "type", share("start").alias("start"), F.when(last, 1.0).otherwise(share("end")).alias("end"))

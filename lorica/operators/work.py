@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from .audit import bounded
 
 
+#: The language in which ids are put in order. Fixed value.
+LANGUAGE = "ar"
+
+
 def missing(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Rows of wanted (article_id, source_hash, ...) that the cache does not hold complete."""
     return wanted.join(cache.where("complete").select("article_id", "source_hash"), ["article_id", "source_hash"], "left_anti")
 
 
 def next_work(missing_: DataFrame, cap: int) -> DataFrame:
-    """The shortest jobs first, equal ones by id, so many as the cap allows."""
-    return missing_.orderBy("requests", "article_id").limit(cap)
+    """The shortest jobs first, equal ones by id, so many as the cap allows. Ids that are texts follow the rules of the
+    language, not their bytes."""
+    text = missing_.schema["article_id"].dataType.typeName() == "string"
+    return missing_.orderBy("requests", F.collate("article_id", LANGUAGE) if text else "article_id", "article_id").limit(cap)
 
 
 def totals(missing_: DataFrame, voices: int = 1) -> DataFrame:

@@ -147,3 +147,50 @@ def test_numbers_within_groups(spark):
     every = {x["i"]: x["rank"] for x in numbered(df, "v", "i").collect()}
     assert every == {x[2]: k for k, x in enumerate(sorted(rows, key=lambda x: x[1:]), 1)}
     assert numbered_within(df.limit(0), "g", "v").count() == numbered(df.limit(0), "v").count() == 0
+
+
+def test_lists_by_place(spark):
+    from lorica.operators import speech
+
+    blocks = spark.createDataFrame([("a", 0, "block-001", 0.0, 4.0), ("a", 1, "block-003", 4.0, 6.0), ("a", 3, "block-004", 6.0, 11.0)], "article_id string, pos long, block string, start double, end double")
+    segments = spark.createDataFrame([("a", 0, "s0", "p"), ("a", 1, "s1", "h2"), ("a", 2, "s2", "p")], "article_id string, pos long, id string, type string")
+    parts = spark.createDataFrame([("a", 0, "block-001", 4.0), ("a", 1, "block-002", 2.0), ("a", 2, "block-003", 3.0)], "article_id string, pos long, block string, seconds double")
+    totals = spark.createDataFrame([("a", 10.0)], "article_id string, seconds double")
+    rows = speech.zipped(blocks, segments, parts)
+    assert sorted((r["pos"] if r["pos"] is not None else -1, r["rule"]) for r in speech.zip_failures(rows, totals).collect()) == [(-1, "sum"), (1, "order"), (2, "missing"), (3, "missing"), (3, "time")]
+    got = {r["pos"]: (r["start"], r["end"]) for r in speech.synced(rows.where("pos < 2"), totals).collect()}
+    assert got == {0: (0.0, 0.4), 1: (0.4, 1.0)}
+
+
+def test_requests_for_speech(spark):
+    from lorica.operators import speech
+
+    kinds = "article_id string, part int, pos int, type string, text string"
+    rows = [("a", 0, 1, "p", "x & y"), ("a", 0, 0, "title", "T"), ("a", 0, 2, "h2", "<h>"), ("b", 1, 0, "p", "z" * 70_000)]
+    got = {(r["article_id"], r["part"]): (r["ssml"], r["fits"]) for r in speech.ssml(spark.createDataFrame(rows, kinds), "v").collect()}
+    said = lambda t: f'<prosody rate="0%">{t}</prosody>'
+    body = f'<p>{said("T")}<break time="260ms"/></p><p>{said("x &amp; y")}</p><p><break time="160ms"/>{said("&lt;h&gt;")}<break time="180ms"/></p>'
+    assert got["a", 0][0].endswith(body + "</voice></speak>") and got["a", 0][1] and not got["b", 1][1]
+    parts = spark.createDataFrame([("a", "One\r\nTwo ", 0, "first"), ("a", "One\r\nTwo ", 1, "second"), ("b", None, 0, "alone")], "article_id string, title string, part int, text string")
+    said = {(r["article_id"], r["part"]): r["prompt"] for r in speech.prompts(parts, "S").collect()}
+    assert "Topic: One Two\nThis is part 2 of 2;" in said["a", 1] and said["b", 0] == "S\n\n### CONTEXT (not read aloud)\nTopic: \n\n\n### TRANSCRIPT\nalone"
+
+
+def test_titles_and_pictures(spark):
+    title = lambda t: one(spark, text.branded_title(F.lit(t), "Lorica", "all"))
+    assert title("Lorica") == "Lorica — all" and title("x" * 56) == "x" * 56 + " | Lorica" and title("x" * 57) == "x" * 57
+    assert title("𝄞" + "x" * 54) == "𝄞" + "x" * 54 + " | Lorica" and title("𝄞" + "x" * 55) == "𝄞" + "x" * 55
+    picture = lambda p, use: one(spark, text.picture_of(F.lit(p), use))
+    assert picture("/images/posts/a.b.jpg", "social") == "/images/social/a.b-social.jpg" and picture("/images/thumbnails/c.png", "thumbnail") == "/images/thumbnails/c-320.webp"
+    assert picture("/images/posts/a.jpg", "thumbnail") == "/images/generated/a-320.webp" and picture("/x.png", "social") == "/x.png" and one(spark, text.picture_of(F.lit(None).cast("string"), "social")) is None
+
+
+def test_work_in_the_order_of_the_language(spark):
+    from lorica.operators import audit, work
+
+    ids = ["ب", "ا", "أ", "z", "Z", "a"]
+    jobs = spark.createDataFrame([(i, 1) for i in ids] + [("last", 2)], "article_id string, requests int")
+    got = [r["article_id"] for r in work.next_work(jobs, 7).collect()]
+    assert got[-1] == "last" and got.index("ا") < got.index("ب") and got.index("أ") < got.index("ب") and got.index("a") < got.index("Z") and [r["article_id"] for r in work.next_work(jobs, 2).collect()] == got[:2]
+    pages = spark.createDataFrame([(1, "<a href='/x'></a><img src=\"/a.png\" srcset='/b.webp 320w, /c.webp  2x,' data-src='//cdn/d'>"), (2, None)], "page_id int, html string")
+    assert sorted(r["target"] for r in audit.links(pages).collect()) == ["//cdn/d", "/a.png", "/b.webp", "/c.webp", "/x"]
