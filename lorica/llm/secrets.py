@@ -28,15 +28,15 @@ ALLOWED = [r"(?i)example|placeholder|changeme|redacted|dummy", r"(?i)0123456789|
 
 
 def _class_pattern(alphabet: str) -> str:
-    inner = "".join("\\" + c if c in "+/_-" else c for c in alphabet)
-    return f"[{inner}]{{{WINDOW},}}"
+    inside = "".join("\\" + c if c in "+/_-" else c for c in alphabet)
+    return f"[{inside}]{{{WINDOW},}}"
 
 
 #: Bits of one count in a packed number, and counts in one number. A count is a window's length at most.
 BITS, PACKED = 5, 12
 
 
-def dense(candidate: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
+def dense(candidate: Column, alphabet: Column, bits: Column, window: int = WINDOW) -> Column:
     """struct(lo, hi): from the first to the end of the last window whose entropy reaches bits (lo null if none).
 
     One fold over the characters (split once) keeps their counts in the window, packed into a few numbers, and the sum
@@ -46,7 +46,7 @@ def dense(candidate: Column, alphabet: str, bits: float, window: int = WINDOW) -
     if window >= 1 << BITS:
         raise ValueError(f"a window has less than {1 << BITS} characters")
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // PACKED)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), F.ceil(F.char_length(alphabet) / PACKED).cast("int")).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
     row = lambda k: F.floor(k / PACKED).cast("int")
     unit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (k % PACKED) * BITS)
     count = lambda counts, k: F.call_function("shiftright", F.get(counts, row(k)), (k % PACKED) * BITS) % (1 << BITS)
@@ -66,7 +66,7 @@ def dense(candidate: Column, alphabet: str, bits: float, window: int = WINDOW) -
         both = F.zip_with(codes, F.slice(leaving, F.lit(1), F.size(codes)), lambda here, gone: F.struct(here.alias("here"), gone.alias("gone")))
         return F.aggregate(both, zero, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
 
-    return let(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1), walk)
+    return let(F.transform(F.split(candidate, ""), lambda c: F.instr(alphabet, c) - 1), walk)
 
 
 def _between(s: Column, allow: str, window: int) -> Column:
@@ -75,8 +75,8 @@ def _between(s: Column, allow: str, window: int) -> Column:
     return F.transform(wide, lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.char_length(x["gap"])).alias("end"), x["gap"].alias("found")))
 
 
-def _listed(kind: str, rank: int, found: Column) -> Column:
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+def _listed(kind: Column, rank: Column, found: Column) -> Column:
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), kind.alias("kind")))
 
 
 def scan(docs: DataFrame, window: int = WINDOW, classes: list[tuple[str, str, float]] | None = None, allowed: list[str] | None = None) -> DataFrame:
@@ -87,24 +87,35 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: list[tuple[str, str, fl
     allow = "|".join(f"(?:{a})" for a in (ALLOWED if allowed is None else allowed))
     text = F.col("text")
     kinds = {
-        "assign": _listed("assign", 0, F.filter(spans(text, ASSIGN), lambda s: F.char_length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 6)),
-        "access": _listed("access", 1, F.filter(spans(text, ACCESS), lambda s: F.char_length(s["found"]) >= 20)),
-        "hex": _listed("hex", 2, spans(text, "[0-9a-f]{24,}")),
+        "assign": _listed(F.lit("assign"), F.lit(0), F.filter(spans(text, ASSIGN), lambda s: F.char_length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 6)),
+        "access": _listed(F.lit("access"), F.lit(1), F.filter(spans(text, ACCESS), lambda s: F.char_length(s["found"]) >= 20)),
+        "hex": _listed(F.lit("hex"), F.lit(2), spans(text, "[0-9a-f]{24,}")),
     }
 
-    def dense_spans(kind: str, rank: int, alphabet: str, bits: float) -> Column:
-        found = spans(text, _class_pattern(alphabet))
+    every = list(enumerate(classes or CLASSES, 3))
+    widest = _class_pattern("".join(sorted(set("".join(alphabet for _, (_, alphabet, _) in every)))))
+    listed = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.lit(alphabet).alias("alphabet"), F.lit(_class_pattern(alphabet)).alias("pattern"), F.lit(bits).alias("bits")) for rank, (kind, alphabet, bits) in every))
+
+    def inner(pattern: Column) -> Column:
+        """The runs of one class. Each lies within one run of all classes' characters, of which texts have few."""
+        moved = lambda r: F.transform(spans(r["found"], pattern), lambda s: F.struct((r["start"] + s["start"]).alias("start"), (r["start"] + s["end"]).alias("end"), s["found"].alias("found")))
+        return F.flatten(F.transform("runs", moved))
+
+    def dense_spans(c: Column) -> Column:
+        found = inner(c["pattern"])
         candidates = F.flatten(F.transform(found, lambda s: F.when(s["found"].rlike(allow), _between(s, allow, window)).otherwise(F.array(s)))) if allow else found
-        rated = F.transform(candidates, lambda s: F.struct(s["start"].alias("at"), dense(s["found"], alphabet, bits, window).alias("d")))
+        rated = F.transform(candidates, lambda s: F.struct(s["start"].alias("at"), dense(s["found"], c["alphabet"], c["bits"], window).alias("d")))
         hot = F.filter(rated, lambda s: s["d"]["lo"].isNotNull())
-        return _listed(kind, rank, F.transform(hot, lambda s: F.struct((s["at"] + s["d"]["lo"]).alias("start"), (s["at"] + s["d"]["hi"]).alias("end"))))
+        return _listed(c["kind"], c["rank"], F.transform(hot, lambda s: F.struct((s["at"] + s["d"]["lo"]).alias("start"), (s["at"] + s["d"]["hi"]).alias("end"))))
 
-    added = [dense_spans(kind, rank, alphabet, bits) for rank, (kind, alphabet, bits) in enumerate(classes or CLASSES, 3)]
+    # one expression for all classes: five of these take Spark longer to analyse than to run
+    added = F.when(F.size("runs") > 0, F.flatten(F.transform(listed, dense_spans))).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
     # bound as lambda variables: the optimizer may copy a column's expression to where it is used, here into a loop
-    covered = lambda base: F.filter(F.concat(*added), lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    covered = lambda base: F.filter(added, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     own = lambda f: [f[k].alias(k) for k in kinds]
-    every = let(F.struct(*(c.alias(k) for k, c in kinds.items())), lambda f: let(F.array_sort(F.concat(*(f[k] for k in kinds))), lambda base: F.struct(*own(f), base.alias("base"), covered(base).alias("added"))))
-    return texts(docs).select("doc_id", every.alias("found")).select("doc_id", "found.*")
+    found = let(F.struct(*(c.alias(k) for k, c in kinds.items())), lambda f: let(F.array_sort(F.concat(*(f[k] for k in kinds))), lambda base: F.struct(*own(f), base.alias("base"), covered(base).alias("added"))))
+    rows = texts(docs).select("doc_id", "text", spans(text, widest).alias("runs"))
+    return rows.select("doc_id", found.alias("found")).select("doc_id", "found.*")
 
 
 def joined(spans_: Column) -> Column:

@@ -15,10 +15,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def alternate(text: Column, pattern: str) -> Column:
+def alternate(text: Column, pattern: str | Column) -> Column:
     """The text cut at the leftmost matches: structs of a gap and the match after it (null after the last gap)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.zip_with(F.split(text, pattern, -1), F.concat(found, F.array(F.lit(None).cast("string"))), lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.zip_with(F.split(text, pattern, F.lit(-1)), F.concat(found, F.array(F.lit(None).cast("string"))), lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
 
 
 def before(lengths: Column) -> Column:
@@ -49,7 +50,7 @@ def placed(cuts: Column, at: Column) -> Column:
     return let(cuts, zipped)
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """start and end (code points, end exclusive) and text of each leftmost match."""
 
     def one(x: Column) -> Column:
@@ -57,4 +58,4 @@ def spans(text: Column, pattern: str) -> Column:
         return F.struct(start.alias("start"), (start + F.char_length(x["found"])).alias("end"), x["found"].alias("found"))
 
     matched = F.filter(placed(alternate(text, pattern), F.lit(0)), lambda x: x["found"].isNotNull())
-    return F.when(text.rlike(pattern), F.transform(matched, one)).otherwise(F.array().cast(SPAN))
+    return F.when(F.rlike(text, F.lit(pattern) if isinstance(pattern, str) else pattern), F.transform(matched, one)).otherwise(F.array().cast(SPAN))
