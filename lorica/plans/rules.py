@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import audit, feed, speech, work
 from ..sources import tables as T
+from ..sources.commands import piped
 from .oracle import _POSTS
 from .registry import registered
 
@@ -128,3 +131,20 @@ def request_totals(spark, d):
     """Articles, requests, characters and bytes of a whole plan."""
     parts = _pieces(spark, d).groupBy("article_id", "part").agg(F.sum(F.char_length("text")).alias("c"), F.sum(F.octet_length("text")).alias("b"))
     return parts.agg(F.countDistinct("article_id").alias("articles"), F.count("*").alias("requests"), F.sum("c").alias("characters"), F.sum("b").alias("bytes"))
+
+
+#: A program that reads articles as lines of JSON and prints what it has counted, leaving every seventh one out.
+_COUNTER = """
+import json, sys
+for line in sys.stdin:
+    r = json.loads(line)
+    if r["doc_id"] % 7:
+        print(json.dumps({"id": r["doc_id"], "characters": len(r["text"] or ""), "spaces": (r["text"] or "").count(" ")}))
+"""
+
+
+@query("select doc_id as id, length(coalesce(text, '')) as characters, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) as spaces from documents where doc_id % 7 <> 0")
+def counted_by_a_program(spark, d):
+    """Documents through a program of its own in each partition."""
+    docs = T.table(spark, d, "documents").select("doc_id", "text")
+    return piped(docs, [sys.executable, "-c", _COUNTER], "id long, characters long, spaces long")
