@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -206,10 +207,34 @@ LEAK_BYTES = 16 << 20
 LEAK_KEY = 64
 
 
+class Needles:
+    """Texts of one beginning, in order, each with the longest other one that it begins with. Of all that a text goes on
+    with at some place, the longest is the last one in order that is not behind it, or one of those this begins with."""
+
+    def __init__(self, rows: dict[str, list[int]]):
+        self.texts = sorted(rows)
+        self.rows, self.longest, self.shorter = [rows[x] for x in self.texts], max(map(len, rows)), []
+        open_: list[int] = []
+        for k, x in enumerate(self.texts):
+            while open_ and not x.startswith(self.texts[open_[-1]]):
+                open_.pop()
+            self.shorter.append(open_[-1] if open_ else -1)
+            open_.append(k)
+
+    def at(self, text: str, start: int) -> Iterator[int]:
+        said = text[start : start + self.longest]
+        k = bisect_right(self.texts, said) - 1
+        while k >= 0 and not said.startswith(self.texts[k]):
+            k = self.shorter[k]
+        while k >= 0:
+            yield from self.rows[k]
+            k = self.shorter[k]
+
+
 def leaks(documents: DataFrame, needles: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold the whole text of an item, anywhere. Empty and null items are in no
-    document. Every text passes once through an automaton of the beginnings of the items; a place where an item begins
-    is compared with all of it."""
+    document. Every text passes once through an automaton of the beginnings of the items; where an item begins, those that
+    begin alike are looked up together (see Needles), however many there are."""
     doc, item = (t.schema[c].dataType.simpleString() for t, c in ((documents, "doc_id"), (needles, "item_id")))
     n = needles.where("text <> ''").select("item_id", F.col("text").alias("needle")).distinct()
     texts = documents.where("text is not null").select("doc_id", "text")
@@ -218,18 +243,18 @@ def leaks(documents: DataFrame, needles: DataFrame) -> DataFrame:
     def found(sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = sent.value.column("needle").to_pylist()
-            keys: dict[str, list[int]] = {}
+            keys: dict[str, dict[str, list[int]]] = {}
             for i, x in enumerate(wanted):
-                keys.setdefault(x[:LEAK_KEY], []).append(i)
+                keys.setdefault(x[:LEAK_KEY], {}).setdefault(x, []).append(i)
             machine = Automaton()
             for k, rows in keys.items():
-                machine.add_word(k, (len(k), rows))
+                machine.add_word(k, (len(k), Needles(rows)))
             machine.make_automaton()
             for b in batches:
                 pairs = set()
                 for d, t in enumerate(b.column(1).to_pylist()):
-                    for end, (size, rows) in machine.iter(t):
-                        pairs.update((d, i) for i in rows if (d, i) not in pairs and t.startswith(wanted[i], end + 1 - size))
+                    for end, (size, alike) in machine.iter(t):
+                        pairs.update((d, i) for i in alike.at(t, end + 1 - size))
                 at = [pa.array([p[k] for p in sorted(pairs)], pa.int64()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at[0]), sent.value.column("item_id").combine_chunks().take(at[1])], ["doc_id", "item_id"])
 
