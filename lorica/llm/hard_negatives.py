@@ -1,12 +1,12 @@
 """Hard negatives by integer inner products, as a block matrix multiply over rows and dimensions.
 
 Rows are dealt to groups by their label, and within a group to blocks of about ROWS rows; anchors likewise to blocks of
-about ANCHORS. Vectors are cut into chunks of DIMS components. A block of anchors and a block of rows meet chunk by chunk,
-each pair of chunks in a place of its own, which makes a tile of partial scores; the tiles of all chunks are dealt by their pair of
-blocks and added up. A finished tile is reduced where it is: to the best rows of the same label (positives), then, once
-the positives are known, to the best rows of other labels within each positive's window. As the groups follow the labels, the first round
-multiplies blocks of one group only and the second leaves out groups of a single label: together about one product of
-all anchors with all rows.
+about ANCHORS. Vectors are cut into chunks of DIMS components. A block of anchors and a block of rows meet chunk by
+chunk, each pair of chunks in a place of its own, which makes a tile of partial scores; the tiles of all chunks are
+dealt by their pair of blocks and added up. A finished tile is reduced where it is: to the best rows of the same label
+(positives), then, once the positives are known, to the best rows of other labels within each positive's window. As the
+groups follow the labels, the first round multiplies blocks of one group only and the second leaves out groups of a
+single label: together about one product of all anchors with all rows.
 """
 
 from __future__ import annotations
