@@ -93,7 +93,7 @@ def page_rules(now: Column | None = None) -> dict[str, Column]:
         "inline_style": some(F.size(found_all(h, r"""(?i)\s(style)=["'][^"']*["']"""))),
         "card_thumbnail": some(F.size(F.filter(cards, lambda c: (c != "") & ~c.rlike(r"""(?i)\bsrc=["']/images/thumbnails/""")))),
         "card_shape": some(F.size(F.filter(cards, lambda c: (c != "") & ~F.coalesce(nested.wide(side(c, "width"), side(c, "height")), F.lit(False))))),
-        "priority": F.when(F.size(found_all(h, r"""(?i)<img\b[^>]*\bfetchpriority=["']high["'][^>]*>""", 0)) > 1, F.size(found_all(h, r"""(?i)<img\b[^>]*\bfetchpriority=["']high["'][^>]*>""", 0))),
+        "priority": F.nullif(F.greatest(F.size(found_all(h, r"""(?i)<img\b[^>]*\bfetchpriority=["']high["'][^>]*>""", 0)), F.lit(1)), F.lit(1)),
         "empty_link": some(F.size(found_all(h, r"""(?i)\b(?:href|src)=["'](#?)["']"""))),
         "heading_jump": F.try_element_at(F.array_compact(steps), F.lit(1)),
         "no_title": F.when(title == "", 1),
