@@ -39,7 +39,7 @@ def streamed_players(spark, d):
     kind = F.when(F.col("event_type") == "purchase", "ended").when(F.col("event_type") == "view", "play").otherwise(F.col("event_type"))
     e = e.select("user_id", "ts", "event_id", kind.alias("kind"))
     stream = _closed(e, f"{root}/in", 9.0, kind="ended")
-    out = replay.drained(stateful.playback_stream(stream, "user_id", 3, 3600.0, replay.lateness(e)), root, "update")
+    out = replay.drained(stateful.playback_stream(stream, "user_id", 3, 3600.0, replay.lateness(e), shares=replay.shares(e)), root, "update")
     newest = out.groupBy("user_id").agg(F.max(F.struct("events", "stalled", "part", "runs", "finished")).alias("s"))
     return newest.where(F.col("user_id") != NOBODY).select("user_id", "s.part", "s.runs", "s.finished", "s.stalled")
 
@@ -50,7 +50,7 @@ def streamed_expiry(spark, d):
     """The values that are left when the watermark has come to the last event, a day being their time."""
     e, root = T.reader_events(spark, d).where("event_type = 'view'").select("user_id", "ts", "event_id", "value"), scratch(spark)
     stream = _closed(e, f"{root}/in", 1.0, value=0.0)
-    out = replay.drained(stateful.unexpired_stream(stream, "user_id", "value", 1, replay.lateness(e)), root, "update")
+    out = replay.drained(stateful.unexpired_stream(stream, "user_id", "value", 1, replay.lateness(e), shares=replay.shares(e)), root, "update")
     newest = out.groupBy("user_id").agg(F.max_by(F.struct("value", "live"), F.struct("ts", "event_id", ~F.col("live"))).alias("s"))
     return newest.where((F.col("user_id") != NOBODY) & F.col("s.live")).select("user_id", F.round("s.value", 4).alias("value"))
 
@@ -62,7 +62,7 @@ def streamed_consents(spark, d):
     granted = F.when(F.col("event_type") == "signup", True).when(F.col("event_type") == "error", False)
     e = e.where("event_type in ('signup', 'error', 'view', 'click')").select("user_id", "ts", "event_id", granted.alias("granted"))
     stream = _closed(e, f"{root}/in", 9.0)
-    return replay.drained(stateful.consented_in_order(stream, "user_id", replay.lateness(e)), root, "append").where(F.col("user_id") != NOBODY).select("event_id")
+    return replay.drained(stateful.consented_in_order(stream, "user_id", replay.lateness(e), replay.shares(e)), root, "append").where(F.col("user_id") != NOBODY).select("event_id")
 
 
 @query(reading.ORACLE["unsuppressed_events"])

@@ -32,12 +32,22 @@ def drained(stream: DataFrame, root: str, mode: str, name: str = "run") -> DataF
 
 def replayed(events: DataFrame, root: str, at: str = "ts", slices: int = 3) -> DataFrame:
     """events as a stream of files, earlier ones first: cut into so many slices of equal time, each written after the one
-    before. A watermark that allows as much delay as a slice lasts (see lateness()) drops nothing."""
+    before. A batch takes as many files as the slice of most files has, so that there are no more batches than slices,
+    however many files these have; it may reach into the next slice, but leaves none of an earlier one behind. A watermark
+    that allows as much delay as a slice lasts (see lateness()) drops nothing."""
     lo, hi = events.agg(F.min(at), F.max(at)).first()
     part = F.lit(0) if lo is None else F.least(F.lit(slices - 1), F.floor((F.unix_micros(at) - F.unix_micros(F.lit(lo))) * slices / F.greatest(F.lit(1), F.unix_micros(F.lit(hi)) - F.unix_micros(F.lit(lo)))))
+    spark, files = events.sparkSession, [0]
     for k in range(slices):
         events.where(F.coalesce(part, F.lit(0)) == k).write.mode("append").parquet(root)
-    return events.sparkSession.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        files.append(len(spark.read.schema(events.schema).parquet(root).inputFiles()))
+    most = max(z - a for a, z in zip(files, files[1:], strict=False))
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, most)).parquet(root)
+
+
+def shares(events: DataFrame, rows: int = 50_000) -> int:
+    """Shares of keys for the state of a stream over all events: each of about so many rows."""
+    return max(64, -(-events.count() // rows))
 
 
 def lateness(events: DataFrame, at: str = "ts", slices: int = 3) -> str:

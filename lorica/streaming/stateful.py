@@ -1,12 +1,16 @@
 """Reader state on streams with state variables and timers in event time. Each has a batch form, with which it agrees
 whatever the borders of the batches are, as long as no event comes later than the watermark allows; what comes later is
-dropped before it reaches any state."""
+dropped before it reaches any state.
+
+Every call into Python and every access to a state variable costs milliseconds, so keys are dealt to shares by their hash,
+and a share is what has state: a table of its keys, as one Arrow value, and one timer, for the key that is due first."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -15,69 +19,110 @@ from .state import ORDER
 
 #: The store that state variables need.
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+SHARES = 64
+#: Stands for a missing event_id, so that whole numbers stay whole in pandas.
+NO_ID = -(1 << 63)
 
 
-def _prepared(events: DataFrame, key: str, lateness: str, *columns: Column | str) -> DataFrame:
+def _prepared(events: DataFrame, key: str, lateness: str, shares: int, *columns: Column | str) -> DataFrame:
+    """share, who (the key as text), micros, event_id and the columns."""
     for k, v in ROCKS.items():
         events.sparkSession.conf.set(k, v)
-    return events.withWatermark("ts", lateness).select(key, "ts", F.unix_micros("ts").alias("micros"), "event_id", *columns)
+    share = F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share")
+    return events.withWatermark("ts", lateness).select(share, F.col(key).cast("string").alias("who"), "ts", F.unix_micros("ts").alias("micros"), F.coalesce(F.col("event_id").cast("long"), F.lit(NO_ID)).alias("event_id"), *columns)
+
+
+def _finished(found: DataFrame, key: str, events: DataFrame, *columns: Column | str) -> DataFrame:
+    return found.select(F.col("who").cast(events.schema[key].dataType).alias(key), *columns)
+
+
+def _id() -> Column:
+    return F.nullif(F.col("event_id"), F.lit(NO_ID)).alias("event_id")
+
+
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(value: tuple) -> pd.DataFrame:
+    return pa.ipc.open_stream(value[0]).read_pandas()
 
 
 def _timer_only(handle: StatefulProcessorHandle, at: int | None) -> None:
-    """The key's only timer from now on, in milliseconds."""
-    for t in list(handle.listTimers()):
+    """The share's only timer from now on, in milliseconds."""
+    at = None if at is None else int(at)
+    timers = list(handle.listTimers())
+    for t in timers:
         if t != at:
             handle.deleteTimer(t)
-    if at is not None:
+    if at is not None and at not in timers:
         handle.registerTimer(at)
 
 
+def _newest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each key's last row by time and event_id."""
+    return rows.sort_values(["micros", "event_id"], kind="stable").drop_duplicates("who", keep="last")
+
+
 class Player(StatefulProcessor):
-    """A reader's player: how many parts have ended, what came last, and whether a play that was asked for has not begun
+    """The readers' players: how many parts have ended, what came last, and whether a play that was asked for has not begun
     within ``patience`` microseconds (the timer)."""
 
-    def __init__(self, key: str, parts: int, patience: int):
-        self.key, self.parts, self.patience = key, parts, patience
+    def __init__(self, parts: int, patience: int):
+        self.parts, self.patience = parts, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "events long, ended long")
-        self.last = handle.getValueState("last", "micros long, event_id long, kind string")
-        self.stalled = handle.getValueState("stalled", "since long")
+        self.players = handle.getValueState("players", "rows binary")
+
+    def _due(self, p: pd.DataFrame) -> pd.Series:
+        """When each player that waits for a play has waited for too long, in milliseconds."""
+        return ((p["micros"] + self.patience) // 1000 + 1)[(p["kind"] == "play") & ~p["stalled"]]
+
+    def _keep(self, p: pd.DataFrame) -> None:
+        self.players.update(_packed(p))
+        due = self._due(p)
+        _timer_only(self.handle, due.min() if len(due) else None)
 
-    def _standing(self, key: tuple) -> pd.DataFrame:
-        events, ended = self.count.get()
-        kind, stalled = self.last.get()[2], self.stalled.exists()
-        done = ended > 0 and ended % self.parts == 0 and kind == "ended"
-        return pd.DataFrame({self.key: [key[0]], "events": [events], "part": [ended % self.parts], "runs": [ended // self.parts], "finished": [done], "stalled": [stalled]})
+    def _standing(self, p: pd.DataFrame) -> pd.DataFrame:
+        done = (p["ended"] > 0) & (p["ended"] % self.parts == 0) & (p["kind"] == "ended")
+        return pd.DataFrame({"who": p["who"], "events": p["events"], "part": p["ended"] % self.parts, "runs": p["ended"] // self.parts, "finished": done, "stalled": p["stalled"]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        events, ended = self.count.get() if self.count.exists() else (0, 0)
-        last = tuple(self.last.get()) if self.last.exists() else None
-        for b in rows:
-            events, ended = events + len(b), ended + int((b["kind"] == "ended").sum())
-            newest = max(zip(b["micros"].tolist(), b["event_id"].tolist(), b["kind"].tolist(), strict=True))
-            last = newest if last is None else max(last, newest)
-        self.count.update((events, ended))
-        self.last.update(last)
-        self.stalled.clear()
-        _timer_only(self.handle, (last[0] + self.patience) // 1000 + 1 if last[2] == "play" else None)
-        yield self._standing(key)
+        new = pd.concat(list(rows))[["who", "micros", "event_id", "kind"]].assign(events=1, stalled=False)
+        new["ended"] = (new["kind"] == "ended").astype("int64")
+        came = new["who"].unique()
+        if self.players.exists():
+            new = pd.concat([_unpacked(self.players.get()), new])
+        last = new.sort_values(["micros", "event_id", "kind"], kind="stable").drop_duplicates("who", keep="last")
+        sums = new.groupby("who", dropna=False)[["events", "ended"]].sum().reset_index()
+        p = last.drop(columns=["events", "ended"]).merge(sums, "left", on="who").reset_index(drop=True)
+        now = p["who"].isin(came)
+        p["stalled"] = p["stalled"] & ~now
+        self._keep(p)
+        yield self._standing(p[now])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.stalled.update((self.last.get()[0] + self.patience,))
-        yield self._standing(key)
+        p = _unpacked(self.players.get())
+        due = self._due(p)
+        late = due.index[due < timerValues.getCurrentWatermarkInMs()]
+        p.loc[late, "stalled"] = True
+        self._keep(p)
+        yield self._standing(p.loc[late])
 
     def close(self) -> None:
         pass
 
 
-def playback_stream(events: DataFrame, key: str, parts: int, patience: float = 12.0, lateness: str = "10 minutes") -> DataFrame:
+def playback_stream(events: DataFrame, key: str, parts: int, patience: float = 12.0, lateness: str = "10 minutes", shares: int = SHARES) -> DataFrame:
     """playback() and stalled() on a stream of (key, ts, event_id, kind), in update mode: where each player stands whenever
     that may have changed; of a key's rows the one with the most events and, among these, stalled, is the newest."""
-    rows = _prepared(events, key, lateness, F.coalesce("kind", F.lit("")).alias("kind"))
-    kind = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(Player(key, parts, round(patience * 1_000_000)), f"{key} {kind}, events long, part long, runs long, finished boolean, stalled boolean", "update", "eventTime")
+    rows = _prepared(events, key, lateness, shares, F.coalesce("kind", F.lit("")).alias("kind"))
+    found = rows.groupBy("share").transformWithStateInPandas(Player(parts, round(patience * 1_000_000)), "who string, events long, part long, runs long, finished boolean, stalled boolean", "update", "eventTime")
+    return _finished(found, key, events, "events", "part", "runs", "finished", "stalled")
 
 
 def stalled(events: DataFrame, key: str, patience: float, now: Column) -> DataFrame:
@@ -87,102 +132,100 @@ def stalled(events: DataFrame, key: str, patience: float, now: Column) -> DataFr
 
 
 class Latest(StatefulProcessor):
-    """A key's newest value, forgotten so many microseconds after its time."""
+    """Each key's newest value, forgotten so many microseconds after its time."""
 
-    def __init__(self, key: str, value: str, ttl: int):
-        self.key, self.value, self.ttl = key, value, ttl
+    def __init__(self, ttl: int):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "micros long, event_id long, value double")
+        self.newest = handle.getValueState("newest", "rows binary")
 
-    def _row(self, key: tuple, state: tuple, live: bool) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "micros": [state[0]], "event_id": [state[1]], self.value: [state[2]], "live": [live]})
+    def _due(self, rows: pd.DataFrame) -> pd.Series:
+        return (rows["micros"] + self.ttl) // 1000 + 1
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        before = newest = tuple(self.newest.get()) if self.newest.exists() else None
-        for b in rows:
-            for r in zip(b["micros"].tolist(), b["event_id"].tolist(), b[self.value].tolist(), strict=True):
-                if newest is None or r[:2] > newest[:2]:
-                    newest = r
-        if newest != before:
-            self.newest.update(newest)
-            _timer_only(self.handle, (newest[0] + self.ttl) // 1000 + 1)
-            yield self._row(key, newest, True)
+        new = pd.concat(list(rows))[["who", "micros", "event_id", "value"]].iloc[::-1].assign(live=True)  # of equal rows the first
+        if self.newest.exists():
+            new = pd.concat([new, _unpacked(self.newest.get()).assign(live=False)])
+        newest = _newest(new)
+        self.newest.update(_packed(newest.drop(columns="live")))
+        _timer_only(self.handle, self._due(newest).min())
+        yield newest[newest["live"]]
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = tuple(self.newest.get())
-        self.newest.clear()
-        yield self._row(key, state, False)
+        newest = _unpacked(self.newest.get())
+        gone = self._due(newest) < timerValues.getCurrentWatermarkInMs()
+        rest = newest[~gone]
+        if len(rest):
+            self.newest.update(_packed(rest))
+        else:
+            self.newest.clear()
+        _timer_only(self.handle, self._due(rest).min() if len(rest) else None)
+        yield newest[gone].assign(live=False)
 
     def close(self) -> None:
         pass
 
 
-def unexpired_stream(events: DataFrame, key: str, value: str, days: float = 30, lateness: str = "10 minutes", seen: str | None = None) -> DataFrame:
+def unexpired_stream(events: DataFrame, key: str, value: str, days: float = 30, lateness: str = "10 minutes", seen: str | None = None, shares: int = SHARES) -> DataFrame:
     """latest() with unexpired() on a stream of (key, ts, event_id, value), in update mode: a key's new value (live), and
     once, when the watermark is ``days`` past its time, that it is gone (not live); its state is then deleted. seen: a column
     with the time at which an event came in; an event from the future, later than that, is rejected."""
     known = events if seen is None else events.where(F.col("ts") <= F.col(seen))
-    rows = _prepared(known, key, lateness, F.col(value).cast("double").alias(value))
-    kind = events.schema[key].dataType.simpleString()
-    found = rows.groupBy(key).transformWithStateInPandas(Latest(key, value, round(days * 86_400_000_000)), f"{key} {kind}, micros long, event_id long, {value} double, live boolean", "update", "eventTime")
-    return found.select(key, F.timestamp_micros("micros").alias("ts"), "event_id", value, "live")
+    rows = _prepared(known, key, lateness, shares, F.col(value).cast("double").alias("value"))
+    found = rows.groupBy("share").transformWithStateInPandas(Latest(round(days * 86_400_000_000)), "who string, micros long, event_id long, value double, live boolean", "update", "eventTime")
+    return _finished(found, key, events, F.timestamp_micros("micros").alias("ts"), _id(), F.col("value").alias(value), "live")
 
 
 class InOrder(StatefulProcessor):
-    """Holds a key's rows back until the watermark has passed them, so that they are looked at in order of time whichever
-    way they came. State: what waits, and the latest consent before that."""
-
-    def __init__(self, key: str):
-        self.key = key
+    """Holds rows back until the watermark has passed them, so that a key's rows are looked at in order of time whichever
+    way they came. State: what waits, and each key's latest consent before that."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "micros long, kind int, event_id long, granted boolean")
-        self.granted = handle.getValueState("granted", "yes boolean")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.granted = handle.getValueState("granted", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         first = min(self.handle.listTimers(), default=None)
         for b in rows:
-            said = [None if pd.isna(g) else bool(g) for g in b["granted"]]
-            new = [(m, int(g is None), e, bool(g)) for m, e, g in zip(b["micros"].tolist(), b["event_id"].tolist(), said, strict=True)]
-            self.waiting.appendList(new)
-            due = min(m for m, *_ in new) // 1000 + 1
+            # yes: 1 or 0 of a consent, missing for an event
+            new = b[["who", "micros", "event_id"]].assign(kind=b["granted"].isna().astype("int8"), yes=b["granted"].astype("float"))
+            self.waiting.appendValue(_packed(new))
+            due = int(new["micros"].min()) // 1000 + 1
             first = due if first is None else min(first, due)
         _timer_only(self.handle, first)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        now, out = self.granted.exists() and self.granted.get()[0], []
-        due = [r for r in rows if r[0] <= passed]
-        for _, kind, event, said in due:
-            if kind:
-                out += [event] if now else []
-            else:
-                now = said
-        self.granted.update((now,))
-        rest = rows[len(due) :]
-        if rest:
-            self.waiting.put(rest)
-            _timer_only(self.handle, rest[0][0] // 1000 + 1)
+        rows = pd.concat([_unpacked(r) for r in self.waiting.get()])
+        passed = rows["micros"] <= timerValues.getCurrentWatermarkInMs() * 1000
+        due, rest = rows[passed].sort_values(["micros", "kind", "event_id", "yes"], kind="stable"), rows[~passed]
+        if self.granted.exists():
+            due = pd.concat([_unpacked(self.granted.get()).assign(kind=0, event_id=0), due])
+        due["yes"] = due.groupby("who", dropna=False)["yes"].ffill()
+        said = due[due["yes"].notna()].drop_duplicates("who", keep="last")
+        if len(said):
+            self.granted.update(_packed(said[["who", "yes"]]))
+        if len(rest):
+            self.waiting.put([_packed(rest)])
         else:
             self.waiting.clear()
-        yield pd.DataFrame({self.key: [key[0]] * len(out), "event_id": out})
+        _timer_only(self.handle, int(rest["micros"].min()) // 1000 + 1 if len(rest) else None)
+        yield due[(due["kind"] == 1) & (due["yes"] == 1)][["who", "event_id"]]
 
     def close(self) -> None:
         pass
 
 
-def consented_in_order(events: DataFrame, key: str, lateness: str = "10 minutes") -> DataFrame:
+def consented_in_order(events: DataFrame, key: str, lateness: str = "10 minutes", shares: int = SHARES) -> DataFrame:
     """consented() on one stream of both: rows (key, ts, event_id, granted), granted set for consents alone. An event goes
     out when the watermark has passed it, so that a consent from before it that comes later still counts. Of consents of a
     key at the same time the one with the larger event_id, and at the same time a consent before an event."""
-    rows = _prepared(events, key, lateness, "granted")
-    kind = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(InOrder(key), f"{key} {kind}, event_id long", "append", "eventTime")
+    rows = _prepared(events, key, lateness, shares, "granted")
+    found = rows.groupBy("share").transformWithStateInPandas(InOrder(), "who string, event_id long", "append", "eventTime")
+    return _finished(found, key, events, _id())
 
 
 def unsuppressed_stream(events: DataFrame, navigations: DataFrame, key: str, seconds: float = 8.0, lateness: str = "10 minutes") -> DataFrame:

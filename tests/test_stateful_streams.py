@@ -122,3 +122,24 @@ def test_a_batch_delivered_twice(spark, tmp_path):
     before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t" / "run=0000000001").iterdir()}
     sink(one, 0)
     assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t" / "run=0000000001").iterdir()} == before
+
+
+def test_a_replay_has_a_batch_for_each_slice_however_many_files(spark, tmp_path):
+    events = spark.createDataFrame([(k % 7, at(k), k) for k in range(240)], "user_id long, ts timestamp, event_id long").repartition(6)
+    stream = replay.replayed(events, f"{tmp_path}/in")
+    assert len(list((tmp_path / "in").glob("*.parquet"))) > 6
+    out = replay.drained(stream.withWatermark("ts", replay.lateness(events)), f"{tmp_path}/q", "append")
+    assert out.count() == 240 and out.select("run").distinct().count() <= 3
+
+
+def test_keys_in_one_share_stay_apart(spark, tmp_path):
+    large = (1 << 62) + 1
+    schema = "user_id long, ts timestamp, event_id long, granted boolean"
+    rows = [(None, at(0), 1, True), (large, at(0), 2, False), (large + 1, at(1), 3, True), (None, at(2), large, None), (large, at(2), 5, None), (large + 1, at(2), None, None), (large + 1, at(3), large + 2, None)]
+    stream = streamed(spark, f"{tmp_path}/in", [*rows, (99, at(5000), 9, None)], 3, 1, schema)
+    out = replay.drained(stateful.consented_in_order(stream, "user_id", "10 seconds", shares=1), f"{tmp_path}/q", "append")
+    assert {(r["user_id"], r["event_id"]) for r in out.collect()} == {(None, large), (large + 1, None), (large + 1, large + 2)}
+    stream = streamed(spark, f"{tmp_path}/in2", [(u, t, e, "play" if g is None else "ended") for u, t, e, g in rows], 3, 1, "user_id long, ts timestamp, event_id long, kind string")
+    out = replay.drained(stateful.playback_stream(stream, "user_id", 1, 60.0, "10 seconds", shares=1), f"{tmp_path}/p", "update")
+    newest = {r["user_id"]: tuple(r["s"]) for r in out.groupBy("user_id").agg(F.max(F.struct("events", "part", "runs")).alias("s")).collect()}
+    assert newest == {None: (2, 0, 1), large: (2, 0, 1), large + 1: (3, 0, 1)}
