@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch of texts that goes to Python, where Spark's own bound is of 10,000 rows.
+BATCH_BYTES = 4 << 20
 LINE_ORDER = ("line", "p", "s", "t", "seconds")
 
 
@@ -59,7 +63,8 @@ def score_of(block: str, hint: str) -> int:
 def aligned(entries: DataFrame, blocks: DataFrame, window: int = 14) -> DataFrame:
     """entries (article_id, ordinal, id, match, and perhaps at) find their block (article_id, pos, text), in order. An
     entry that says a place (at) which is there takes it. For the others a cursor moves on: the next ``window`` blocks
-    are tried first, then all after the cursor, then all before. One task per article."""
+    are tried first, then all after the cursor, then all before. Articles pass one after the other, each with its blocks
+    first; no more than one article's blocks and a batch are held."""
 
     def best(texts: list[str], hint: str, among: range, so_far: tuple[int, int]) -> tuple[int, int]:
         for i in among:
@@ -70,22 +75,34 @@ def aligned(entries: DataFrame, blocks: DataFrame, window: int = 14) -> DataFram
                 break
         return so_far
 
-    def align(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        texts = right.sort_values("pos")["text"].tolist()
-        cursor, out = 0, []
-        for e in left.sort_values("ordinal").itertuples():
-            said = getattr(e, "at", None)
-            if said is not None and said == said and 0 <= said < len(texts):
-                out.append((key[0], e.id, int(said), None))
-                cursor = max(cursor, int(said) + 1)
-                continue
-            found = best(texts, e.match, range(cursor, min(len(texts), cursor + window)), (0, -1))
-            for among in (range(cursor, len(texts)), range(min(cursor, len(texts)))):
-                if found[0] < 500:
-                    found = best(texts, e.match, among, found)
-            if found[0] >= 500:
-                out.append((key[0], e.id, found[1], found[0]))
-                cursor = max(cursor, found[1] + 1) if found[1] >= cursor else cursor
-        return pd.DataFrame(out, columns=["article_id", "id", "block", "score"])
-
-    return entries.groupBy("article_id").cogroup(blocks.groupBy("article_id")).applyInPandas(align, "article_id long, id string, block int, score int")
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        article, texts, cursor = None, [], 0
+        for b in batches:
+            out: list[tuple] = []
+            for key, entry, id_, text, said in zip(*(b.column(c).to_pylist() for c in ("article_id", "entry", "id", "text", "at")), strict=True):
+                if key != article:
+                    article, texts, cursor = key, [], 0
+                if not entry:
+                    texts.append(text)
+                    continue
+                if said is not None and 0 <= said < len(texts):
+                    out.append((key, id_, said, None))
+                    cursor = max(cursor, said + 1)
+                    continue
+                found = best(texts, text, range(cursor, min(len(texts), cursor + window)), (0, -1))
+                for among in (range(cursor, len(texts)), range(min(cursor, len(texts)))):
+                    if found[0] < 500:
+                        found = best(texts, text, among, found)
+                if found[0] >= 500:
+                    out.append((key, id_, found[1], found[0]))
+                    cursor = max(cursor, found[1] + 1) if found[1] >= cursor else cursor
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["article_id", "id", "block", "score"])
+
+    entries.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    article, none = F.col("article_id").cast("long").alias("article_id"), F.lit(None)
+    said = F.col("at") if "at" in entries.columns else none
+    first = blocks.select(article, F.lit(False).alias("entry"), F.col("pos").cast("long").alias("place"), none.cast("string").alias("id"), "text", none.cast("long").alias("at"))
+    then = entries.select(article, F.lit(True).alias("entry"), F.col("ordinal").cast("long").alias("place"), "id", F.col("match").alias("text"), said.cast("long").alias("at"))
+    dealt = first.union(then).repartition("article_id").sortWithinPartitions("article_id", "entry", "place", "id")
+    return dealt.mapInArrow(align, "article_id long, id string, block int, score int")

@@ -256,6 +256,22 @@ def test_alignment(spark):
     assert {r["id"]: r["block"] for r in timeline.aligned(left, right).collect()} == loop_align(said, texts) == {"a": 2, "b": 1, "c": 0, "d": 3}
 
 
+def test_alignment_over_borders_of_batches(spark):
+    texts = {a: [f"block {a} {k} of many words" for k in range(a % 4)] for a in range(9)}
+    said = {a: [(f"{a}-{k}", f"block {a} {(k * 2) % 5} of many words", None) for k in range(5)] for a in range(1, 10)}
+    left = spark.createDataFrame([(a, i, n, m) for a, e in said.items() for i, (n, m, _) in enumerate(e)], "article_id long, ordinal int, id string, match string")
+    right = spark.createDataFrame([(a, i, t) for a, b in texts.items() for i, t in enumerate(b)], "article_id long, pos int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = timeline.aligned(left, right)
+        got = {r["id"]: r["block"] for r in found.collect()}
+        # no group is handed over whole
+        assert "InPandas" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: v for a, e in said.items() for k, v in loop_align(e, texts.get(a, [])).items()} and len(got) > 9
+
+
 def test_search(spark):
     rows = feed.published(T.posts(spark, DATA)).collect()
     fold = lambda s: re.sub("[ً-ّْـ]", "", re.sub("[أإآ]", "ا", unicodedata.normalize("NFKD", s.lower())).replace("ة", "ه"))
