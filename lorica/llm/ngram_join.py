@@ -396,12 +396,15 @@ def _mixed(many: DataFrame, own: DataFrame, reach: DataFrame) -> DataFrame:
     return mixed
 
 
-def ngram_join(docs: DataFrame, n: int = WORDS) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = WORDS, every_link: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles (distinct n-grams), component_id (smallest doc_id reachable by links),
     joining_links (links found of the document's class: enough of them to join all that is linked, not all that there
     are within a group of near copies), class_id (smallest doc_id of equal set). Two documents link if
     4 * common >= 3 * together.
 
+    every_link: instead of joining_links a column links, the number of other sets that the document's set links with,
+    none left out. The components are the same; a group of near copies then costs the square of its sets.
+
     Null, empty and blank texts have no n-gram and link with nothing; fewer words than n are one n-gram. Rows are told
     apart by their texts: rows that repeat a doc_id with different texts are compared each for itself. A row without
     doc_id takes part in links and gets the smallest doc_id it reaches, null if there is none. An empty table gives no
@@ -429,7 +432,8 @@ def ngram_join(docs: DataFrame, n: int = WORDS) -> DataFrame:
     star = many.alias("x").join(lead.alias("y"), "g").where("x.node <> y.node").where(_possible("x", "y"))
     star = star.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"), F.lit(1).alias("met"))
     often = lambda pairs: pairs.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= COMMON).select("a", "b")
-    asked = keep(often(two.union(star)))
+    # without leaders each node keeps a label of its own, so that no pair is left to what joins its nodes already
+    asked = keep(often(two.union(star)).where(F.lit(not every_link)))
     edges = _verified(asked, own, docs, n)
 
     # pairs of different labels
@@ -467,4 +471,4 @@ def ngram_join(docs: DataFrame, n: int = WORDS) -> DataFrame:
     every = nodes.select("node", F.col("doc_id").alias("class_id")).join(joined, "node", "left")
     out = members.join(every, "node", "left")
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component_id", "class_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("joining_links"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component_id", "class_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links" if every_link else "joining_links"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
