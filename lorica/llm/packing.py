@@ -32,7 +32,7 @@ def cut(docs: DataFrame, path: str, size: int = LENGTH, end_id: int = END_ID) ->
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known, seen = TaskContext.get().partitionId(), Pieces.known(path, ids=True), np.zeros(size + 1, np.int64)
-        for b in pieces(batches):
+        for b in pieces(batches, limit=1 << 20):  # beside what is remembered
             w = Units(b.column(1), known.lower)
             token, ids = known.of(w)
             flat = np.frombuffer(b"".join(ids), np.uint32)

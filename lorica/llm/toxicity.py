@@ -34,8 +34,11 @@ BROADCAST_LABELS = 2_000_000
 MIN_DOCS, MIN_ODDS = 3, 2.0
 #: Features that are broadcast at most (16 bytes each): those that say most. The others are joined.
 BROADCAST_FEATURES = 500_000
+#: Bytes of text that a task looks at together, and those for which it hands on the features' counts together. Both
+#: Python workers of an executor stand beside its JVM, so what a piece takes counts twice.
+PIECE, COUNTED = 1 << 20, 4 << 20
 
-_CODE = np.full(256, EDGE, np.int64)
+_CODE = np.full(256, EDGE, np.int16)  # so are three symbols as one number: SYMBOLS**3 < 2**15
 _CODE[128:] = OTHER
 _CODE[97:123] = _CODE[65:91] = np.arange(26)
 _LETTER = np.zeros(256, bool)
@@ -52,12 +55,10 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             w = Words(b.column(1), ALNUM, lower=True)
-            c = _CODE[w.data]
-            if len(c):
-                p = np.concatenate([[EDGE, EDGE], c, [EDGE]])
-                total += np.bincount((p[:-2] * SYMBOLS + p[1:-1]) * SYMBOLS + p[2:], minlength=SYMBOLS**3)
+            p = np.insert(_CODE[w.data], np.repeat(np.unique(w.offsets), 2), EDGE)  # each text between edges of its own
+            total += np.bincount((p[:-2] * SYMBOLS + p[1:-1]) * SYMBOLS + p[2:], minlength=SYMBOLS**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["three", "n"])
 
@@ -122,18 +123,23 @@ def disguised(w: Words) -> list[tuple[int, int, int]]:
     if not len(w.start):
         return []
     data, docs = w.data, w.docs()
-    upto = lambda flag: np.concatenate([[0], np.cumsum(flag)])
-    letters, signs, marks = (upto(x[data]) for x in (_LETTER, _SIGN, _MARK))
+
+    def inside(flag: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each word how many of its bytes before end have the flag. One array of counts at a time, of 4 bytes for a
+        byte of text, of which an Arrow array has less than 2**31."""
+        upto = np.zeros(len(flag) + 1, np.int32)
+        np.cumsum(flag, dtype=np.int32, out=upto[1:])
+        return upto[end] - upto[w.start]
+
+    last = np.where(_PLAIN[data], np.arange(len(data), dtype=np.int32), np.int32(0))
+    last = np.maximum.accumulate(last, out=last)[w.end - 1] + 1
+    ends = np.where((w.end - last >= 2) | _MARK[data[w.end - 1]] | (data[w.end - 1] == 33), np.maximum(last, w.start), w.end)  # marks at the end say nothing
+    n_letters, size = inside(_LETTER[data], w.end), w.end - w.start
+    mixed = (n_letters >= 1) & (inside(_SIGN[data], ends) >= 1) & (size <= 3 * n_letters + 3)
+    dotted = (n_letters >= 3) & (inside(_MARK[data], ends) >= n_letters - 1)
     same = np.zeros(len(data), bool)
     same[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
-    thrice = upto(same)
-    inside = lambda c: c[w.end] - c[w.start]
-    last = np.maximum.accumulate(np.where(_PLAIN[data], np.arange(len(data)), 0))[w.end - 1] + 1
-    ends = np.where((w.end - last >= 2) | _MARK[data[w.end - 1]] | (data[w.end - 1] == 33), np.maximum(last, w.start), w.end)  # marks at the end say nothing
-    n_letters, size = inside(letters), w.end - w.start
-    mixed = (n_letters >= 1) & (signs[ends] - signs[w.start] >= 1) & (size <= 3 * n_letters + 3)
-    dotted = (n_letters >= 3) & (marks[ends] - marks[w.start] >= n_letters - 1)
-    stretched = inside(thrice) >= 1
+    stretched = inside(same, w.end) >= 1
     single = (size == 1) & (_LETTER | _SIGN)[data[w.start]]
     found = [(int(docs[i]), int(i), int(i) + 1) for i in np.flatnonzero((mixed | dotted | stretched) & ~single)]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]]).astype(np.int8)))
@@ -203,6 +209,32 @@ class Model:
         return np.minimum(np.bincount(d, self.weights[np.searchsorted(self.hashes, h)], minlength=len(array)), 40.0)
 
 
+def counted(batches: Iterator[pa.RecordBatch], characters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """h, t, c: each feature (hash) of batches (doc_id, text, toxic) with the toxic and the other documents that have it,
+    once for about COUNTED bytes of text."""
+    memo: dict[bytes, str] = {}
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def summed(h: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        uniq, inverse = np.unique(h, return_inverse=True)
+        return uniq, *(np.bincount(inverse, x, minlength=len(uniq)).astype(np.int64) for x in (t, n))
+
+    def out() -> pa.RecordBatch:
+        h, t, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t), pa.array(n - t)], ["h", "t", "c"])
+
+    size = 0
+    for b in pieces(batches, limit=PIECE):
+        d, h = features(b.column(1), characters, memo)
+        held.append(summed(h, b.column(2).to_numpy()[d], np.ones(len(d), np.int64)))
+        size += b.column(1).nbytes
+        if size >= COUNTED:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)) -> Model:
     """Character counts from all texts; weights from the labelled rows outside the held-out fold alone.
 
@@ -217,20 +249,11 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
     rows = texts(docs).join(marked, "doc_id").where(~fold("doc_id", held_out[0], (held_out[1],)))
     sent = docs.sparkSession.sparkContext.broadcast(characters)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, str] = {}
-        for b in pieces(batches, limit=4 << 20):
-            d, h = features(b.column(1), sent.value, memo)
-            toxic = b.column(2).to_numpy()[d]
-            uniq, inverse = np.unique(h, return_inverse=True)
-            t, n = np.bincount(inverse, toxic, minlength=len(uniq)), np.bincount(inverse, minlength=len(uniq))
-            yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(t.astype(np.int64)), pa.array((n - t).astype(np.int64))], ["h", "t", "c"])
-
     rows = keep(rows.select("doc_id", "text", "toxic"))
     n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     toxic, clean = n["t"], n["n"] - n["t"]
     odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(clean + 1.0))
-    weighed = rows.mapInArrow(count, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= MIN_DOCS).withColumn("w", odds).where(F.col("w") >= MIN_ODDS)
+    weighed = rows.mapInArrow(lambda batches: counted(batches, sent.value), "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= MIN_DOCS).withColumn("w", odds).where(F.col("w") >= MIN_ODDS)
     weighed, rest = keep(weighed), None
     first = weighed.select("h", "w")
     if weighed.count() > BROADCAST_FEATURES:
@@ -245,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, str] = {}
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             x = known.value.evidence(b.column(1), memo)
             yield pa.RecordBatch.from_arrays([pa.array(np.round(x * 4).astype(np.int32)), pa.array(b.column(2).to_numpy().astype(np.int32))], ["x", "toxic"])
 
@@ -262,7 +285,7 @@ def _joined(rows: DataFrame, model: Model, *others: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = sent.value, {}
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             d, h = features(b.column(2), m.characters, memo)
             at = np.minimum(np.searchsorted(m.hashes, h), max(len(m.hashes) - 1, 0))
             hit = m.hashes[at] == h if len(m.hashes) else np.zeros(len(h), bool)
@@ -300,7 +323,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = sent.value, {}
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             x = m.evidence(b.column(1), memo)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-(m.slope * x + m.bias))))], ["doc_id", "score"])
 
@@ -313,7 +336,7 @@ def restored_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, str] = {}
-        for b in pieces(batches):
+        for b in pieces(batches, limit=PIECE):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(restored(b.column(1), sent.value, memo), pa.string())], ["doc_id", "restored"])
 
     return texts(docs).mapInArrow(run, "doc_id long, restored string")

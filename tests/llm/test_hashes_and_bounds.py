@@ -2,13 +2,14 @@
 
 import os
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lorica.llm import decontaminate, ngram_join, substring_dedup, tokens, words
+from lorica.llm import decontaminate, ngram_join, substring_dedup, tokens, toxicity, words
 from lorica.llm.queries import tokenizer_path
 from lorica.llm.store import word_key
 
@@ -145,3 +146,54 @@ def test_parities_lose_no_pair(spark):
     passed = {x["i"] for x in df.select("i", side("a").alias("x"), side("b").alias("y")).where(ngram_join._alike("x", "y")).collect()}
     near = {i for i, (x, y) in enumerate(sets) if 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y))}
     assert near <= passed and len(near) > 100 and not passed & set(range(400, 450))
+
+
+def labelled(n):
+    """A batch of n documents of about 8 KB: doc_id, text, toxic."""
+    r = np.random.default_rng(n)
+    said = np.array([f"w{k:x}ord" for k in r.integers(0, 1 << 20, 20_000)] + ["l o s e r", "m0r0n", "stop."])
+    texts = [" ".join(r.choice(said, 1000)) for _ in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array([k % 2 for k in range(n)], pa.int32())], ["doc_id", "text", "toxic"])
+
+
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_takes_little_memory_for_a_text():
+    """Also one long text, which no piece can cut."""
+    model, batch = np.zeros((toxicity.SYMBOLS,) * 3), labelled(256)
+    text = pa.array([" ".join(batch["text"].to_pylist())])
+    assert peak(lambda: toxicity.features(text, model, {})) < 40 * text.nbytes
+
+
+def test_toxicity_counts_by_small_pieces(monkeypatch):
+    """However large a batch is, and with the counts of a batch that is looked at whole."""
+    model, batch = np.zeros((toxicity.SYMBOLS,) * 3), labelled(1024)
+    assert batch["text"].nbytes > 6 << 20 and peak(lambda: list(toxicity.counted(iter([batch]), model))) < 80 << 20
+
+    def sums():
+        out = Counter()
+        for b in toxicity.counted(iter([batch.slice(0, 300), batch.slice(300, 0), batch.slice(300)]), model):
+            for h, t, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                out[h, "t"] += t
+                out[h, "c"] += c
+        return out
+
+    got = sums()
+    for piece, counted in ((1 << 30, 1 << 30), (100_000, 1)):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        monkeypatch.setattr(toxicity, "COUNTED", counted)
+        assert sums() == got
+
+
+def test_character_counts_by_document(spark):
+    """A text's characters do not follow those of the text that happens to lie before it."""
+    docs = frame(spark, [(k, t) for k, t in enumerate(["ab", "cd", None, "", "e", "ab"] * 5)])
+    one, many = (toxicity.character_counts(docs.repartition(n)) for n in (1, 7))
+    assert (one == many).all() and not one[0, 1, 2] and one[0, 1, toxicity.EDGE] == 10
