@@ -53,7 +53,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
             cols = [one(done + np.arange(len(ids)), pa.int64()), pa.array([ids], pa.list_(pa.int64())), one(starts.astype(np.int32), pa.int32()), one(lengths.astype(np.int32), pa.int32()), one(terms, pa.int64()), one(np.append(first[1:], len(h))[: len(terms)].astype(np.int32), pa.int32()), one(at[order].astype(np.int32), pa.int32())]
             return pa.RecordBatch.from_arrays(cols, schema=_INDEX)
 
-        for b in pieces(batches):
+        for b in pieces(batches, limit=1 << 20):
             w = Words(b.column(1), ALNUM, lower=True, key=key)
             held.append((b.column(0).to_pylist(), w.counts(), w.hash))
             total += len(w.hash)
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
         if held:
             yield flush(done)
 
-    return keep(texts(docs).mapInArrow(index, INDEX_SCHEMA))
+    return keep(texts(docs).mapInArrow(index, INDEX_SCHEMA), page_rows=1)  # a row is a segment
 
 
 class Segment:

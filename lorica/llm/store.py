@@ -28,11 +28,14 @@ _LOCAL: dict[str, str] = {}
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+def keep(df: DataFrame, page_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back. page_rows: rows of a Parquet page at most. Parquet
+    looks at the size of a page after 100 rows only; of rows of a MB that makes pages of up to 100 MB, and an executor
+    holds on to buffers of that size outside its heap."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    write = df.write if page_rows is None else df.write.option("parquet.page.row.count.limit", page_rows)
+    write.parquet(path)
     if _STAGE:
         _STAGE[-1].append(path)
     table_ = spark.read.schema(df.schema).parquet(path)
