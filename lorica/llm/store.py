@@ -34,7 +34,7 @@ def keep(df: DataFrame, page_rows: int | None = None) -> DataFrame:
     holds on to buffers of that size outside its heap."""
     spark = df.sparkSession
     path = scratch(spark)
-    write = df.write if page_rows is None else df.write.option("parquet.page.row.count.limit", page_rows)
+    write = df.write if page_rows is None else df.write.options(**{"parquet.page.row.count.limit": page_rows, "parquet.page.size.row.check.min": page_rows})
     write.parquet(path)
     if _STAGE:
         _STAGE[-1].append(path)

@@ -197,3 +197,15 @@ def test_character_counts_by_document(spark):
     docs = frame(spark, [(k, t) for k, t in enumerate(["ab", "cd", None, "", "e", "ab"] * 5)])
     one, many = (toxicity.character_counts(docs.repartition(n)) for n in (1, 7))
     assert (one == many).all() and not one[0, 1, 2] and one[0, 1, toxicity.EDGE] == 10
+
+
+def test_index_pages_hold_one_segment(spark):
+    """Parquet looks at a page's size after 100 rows only; a row of the index has a MB."""
+    index = decontaminate.build_index(frame(spark, [(k, "w x y z " * 150_000) for k in range(3)]).coalesce(1))
+    parquet, path = spark._jvm.org.apache.parquet.hadoop, spark._jvm.org.apache.hadoop.fs.Path
+    for f in index.inputFiles():
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(path(f), spark._jsc.hadoopConfiguration()))
+        block = reader.getFooter().getBlocks().get(0)
+        assert [reader.readOffsetIndex(c).getPageCount() for c in block.getColumns()] == [block.getRowCount()] * 7
+        reader.close()
+    assert index.count() == 3
